@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlake.llm import mixing, pii, simhash
-from fathomlake.llm.queries import MIX_REST, MIX_WEIGHTS
+from fathomlake.llm import language_id, mixing, pii, sentencepiece_codec, simhash
+from fathomlake.llm.common import durable
+from fathomlake.llm.queries import MIX_REST, MIX_WEIGHTS, TOKENIZER
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language (no text, or no letter in it) go.
+
+    An ambiguous prediction is no rejection: short and mixed texts stay.
+    """
+    model = language_id.fit(docs)
+    marked = language_id.predict(docs, model, keep=("text", "lang", "source", "n_chars"))
+    return marked.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +37,26 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixture_order(mixing.mix(docs, MIX_WEIGHTS, MIX_REST), docs.columns)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, as token ids, in the order of the mixture."""
+    coded = sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(TOKENIZER), keep=("lang", "source"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
     ("simhash_near_dedup", near_duplicates),
     ("pii", personal_data),
     ("mixing", mixture),
+    ("sentencepiece", tokens),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if place == 0 else durable(docs), sf_dir)
     return docs
 
 

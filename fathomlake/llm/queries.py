@@ -11,18 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, license_scan, mixing, pii, simhash
+from . import (
+    fingerprints,
+    html_extract,
+    language_id,
+    license_scan,
+    mixing,
+    nearest,
+    pii,
+    sentencepiece_codec,
+    simhash,
+    substring_dedup,
+)
 from .common import table
 
 # The target weights of the mixture; other sources share ``*``.
 MIX_WEIGHTS = {"src0": 10, "src1": 10, "src2": 8, "src3": 8, "src4": 6, "src5": 6, "src6": 4, "src7": 4}
 MIX_REST = 44
+#: The vocabulary file; any SentencePiece model will do.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _joined(items: Column) -> Column:
     return F.array_join(items, ",")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
 
@@ -57,6 +75,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id"))
+    model = language_id.fit(documents.filter("not held_out"))
+    return language_id.predict(documents, model, keep=("held_out",))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select(
@@ -80,6 +104,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(
+        F.col("doc").alias("doc_id"),
+        F.col("start").alias("start_word"),
+        F.col("end").alias("end_word"),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("partner").alias("other_doc_id"),
+        "identity",
+    )
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.read_model(TOKENIZER)
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", "backend")
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"].cast("long"))
@@ -98,10 +145,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_pii": op2_pii,
         "op3_fingerprints": op3_fingerprints,
+        "op4_language": op4_language,
         "op5_simhash": op5_simhash,
         "op6_mixing": op6_mixing,
+        "op7_substrings": op7_substrings,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_nearest": op9_nearest,
         "op10_licenses": op10_licenses,
     }
 
