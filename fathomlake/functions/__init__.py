@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Column expressions and small plan fragments shared by the operators."""

@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Operators: from profiling and cleaning to models and their selection."""

@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""The registered queries: each plan next to the SQL it is compared with."""

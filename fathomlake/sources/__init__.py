@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Readers, writers and synthetic sources."""

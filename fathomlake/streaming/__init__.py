@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Scoring of streams with fitted models."""
