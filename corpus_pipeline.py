@@ -11,30 +11,33 @@ from fathomlake.llm import language_id, mixing, pii, sentencepiece_codec, simhas
 from fathomlake.llm.common import durable
 from fathomlake.llm.queries import MIX_REST, MIX_WEIGHTS, TOKENIZER
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language (no text, or no letter in it) go.
 
     An ambiguous prediction is no rejection: short and mixed texts stay.
     """
-    model = language_id.fit(docs)
-    marked = language_id.predict(docs, model, keep=("text", "lang", "source", "n_chars"))
-    return marked.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    docs = docs.select(*COLUMNS)  # others are no columns of documents
+    marked = language_id.predict(docs, language_id.fit(docs), keep=tuple(COLUMNS[1:]))
+    return marked.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with personal data and disclosing terms hidden."""
-    clean = pii.sanitise(docs)
+    clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, laid out in the order of the mixture."""
-    return mixing.in_mixture_order(mixing.mix(docs, MIX_WEIGHTS, MIX_REST), docs.columns)
+    return mixing.in_mixture_order(mixing.mix(docs, MIX_WEIGHTS, MIX_REST), COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REST = "*"
+ADDED = ["_mix_source", "_block", "_release", "_deadline", "_slot", "_row"]
 
 
 def period(weights: Mapping[str, int]) -> list[str]:
@@ -88,6 +89,7 @@ def mix(
 ) -> DataFrame:
     """``df`` with its place in the mixture.
 
+    Columns of ``df`` that are named like an added one are replaced.
     Added columns: _mix_source (the source, or ``*`` for the rest), _block
     (number in the source, from 0), _release and _deadline (on the first
     timeline, from the weights alone), _slot (place of the block in the
@@ -100,17 +102,19 @@ def mix(
     total = sum(weights.values())
     named = F.array(*[F.lit(s) for s in weights if s != REST])
     source = F.when(F.array_contains(named, F.col(source_col)), F.col(source_col)).otherwise(F.lit(REST))
-    spread = F.xxhash64(*key_cols)
-    rows = df.withColumns({"_mix_source": source, "_spread": spread}).withColumn(
-        "_bucket", F.pmod(F.shiftrightunsigned("_spread", 20), F.lit(buckets)).cast("int")
-    )
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_given"),
+        source.alias("_mix_source"),
+        F.xxhash64(*key_cols).alias("_spread"),
+        F.struct(*key_cols).alias("_key"),
+    ).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_spread", 20), F.lit(buckets)).cast("int"))
 
     counts = rows.groupBy("_mix_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     sizes = {r[0]: -(-r[1] // block_rows) for r in counts.groupBy("_mix_source").agg(F.sum("_n")).collect()}
 
-    inside = Window.partitionBy("_mix_source", "_bucket").orderBy("_spread", *key_cols)
+    inside = Window.partitionBy("_mix_source", "_bucket").orderBy("_spread", "_key")
     ranked = (
         rows.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(F.broadcast(offsets), ["_mix_source", "_bucket"])  # at most sources x buckets rows
@@ -137,7 +141,7 @@ def mix(
             "_release": F.floor(F.col("_block") * total / weight).cast("long"),
             "_deadline": F.ceil((F.col("_block") + 1) * total / weight).cast("long"),
         })
-        .select(*[F.col(f"b.{c}") for c in df.columns], "_mix_source", "_block", "_release", "_deadline", "_slot", "_row")
+        .select(*[F.col("b._given")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
     )
 
 

@@ -185,7 +185,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     their component has no other id.
     """
     marks = components(df, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = marks.select("id", "fp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("texts"))
-    d, k = df.withColumn("_key", F.col(id_col).cast("long")).alias("d"), kept.alias("k")
-    joined = d.join(k, F.col("d._key").eqNullSafe(F.col("k.id"))).select("d.*")
-    return joined.dropDuplicates(["_key"]).drop("_key").select(*df.columns)
+    kept = marks.select("id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    d = df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_key")).alias("d")
+    joined = d.join(kept.alias("k"), F.col("d._key").eqNullSafe(F.col("k.id")), "left_semi")
+    return joined.dropDuplicates(["_key"]).select("_row.*")
