@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from .common import text_or_empty
 
 DIM = 1 << 15
 WINDOW = 1 << 20
+ROWS = 512  # of a batch at once
 UNKNOWN = "und"
 
 
@@ -177,8 +179,8 @@ def predict(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            texts = pc.fill_null(batch.column(spot), "")
             n = len(texts)
             names, scores = [UNKNOWN] * n, np.zeros(n)
             if model is not None and n:
@@ -197,21 +199,25 @@ def predict(
                 else:
                     scores = np.ones(n)
                 ascii_letter = np.zeros(n, bool)
-                here = np.flatnonzero((data < 128) & (LETTERS[data] != 32))
-                ascii_letter[np.searchsorted(ends, here, side="right")] = True
+                for at in range(0, len(data), WINDOW):
+                    part = data[at : at + WINDOW]
+                    here = np.flatnonzero((part < 128) & (LETTERS[part] != 32)) + at
+                    ascii_letter[np.searchsorted(ends, here, side="right")] = True
                 for i in range(n):
                     if ascii_letter[i] or any(c.isalpha() for c in texts[i].as_py()):
                         names[i] = model.languages[best[i]]
                     else:
                         scores[i] = 0.0
             known = np.array([x != UNKNOWN for x in names], bool)
-            out = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+            out = [*batch.columns[:given_columns], pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                    pa.array(known & (scores < ambiguous_below), pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
-    text: Column = text_or_empty(text_col)
-    given = df.select(F.col(id_col), *[F.col(c) for c in keep], text.alias("_text"))
-    schema = given.select(*given.columns[:-1], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous")).schema
+    given_columns = 1 + len(keep)
+    spot = 1 + keep.index(text_col) if text_col in keep else given_columns
+    text = [] if text_col in keep else [text_or_empty(text_col).alias("_text")]  # no text travels twice
+    given = df.select(F.col(id_col), *[F.col(c) for c in keep], *text)
+    schema = given.select(*given.columns[:given_columns], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous")).schema
     return given.mapInArrow(run, schema)
 
 
