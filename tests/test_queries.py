@@ -27,11 +27,11 @@ def plain(value):
     if isinstance(value, Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.5g}" if value else "0"
+        return "nan" if math.isnan(value) else f"{value:.6g}" if value else "0"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, int) and abs(value) < 100_000:
-        return f"{value:.5g}"
+    if isinstance(value, int) and abs(value) <= 1_000_000:
+        return f"{value:.6g}"
     if isinstance(value, (list, tuple)):
         return [plain(x) for x in value]
     return str(value)
@@ -54,4 +54,4 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     ours = sorted(str([plain(v) for v in row]) for row in found.select(*[f"`{c}`" for c in columns]).collect())
     assert len(ours) == len(theirs)
     apart = sum(a != b for a, b in zip(ours, theirs, strict=True))
-    assert apart <= len(ours) // 1000 + (len(ours) < 5 and name == "gmm_em")  # a tie at the last rounded digit
+    assert apart <= (name == "gmm_em")  # one value of it lies at a tie of the last rounded digit on these rows
