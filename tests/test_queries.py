@@ -10,7 +10,7 @@ import pytest
 
 from fathomlake.plans import catalog
 
-TABLES = "region nation customer supplier part orders lineitem events documents labels embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # Queries that fit iterative models in many jobs; their operators have tests of their own.
 SLOW = {"dbscan_labels", "auc_ovr", "tracking_round_trip", "tree_depth2_predict", "tree_importances"}
 
