@@ -18,6 +18,7 @@ from . import (
     license_scan,
     mixing,
     nearest,
+    oracles,
     pii,
     sentencepiece_codec,
     simhash,
@@ -159,4 +160,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Models, sketches and Spark's hashes have no SQL; the license scan has."""
+    return {"op10_licenses": oracles.op10_licenses()}

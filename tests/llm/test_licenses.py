@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fathomlake.llm import license_scan, queries
@@ -38,10 +40,19 @@ def as_tuple(r) -> tuple:
     return tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"))
 
 
+def by_sql(folder: str) -> list[tuple]:
+    con = duckdb.connect()
+    path = Path(folder) / "documents.parquet"
+    con.execute(f"create view documents as select * from read_parquet('{path / '*.parquet' if path.is_dir() else path}')")
+    columns = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score"
+    return sorted(con.execute(f"select {columns} from ({queries.oracle_sql()['op10_licenses']})").fetchall(), key=str)
+
+
 def test_query_equals_brute_force_on_all_documents(spark, sf_dir):
     texts = {r[0]: r[1] for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
     rows = queries.op10_licenses(spark, sf_dir).collect()
     assert {r["doc_id"]: as_tuple(r) for r in rows} == {d: brute(t) for d, t in texts.items()}
+    assert sorted(((r["doc_id"], *as_tuple(r)) for r in rows), key=str) == by_sql(sf_dir)
 
 
 def test_edge_texts(spark, tmp_path):
@@ -55,6 +66,7 @@ def test_edge_texts(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op10_licenses(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: as_tuple(r) for r in rows} == {i: brute(t) for i, t in enumerate(texts)}
+    assert sorted(((r["doc_id"], *as_tuple(r)) for r in rows), key=str) == by_sql(str(tmp_path))
     assert license_scan.scan(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "CC BY-SA")] * 2 + [(None, "CC BY-SA"), (1, "b")], "doc_id long, text string")
     assert sorted(len(r["found"]) for r in license_scan.scan(twice).collect()) == [0, 1, 1, 1]
