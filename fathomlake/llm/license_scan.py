@@ -3,15 +3,19 @@
 Base places are phrases whose words stand consecutively.  The method proper is
 a set-similarity join.  A template is a set of words; a text block (a line, cut
 again at sentence ends) *contains* it when it holds at least
-``ceil(threshold * |template|)`` of its distinct words.  Words are ordered by
-their document frequency over the whole corpus, rarest first, and
+``ceil(threshold * |template|)`` of its distinct words.  A notice may also be
+wrapped over lines: a sentence that goes on over line ends, up to a blank line,
+is a block too, and contains a template when that many of its words stand in one
+run of at most ``ceil(length / threshold)`` words, where ``length`` is the
+template's own.  Words are ordered by their document frequency over the whole
+corpus, rarest first, and
 
 * prefix filter: a block that reaches the overlap ``need`` shares at least one
   of the template's ``|T| - need + 1`` rarest words, so only those are indexed;
 * length filter: the block has at least ``need`` template words;
 * positional filter: after the shared word at place i of the template and j of
   the block, at most ``min(|T| - i, |B| - j)`` further words can be shared;
-* the survivors are verified by the exact overlap.
+* the survivors are verified by the exact overlap, wrapped ones in every run.
 
 The filters drop no true pair, so the join is exact.  The index is broadcast:
 its size is bounded by the template list, a parameter, and never by the data.
@@ -59,15 +63,21 @@ TEMPLATES = [
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Blocks end at line ends, and at sentence ends followed by white space.
 BLOCK_ENDS = r"[\r\n]+|(?<=[.!?])[\x20\t]+"
+#: Wrapped sentences end at sentence ends, and at lines that hold no word.
+SENTENCE_ENDS = r"(?<=[.!?])[\x20\t\r\n]+|(?:\r\n?+|\n)[\x00-\x09\x0B\x0C\x0E-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+(?:\r\n?+|\n)"
 
 
 def words(text: Column) -> Column:
     return split_words(ascii_lower(text), SEPARATORS)
 
 
-def _template_words(text: str) -> list[str]:
+def _all_template_words(text: str) -> list[str]:
     kept = "".join(c.lower() if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text)
-    return list(dict.fromkeys(kept.split()))
+    return kept.split()
+
+
+def _template_words(text: str) -> list[str]:
+    return list(dict.fromkeys(_all_template_words(text)))
 
 
 def _key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,7 +112,8 @@ def matching_blocks(
     """Every (block, template) pair that meets the containment threshold.
 
     Columns: _id, _h (hash of the text, which tells rows with equal ids
-    apart), block (from 0), template (from 0), label, containment.
+    apart), block (from 0, wrapped sentences after the lines), template (from
+    0), label, containment.
     """
     spark = df.sparkSession
     sets = [_template_words(t) for _, t in templates]
@@ -112,14 +123,15 @@ def matching_blocks(
     rank = {w: i for i, w in enumerate(order)}
 
     index, least = [], 10**9
-    for number, (own, (label, _)) in enumerate(zip(sets, templates, strict=True)):
+    for number, (own, (label, notice)) in enumerate(zip(sets, templates, strict=True)):
         ranks = sorted(rank[w] for w in own)
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
         least = min(least, need)
-        index += [(r, place + 1, number, label, need, ranks) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
+        reach = math.ceil(len(_all_template_words(notice)) / threshold - 1e-9)
+        index += [(r, place + 1, number, label, need, ranks, own, reach) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
     rare = sorted({r[0] for r in index})
     index_df = spark.createDataFrame(
-        index, "rank int, place int, template int, label string, need int, ranks array<int>"
+        index, "rank int, place int, template int, label string, need int, ranks array<int>, own_words array<string>, reach int"
     )
     rare_words = F.array(*[F.lit(order[r]) for r in rare])
     all_words = F.array(*[F.lit(w) for w in order])
@@ -129,13 +141,24 @@ def matching_blocks(
         shared = F.array_intersect(words(block), all_words)
         return F.array_sort(F.transform(shared, lambda w: (F.array_position(all_words, w) - 1).cast("int")))
 
+    def run_overlap() -> Column:
+        """Most template words in one run of ``reach`` words; it begins with one."""
+        starts = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: F.array_contains("own_words", F.element_at("_words", i)))
+        return F.aggregate(starts, F.lit(0), lambda most, i: F.greatest(
+            most, F.size(F.array_intersect(F.slice("_words", i, F.col("reach")), F.col("own_words")))))
+
+    lines = F.transform(F.split("_text", BLOCK_ENDS), lambda b: F.struct(b.alias("b"), F.lit(False).alias("wrapped")))
+    wrapped = F.transform(F.filter(F.split("_text", SENTENCE_ENDS), lambda b: b.rlike(r"[^\r\n][\r\n]+[^\r\n]")),
+                          lambda b: F.struct(b.alias("b"), F.lit(True).alias("wrapped")))
     blocks = (
         _key(df, id_col, text_col)
         .filter(F.arrays_overlap(words(F.col("_text")), rare_words))
-        .select("_id", "_h", F.posexplode(F.split("_text", BLOCK_ENDS)).alias("block", "_block"))
+        .select("_id", "_h", F.posexplode(F.concat(lines, wrapped)).alias("block", "_b"))
+        .select("_id", "_h", "block", F.col("_b.b").alias("_block"), F.col("_b.wrapped").alias("_wrapped"))
         .filter(F.arrays_overlap(words(F.col("_block")), rare_words))
-        .select("_id", "_h", "block", ranked(F.col("_block")).alias("own"))
+        .select("_id", "_h", "block", "_block", "_wrapped", ranked(F.col("_block")).alias("own"))
         .filter(F.size("own") >= least)
+        .select("_id", "_h", "block", "own", F.when(F.col("_wrapped"), words(F.col("_block"))).alias("_words"))
     )
     probes = blocks.select("*", F.explode(F.array_intersect("own", rare_ranks)).alias("rank"))
     at = F.array_position("own", F.col("rank"))
@@ -143,8 +166,9 @@ def matching_blocks(
         probes.join(F.broadcast(index_df), "rank")
         .filter(F.size("own") >= F.col("need"))
         .filter(1 + F.least(F.size("ranks") - F.col("place"), F.size("own") - at) >= F.col("need"))
+        .filter(F.size(F.array_intersect("ranks", "own")) >= F.col("need"))
         .select("_id", "_h", "block", "template", "label", "need", F.size("ranks").alias("whole"),
-                F.size(F.array_intersect("ranks", "own")).alias("overlap"))
+                F.when(F.col("_words").isNull(), F.size(F.array_intersect("ranks", "own"))).otherwise(run_overlap()).alias("overlap"))
         .filter("overlap >= need")
         .groupBy("_id", "_h", "block", "template", "label")
         .agg((F.max("overlap") / F.max("whole")).alias("containment"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 from pathlib import Path
 
 import duckdb
@@ -70,3 +71,24 @@ def test_edge_texts(spark, tmp_path):
     assert license_scan.scan(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "CC BY-SA")] * 2 + [(None, "CC BY-SA"), (1, "b")], "doc_id long, text string")
     assert sorted(len(r["found"]) for r in license_scan.scan(twice).collect()) == [0, 1, 1, 1]
+
+
+def test_wrapped_notices_are_found(spark):
+    long = {label: text for label, text in license_scan.TEMPLATES if label in ("mit", "bsd", "gpl", "isc")}  # the last of each label
+    rows, expected = [], {}
+    for lead in ("", " * ", "# "):
+        for end in ("\n", "\r\n"):
+            for width in (40, 72, 80):
+                for label, text in long.items():
+                    notice = end.join(textwrap.wrap(text, width, initial_indent=lead, subsequent_indent=lead))
+                    expected[len(rows)] = [label]
+                    rows.append((len(rows), f"some code by someone{end}{lead}{end}{notice}{end}{lead}{end}and more of it"))
+                    expected[len(rows)] = [label]
+                    rows.append((len(rows), "a title of a few words " * 40 + end + notice + end + "and then the rest " * 40))
+    for text in long.values():  # the same words, apart or in other paragraphs
+        own = text.split()
+        for between in ("\n\n", "\n" + "other words stand here " * 5 + "\n"):
+            expected[len(rows)] = []
+            rows.append((len(rows), between.join(" ".join(own[i : i + 6]) for i in range(0, len(own), 6))))
+    found = {r["doc_id"]: r["found"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected
