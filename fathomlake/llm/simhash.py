@@ -64,15 +64,16 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed bigint."""
+    """(id, h, fp) for every row; fp is the fingerprint as a signed bigint, h a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["id", "h", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, "id bigint, fp bigint"
+    text = text_or_empty(text_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(
+        run, "id bigint, h bigint, fp bigint"
     )
 
 
@@ -162,31 +163,37 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     return dealt.mapInPandas(_unit_edges, "u bigint, v bigint")
 
 
+def _placed(own: DataFrame, *firsts) -> DataFrame:
+    """(fp, *firsts, root) of every fingerprint of ``own``; firsts are aggregates of it."""
+    held = durable(own.groupBy("fp").agg(*firsts))
+    roots = connected_components(links(held.select("fp")))
+    return durable(held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row.
 
     ``component_id`` is the smallest id reachable over links of at most four
     differing bits, the row's own included.
     """
-    own = durable(fingerprints(df, id_col, text_col))
-    firsts = durable(own.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(links(firsts.select("fp")))
-    placed = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = durable(placed.select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    own = durable(fingerprints(df, id_col, text_col).drop("h"))
+    placed = _placed(own, F.min("id").alias("first"))
     groups = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = durable(placed.join(groups, "root").select("fp", "component_id"))
     return own.join(named, "fp").select("id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: the one with the smallest id.
+    """``df`` with one row of each component: the one with the smallest (id, text hash).
 
-    Of rows that repeat that id, one stays.  Rows with a null id stay only if
-    their component has no other id.
+    Null ids come last, so a row without one stays only if its component has no
+    other id.  Rows equal in id and text are one component's; of them one stays.
     """
-    marks = components(df, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = marks.select("id").distinct()
+    own = durable(fingerprints(df, id_col, text_col))
+    placed = _placed(own, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    d = df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_key")).alias("d")
-    joined = d.join(kept.alias("k"), F.col("d._key").eqNullSafe(F.col("k.id")), "left_semi")
-    return joined.dropDuplicates(["_key"]).select("_row.*")
+    d = df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(text_or_empty(text_col)).alias("_h")).alias("d")
+    same = F.col("d._key").eqNullSafe(F.col("k.id")) & (F.col("d._h") == F.col("k.h"))
+    joined = d.join(kept.alias("k"), same, "left_semi")
+    return joined.dropDuplicates(["_key", "_h"]).select("_row.*")

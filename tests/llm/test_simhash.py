@@ -83,3 +83,15 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7]
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_unlike_texts_with_null_or_equal_ids_all_stay(spark):
+    import random
+
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(None, t) for t in texts[:15]] + [(9, t) for t in texts[15:30]] + [(i, t) for i, t in enumerate(texts[30:], 100)]
+    copies = [(None, texts[0]), (None, texts[35]), (9, texts[20]), (12, texts[21]), (3, texts[2])]
+    kept = simhash.keep_one(spark.createDataFrame(rows + copies, "doc_id long, text string"))
+    expected = [(3 if t == texts[2] else i, t) for i, t in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
