@@ -2,24 +2,25 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each
 distinct value found is a *protected entity*.  The method then asks which
-nearby words give an entity away even after its removal: over the whole corpus
+words give an entity away even after its removal: over the whole corpus
 
 * ``n(c)``, ``n(t)``: documents that hold entity c, word t (anywhere);
-* ``n(c, t)``: documents where t stands among the ``window`` words before or
-  after a mention of c;
+* ``n(c, t)``: documents that hold c and, outside base spans, t;
 * ``disclosure(c, t) = PMI(c; t) / IC(c)`` with
   ``PMI = log(n(c,t) N / (n(c) n(t)))`` and ``IC = log(N / n(c))``: 1 if seeing
   t is as good as seeing c, 0 if t tells nothing of it.
 
 A term with ``n(c, t) >= support`` and disclosure of at least ``remove_at`` is
-removed; from ``generalise_at`` on it is generalised to its shape (``[name]``
-for a capitalised word, ``[word]`` otherwise).  Base spans stay whatever the
+removed, at every place in each document that holds the entity; from
+``generalise_at`` on it is generalised to its shape (``[name]`` for a
+capitalised word, ``[word]`` otherwise).  As ``n(c, t) <= n(c)``, a term can
+reach ``generalise_at`` only with ``n(t) <= N (n(c) / N) ** generalise_at``: pairs
+beyond that are dropped before they are counted, and no other.  Base spans stay whatever the
 method adds; a term never overlaps one.  Positions count code points.
 
 All of it is DataFrame functions.  Null and empty texts have no spans.  Rows
 are told apart by id and text hash: equal rows count as one document in the
-statistics and get equal results.  Words longer than the 200 characters of
-context looked at on either side of a mention are no terms.
+statistics and get equal results.
 """
 
 from __future__ import annotations
@@ -43,9 +44,11 @@ MARKS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A number of at most 255, leading zeros allowed.
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 NOT_LETTERS = r"[^\p{L}]+"
-CONTEXT = 200
+#: The parts each term is dealt to, so that no common term is one task.
+SALTS = 8
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
+HIDDEN = "array<struct<start:int,end:int,remove:boolean,named:boolean>>"
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
@@ -94,39 +97,51 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(likely, found).otherwise(F.array().cast(SPANS))
 
 
-def _near_terms(text: Column, spans: Column, window: int) -> Column:
-    """Words near each span: array of (entity, term, start, end, named).
+def _masked(text: Column, base: Column) -> Column:
+    """``text`` with its base spans blanked; every other place stays."""
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    ``spans`` is an array of (kind, start, end, value).
-    """
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        end = F.greatest(acc["at"], s["end"])
+        piece = F.concat(text.substr(acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))
+        fresh = s["end"] > acc["at"]
+        return F.struct(end.alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+
+
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
 
-    def tokens(piece: Column, offset: Column) -> Column:
-        none = F.array().cast(SPANS)
-        return F.coalesce(
-            F.transform(_all_matches(piece, r"\p{L}+"),
-                        lambda t: F.struct((t["start"] + offset).alias("start"), (t["end"] + offset).alias("end"),
-                                           t["value"].alias("value"))), none)
-
-    def around(s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        left = tokens(text.substr(begin + 1, s["start"] - begin), begin)
-        left = F.filter(left, lambda t: (t["start"] > begin) | (begin == 0))
-        right = tokens(text.substr(s["end"] + 1, F.lit(CONTEXT)), s["end"])
-        right = F.filter(right, lambda t: (t["end"] < s["end"] + CONTEXT))
-        near = F.concat(F.reverse(F.slice(F.reverse(left), 1, window)), F.slice(right, 1, window))
-        free = F.filter(near, lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-        return F.transform(free, lambda t: F.struct(
-            F.xxhash64(s["kind"], s["value"]).alias("entity"),
-            F.xxhash64(F.lower(t["value"])).alias("term"),
-            t["start"].alias("start"), t["end"].alias("end"),
-            t["value"].rlike(r"^\p{Lu}").alias("named"),
-        ))
-
-    return F.flatten(F.transform(spans, around))
-
-
-def find_base(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """_id, _h, base (all spans by kind, then start) and terms, for every row."""
+
+def _terms(text: Column) -> Column:
+    """The distinct words of ``text``, hashed."""
+    return F.array_distinct(F.transform(split_words(text, NOT_LETTERS), _term))
+
+
+def _places(text: Column, removed: Column, softened: Column) -> Column:
+    """Every place of the terms: array of (start, end, remove, named)."""
+    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)).alias("m"), F.split(text, r"\p{L}+", -1).alias("p"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        remove = F.array_contains(removed, _term(x["m"]))
+        place = F.struct(start.alias("start"), end.alias("end"), remove.alias("remove"), x["m"].rlike(r"^\p{Lu}").alias("named"))
+        flagged = remove | F.array_contains(softened, _term(x["m"]))
+        return F.struct(end.alias("at"), F.when(flagged, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(HIDDEN).alias("out"))
+    return F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), zero, step, lambda a: a["out"])
+
+
+def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _h, base (all spans by kind, then start) and masked, for every row.
+
+    ``masked`` is the text without base spans, null where there is none.
+    """
     text = F.col("_text")
 
     def with_kind(kind: str) -> Column:
@@ -137,35 +152,36 @@ def find_base(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     found = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_h"),
                       text_or_empty(text_col).alias("_text"))
     found = found.select("_id", "_h", "_text", *[base_spans(text, k).alias(f"_{k}") for k in KINDS])
-    empty = F.array().cast("array<struct<entity:bigint,term:bigint,start:int,end:int,named:boolean>>")
     return (
         found.select("_id", "_h", let(F.concat(*typed), lambda base: F.struct(
-            base.alias("base"),
-            F.when(F.size(base) > 0, _near_terms(text, base, window)).otherwise(empty).alias("terms"))).alias("r"))
-        .select("_id", "_h", "r.base", "r.terms")
+            base.alias("base"), F.when(F.size(base) > 0, _masked(text, base)).alias("masked"))).alias("r"))
+        .select("_id", "_h", "r.base", "r.masked")
     )
 
 
-def disclosing_terms(df: DataFrame, found: DataFrame, text_col: str, support: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over ``generalise_at``."""
-    total = df.count()
-    mentions = found.filter(F.size("terms") > 0).select("_id", "_h", F.explode("terms").alias("t"))
-    pairs = mentions.select("_id", "_h", "t.entity", "t.term").distinct()
-    n_ct = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
-    holds = found.filter(F.size("base") > 0).select(
-        "_id", "_h", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity")
-    )
-    n_c = holds.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    words = split_words(F.lower(text_or_empty(text_col)), NOT_LETTERS)
-    n_t = (
-        df.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    )
-    known = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
-    score = F.log(F.col("n_ct") * float(max(total, 1)) / (F.col("n_c") * F.col("n_t"))) / known
+def disclosing_terms(df: DataFrame, docs: DataFrame, text_col: str, support: int, generalise_at: float) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or over ``generalise_at``.
+
+    ``docs`` has _doc, entities and masked of each document with base spans.
+    """
+    total = float(max(df.count(), 1))
+    holds = docs.select("_doc", F.explode("entities").alias("entity"))
+    n_c = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter((F.col("n_c") >= support) & (F.col("n_c") < total))
+    most = F.lit(total * (1 + 1e-9)) * F.pow(F.col("n_c") / total, F.lit(generalise_at))
+    held = durable(holds.join(n_c, "entity").groupBy("_doc").agg(
+        F.collect_list(F.struct("entity", "n_c", most.alias("most"))).alias("held"), F.max(most).alias("top")))
+    salt = F.pmod(F.col("_doc"), F.lit(SALTS)).cast("int")
+    near = docs.join(held, "_doc").select("held", "top", salt.alias("salt"), F.explode(_terms(F.col("masked"))).alias("term"))
+    words = _terms(text_or_empty(text_col))
+    n_t = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    top = held.agg(F.max("top")).first()[0]
+    n_t = n_t.filter((F.col("n_t") >= support) & (F.col("n_t") <= (top or 0.0)))
+    n_t = n_t.select("term", "n_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = near.join(n_t, ["term", "salt"]).filter("n_t <= top").select("term", "n_t", F.explode("held").alias("e")).filter("n_t <= e.most")
+    n_ct = pairs.groupBy("e.entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_t").alias("n_t"), F.max("e.n_c").alias("n_c"))
+    score = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
     return (
-        n_ct.join(n_c, "entity").join(n_t, "term")
-        .filter(known > 0)
+        n_ct.filter(F.col("n_ct") >= support)
         .select("entity", "term", F.least(F.lit(1.0), score).alias("disclosure"))
         .filter(F.col("disclosure") >= generalise_at)
     )
@@ -175,7 +191,6 @@ def detect(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 3,
     support: int = 2,
     generalise_at: float = 0.8,
     remove_at: float = 0.95,
@@ -185,21 +200,19 @@ def detect(
     ``base`` is an array of (kind, start, end, value); ``hidden`` an array of
     (start, end, remove, named) in order of start.
     """
-    found = durable(find_base(df, id_col, text_col, window))
-    flagged = durable(disclosing_terms(df, found, text_col, support, generalise_at))
-    mentions = found.filter(F.size("terms") > 0).select("_id", "_h", F.explode("terms").alias("t"))
-    m = mentions.select("_id", "_h", "t.*")
-    hidden = (
-        m.join(flagged, ["entity", "term"])
-        .groupBy("_id", "_h", "start", "end", "named").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("_id", "_h")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", (F.col("disclosure") >= remove_at).alias("remove"), "named"))).alias("hidden"))
-    )
-    a, b = found.alias("a"), hidden.alias("b")
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean,named:boolean>>")
-    return a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._h") == F.col("b._h")), "left").select(
-        F.col("a._id").alias("_id"), F.col("a._h").alias("_h"), "base", F.coalesce("hidden", none).alias("hidden")
+    key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), F.col("_h"))
+    found = durable(find_base(df, id_col, text_col).withColumn("_doc", key))
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
+    docs = durable(found.filter("masked is not null").select("_doc", entities.alias("entities"), "masked").dropDuplicates(["_doc"]))
+    flagged = durable(disclosing_terms(df, docs, text_col, support, generalise_at))
+    terms = (
+        docs.select("_doc", F.explode("entities").alias("entity")).join(flagged, "entity")
+        .groupBy("_doc", "term").agg(F.max("disclosure").alias("disclosure"))
+        .groupBy("_doc").agg(F.collect_list(F.when(F.col("disclosure") >= remove_at, F.col("term"))).alias("removed"),
+                             F.collect_list(F.when(F.col("disclosure") < remove_at, F.col("term"))).alias("softened"))
     )
+    hidden = docs.join(terms, "_doc").select("_doc", _places(F.col("masked"), F.col("removed"), F.col("softened")).alias("hidden"))
+    return found.join(hidden, "_doc", "left").select("_id", "_h", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
 
 
 def hide(text: Column, base: Column, hidden: Column) -> Column:

@@ -88,3 +88,15 @@ def test_sanitise_keeps_rows_and_columns(spark, rows):
     got = out.collect()
     assert len(got) == len(rows)
     assert all(r["text"] in (None, "[EMAIL]") and r["hidden"] == 7 for r in got)
+
+
+def test_terms_go_wherever_they_stand_in_a_document_that_holds_the_entity(spark):
+    far = "and all of it was about the weather of the day " * 30
+    rows = [(i, f"Zanzibarro {far} joe@corp.com {far} éZanzi zanzibarro, {i}") for i in range(6)]
+    rows += [(i, f"{far} éZanzi on day {i}") for i in range(6, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert {i: clean[i] for i in range(6)} == {i: f" {far} [EMAIL] {far} éZanzi , {i}" for i in range(6)}
+    assert all(clean[i] == text for i, text in rows[6:])
+    places = {r["_id"]: [(s["start"], s["end"]) for s in r["hidden"]] for r in pii.detect(df).collect()}
+    assert all(places[i] == [(m.start(), m.end()) for m in re.finditer("zanzibarro", text.lower())] for i, text in rows)
