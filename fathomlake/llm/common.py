@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +41,53 @@ def split_words(text: Column, separators: str) -> Column:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+    """``df`` written to the shared folder and read back: its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a
+    temporary one is made in local mode; on a cluster it is an error, as the
+    executors could not read it.  Unlike a checkpoint the written table tells
+    the optimizer its true size, round after round of a loop.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folder()
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def total_parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, sizes: DataFrame | None = None,
+                total: int | None = None) -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key; no key is one task.
+
+    Keys that hold more than a ``1 / (4 * partitions)`` share of ``left`` (and
+    over 100 rows) are dealt by a hash of the column ``spread`` to one salt a
+    partition, and their rows of ``right`` go to every salt.  There are at most
+    ``4 * partitions`` such keys: that bounds the broadcast of their list.
+    ``sizes`` has the number of rows of each key as ``_n`` and ``total`` their
+    sum, where the caller knows them.  Keys are not null.
+    """
+    parts, keys = total_parts(left), list(keys)
+    if sizes is None:
+        sizes = durable(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    if total is None:
+        total = sizes.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.broadcast(sizes.filter(F.col("_n") > max(100, total // (4 * parts))).select(*keys, F.lit(True).alias("_heavy")))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(heavy, keys, "left").withColumn("_salt", salt).drop("_heavy")
+    copied = right.join(heavy, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")

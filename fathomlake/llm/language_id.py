@@ -119,12 +119,18 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_language: int = 2000,
+    max_languages: int = 500,
 ) -> Model | None:
-    """Fit on the labelled rows of ``df``; None if there is none."""
+    """Fit on the labelled rows of ``df``; None if there is none.
+
+    A column with over ``max_languages`` values is no language column: an error.
+    """
     labelled = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(max_languages + 1).collect()}
     if not counts:
         return None
+    if len(counts) > max_languages:
+        raise ValueError(f"over {max_languages} languages")
     names = sorted(counts)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(rows_per_language / counts[n]))])
@@ -134,16 +140,13 @@ def fit(
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(names) * DIM, np.int64)
-        for batch in batches:
+        for batch in batches:  # sums of a batch; the rest is Spark's
             lang = batch.column(0).to_numpy()
             for h, row in _grams(*_flat(batch.column(1))):
-                total += np.bincount(lang[row].astype(np.int64) * DIM + h, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+                at, n = np.unique(lang[row].astype(np.int64) * DIM + h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], names=["at", "n"])
 
-    few = sample.coalesce(16)  # a bounded sample
-    rows = few.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(len(names) * DIM)
     table[rows["at"].to_numpy()] = rows["n"].to_numpy()
     table = table.reshape(len(names), DIM) + 0.1

@@ -15,6 +15,10 @@ of work of its own, so every pair is still compared and no list is one task.  A
 unit returns a spanning forest of its links, not the pairs: components are
 what is asked for, and they stay the same.
 
+A node of the graph is a fingerprint together with the first of its rows, and
+nodes are ordered by that row: the root of a component then carries the
+component's first row, and nothing has to be gathered by component.
+
 Null texts count as empty; texts with no word have fingerprint zero and link
 like any other.  Ids may repeat; null ids form no component id.
 """
@@ -28,10 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty, total_parts
+from .common import NULL_ID, durable, join_spread, text_or_empty, total_parts
 from .components import connected_components
 
 MAX_BITS = 4
@@ -123,15 +127,27 @@ def forest(values: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]
     return edges
 
 
+#: A fingerprint and its first row; rows without an id come last.
+NODE = "struct<none:int,id:bigint,h:bigint,fp:bigint>"
+PARTS = ["none", "id", "h", "fp"]
+
+
 def _unit_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames sorted by unit; a unit may go on in the next frame."""
     held: list[pd.DataFrame] = []
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         unit, fp = frame["unit"].to_numpy(), frame["fp"].to_numpy(np.int64)
+        rows = frame[PARTS].to_numpy(np.int64)
         cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-        edges = {e for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for e in forest(np.unique(fp[a:b]))}
-        return pd.DataFrame(list(edges), columns=["u", "v"], dtype="int64")
+        edges: dict[tuple[int, int], tuple] = {}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                values, at = np.unique(fp[a:b], return_index=True)
+                for u, v in forest(values):
+                    i, j = np.searchsorted(values, [u, v])
+                    edges[u, v] = (*rows[a + at[i]].tolist(), *rows[a + at[j]].tolist())
+        return pd.DataFrame(list(edges.values()), columns=[f"{side}_{p}" for side in "uv" for p in PARTS], dtype="int64")
 
     for frame in frames:
         if frame.empty:
@@ -147,27 +163,36 @@ def _unit_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield work(pd.concat(held))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect all distinct ``fp`` within ``max_bits`` bits."""
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) that connect all ``nodes`` (column node) within ``max_bits`` bits.
+
+    Every fingerprint is in one node.
+    """
     if max_bits > 4:
         raise ValueError("the index guarantees a meeting up to 4 differing bits")
-    keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes"))
+    keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("node.fp").bitwiseAND(F.lit(m)).alias("bytes"))
                      for i, m in enumerate(_masks())])
-    index = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.set", "k.bytes").alias("key"))
+    index = nodes.select("node", F.explode(keys).alias("k")).select("node", F.xxhash64("k.set", "k.bytes").alias("key"))
     lists = durable(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = index.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
-    units = met.select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = join_spread(index, lists, ["key"], "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("node.fp", F.lit(1)), F.col("blocks")).cast("int")
+    units = met.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit")
-    dealt = units.select("fp", unit).repartition(total_parts(fps), "unit").sortWithinPartitions("unit")
-    return dealt.mapInPandas(_unit_edges, "u bigint, v bigint")
+    dealt = units.select("node.*", unit).repartition(total_parts(nodes), "unit").sortWithinPartitions("unit")
+    made = dealt.mapInPandas(_unit_edges, ", ".join(f"{side}_{p} bigint" for side in "uv" for p in PARTS))
+
+    def node(side: str) -> Column:
+        return F.struct(*[F.col(f"{side}_{p}").cast("int" if p == "none" else "long").alias(p) for p in PARTS]).cast(NODE).alias(side)
 
+    return made.select(node("u"), node("v"))
 
-def _placed(own: DataFrame, *firsts) -> DataFrame:
-    """(fp, *firsts, root) of every fingerprint of ``own``; firsts are aggregates of it."""
-    held = durable(own.groupBy("fp").agg(*firsts))
-    roots = connected_components(links(held.select("fp")))
-    return durable(held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+def _placed(own: DataFrame) -> DataFrame:
+    """(node, root) of every fingerprint of ``own`` (id, h, fp)."""
+    first = F.min(F.struct(F.col("id").isNull().cast("int").alias("none"), F.coalesce("id", F.lit(NULL_ID)).alias("id"), "h"))
+    nodes = durable(own.groupBy("fp").agg(first.alias("f")).select(F.struct("f.none", "f.id", "f.h", "fp").cast(NODE).alias("node")))
+    roots = connected_components(links(nodes))
+    return durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,11 +201,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``component_id`` is the smallest id reachable over links of at most four
     differing bits, the row's own included.
     """
-    own = durable(fingerprints(df, id_col, text_col).drop("h"))
-    placed = _placed(own, F.min("id").alias("first"))
-    groups = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = durable(placed.join(groups, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("id", "fp", "component_id")
+    own = durable(fingerprints(df, id_col, text_col))
+    named = _placed(own).select("node.fp", F.when(F.col("root.none") == 0, F.col("root.id")).alias("component_id"))
+    return join_spread(own, named, ["fp"], "id").select("id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,10 +213,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     other id.  Rows equal in id and text are one component's; of them one stays.
     """
     own = durable(fingerprints(df, id_col, text_col))
-    placed = _placed(own, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
-    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h")
+    kept = _placed(own).filter("node = root").select(
+        F.col("node.none").alias("_none"), F.col("node.id").alias("_id"), F.col("node.h").alias("_h"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    d = df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(text_or_empty(text_col)).alias("_h")).alias("d")
-    same = F.col("d._key").eqNullSafe(F.col("k.id")) & (F.col("d._h") == F.col("k.h"))
-    joined = d.join(kept.alias("k"), same, "left_semi")
-    return joined.dropDuplicates(["_key", "_h"]).select("_row.*")
+    key = F.col(id_col).cast("long")
+    given = df.select(row.alias("_row"), key.isNull().cast("int").alias("_none"), F.coalesce(key, F.lit(NULL_ID)).alias("_id"),
+                      F.xxhash64(text_or_empty(text_col)).alias("_h"))
+    # Equal rows fall together before the shuffle, and the join uses the same dealing.
+    once = given.groupBy("_none", "_id", "_h").agg(F.first("_row").alias("_row"))
+    return once.join(kept, ["_none", "_id", "_h"], "left_semi").select("_row.*")

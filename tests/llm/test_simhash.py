@@ -58,8 +58,8 @@ def test_links_find_every_component_of_random_fingerprints(spark):
     values = {i: f for i, f in enumerate(dict.fromkeys(fps))}
     signed = {f - 2**64 if f >= 2**63 else f: i for i, f in values.items()}
     for block in (4096, 2):  # lists whole, and cut into blocks
-        df = spark.createDataFrame([(f,) for f in signed], "fp long")
-        roots = {signed[r["node"]]: r["root"] for r in connected_components(simhash.links(df, block=block)).collect()}
+        df = spark.createDataFrame([((0, i, 0, f),) for f, i in signed.items()], f"node {simhash.NODE}")
+        roots = {r["node"]["id"]: r["root"]["id"] for r in connected_components(simhash.links(df, block=block)).collect()}
         groups = brute_components(values)
         for a, b in combinations(values, 2):
             same = a in roots and b in roots and roots[a] == roots[b]
@@ -95,3 +95,11 @@ def test_unlike_texts_with_null_or_equal_ids_all_stay(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows + copies, "doc_id long, text string"))
     expected = [(3 if t == texts[2] else i, t) for i, t in rows]
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_a_hub_and_a_chain_are_one_component_each(spark):
+    hub = [(0, i) for i in range(1, 3000)]
+    chain = [(10_000 + i, 10_001 + i) for i in range(12)]
+    df = spark.createDataFrame(hub + chain, "u long, v long")
+    roots = {r["node"]: r["root"] for r in connected_components(df).collect()}
+    assert roots == {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(13)}
