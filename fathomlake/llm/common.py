@@ -70,7 +70,7 @@ def total_parts(df: DataFrame) -> int:
 
 
 def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, sizes: DataFrame | None = None,
-                total: int | None = None) -> DataFrame:
+                total: int | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, which has one row a key; no key is one task.
 
     Keys that hold more than a ``1 / (4 * partitions)`` share of ``left`` (and
@@ -90,4 +90,4 @@ def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     dealt = left.join(heavy, keys, "left").withColumn("_salt", salt).drop("_heavy")
     copied = right.join(heavy, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
-    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")

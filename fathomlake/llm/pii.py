@@ -13,22 +13,29 @@ words give an entity away even after its removal: over the whole corpus
 A term with ``n(c, t) >= support`` and disclosure of at least ``remove_at`` is
 removed, at every place in each document that holds the entity; from
 ``generalise_at`` on it is generalised to its shape (``[name]`` for a
-capitalised word, ``[word]`` otherwise).  As ``n(c, t) <= n(c)``, a term can
-reach ``generalise_at`` only with ``n(t) <= N (n(c) / N) ** generalise_at``: pairs
-beyond that are dropped before they are counted, and no other.  Base spans stay whatever the
-method adds; a term never overlaps one.  Positions count code points.
-
-All of it is DataFrame functions.  Null and empty texts have no spans.  Rows
-are told apart by id and text hash: equal rows count as one document in the
+capitalised word, ``[word]`` otherwise).  In documents that do not hold the
+entity a term to be removed goes too if ``n(c, t) >= elsewhere_support``, so that
+chance meetings of a rare word and an entity take no word from other documents;
+other terms stay there.  As ``n(c, t) <= n(c)``, a term can reach
+``generalise_at`` only with ``n(t) <= N (n(c) / N) ** generalise_at``: pairs beyond
+that are dropped before they are counted, and no other.  Base spans stay
+whatever the method adds; a term never overlaps one.  Positions count code
+points.
+
+All of it is DataFrame functions, and work grows with the length of a text, not
+with the square of its matches.  Null and empty texts have no spans.  Rows are
+told apart by id and text hash: equal rows count as one document in all of the
 statistics and get equal results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, let, split_words, text_or_empty
+from .common import durable, join_spread, let, split_words, text_or_empty
 
 # The kinds in their order, and their patterns.  The possessive
 # quantifiers and look-behinds change no match; they keep the search linear.
@@ -44,6 +51,8 @@ MARKS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A number of at most 255, leading zeros allowed.
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 NOT_LETTERS = r"[^\p{L}]+"
+#: Spans that are put back together at a time.
+BLOCK = 128
 #: The parts each term is dealt to, so that no common term is one task.
 SALTS = 8
 
@@ -51,20 +60,28 @@ SPANS = "array<struct<start:int,end:int,value:string>>"
 HIDDEN = "array<struct<start:int,end:int,remove:boolean,named:boolean>>"
 
 
-def _all_matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their code-point positions."""
-    pieces = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")
-    )
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``join`` along an array, by doubling: n log n steps."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(30)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda a, s: F.transform(
+        a, lambda x, i: F.when(i >= s, join(x, F.get(a, i - s))).otherwise(x)))
+
+
+def _places(text: Column, pattern: str, place: Callable[[Column, Column, Column], Column]) -> Column:
+    """``place(match, start, end)`` of all leftmost non-overlapping matches."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(b: Column) -> Column:
+        sizes = F.transform(b["m"], lambda x, i: F.length(x) + F.length(F.get(b["p"], i)))
+        ends = let(sizes, lambda s: _running(s, lambda x, y: x + y))
+        return let(ends, lambda e: F.transform(b["m"], lambda x, i: place(x, F.get(e, i) - F.length(x), F.get(e, i))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), zero, step, lambda a: a["spans"])
+    return let(both, placed)
+
+
+def _all_matches(text: Column, pattern: str) -> Column:
+    """The matches with their code-point positions."""
+    return _places(text, pattern, lambda m, start, end: F.struct(start.alias("start"), end.alias("end"), m.alias("value"))).cast(SPANS)
 
 
 def _luhn(digits: Column) -> Column:
@@ -97,19 +114,15 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(likely, found).otherwise(F.array().cast(SPANS))
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """``text`` with its base spans blanked; every other place stays."""
-    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+def _masked(text: Column) -> Column:
+    """``text`` with its e-mail addresses blanked; every other place stays.
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        end = F.greatest(acc["at"], s["end"])
-        piece = F.concat(text.substr(acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))
-        fresh = s["end"] > acc["at"]
-        return F.struct(end.alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    Base spans of the other kinds hold no letter, so no term either.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("m"), F.split(text, PATTERNS["email"], -1).alias("p"))
+    blanked = let(both, lambda b: F.array_join(F.transform(b["p"], lambda x, i: F.concat(
+        x, F.repeat(F.lit(" "), F.coalesce(F.length(F.get(b["m"], i)), F.lit(0))))), ""))
+    return F.when(F.contains(text, F.lit("@")), blanked).otherwise(text)
 
 
 def _term(word: Column) -> Column:
@@ -121,26 +134,16 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(split_words(text, NOT_LETTERS), _term))
 
 
-def _places(text: Column, removed: Column, softened: Column) -> Column:
-    """Every place of the terms: array of (start, end, remove, named)."""
-    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)).alias("m"), F.split(text, r"\p{L}+", -1).alias("p"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        remove = F.array_contains(removed, _term(x["m"]))
-        place = F.struct(start.alias("start"), end.alias("end"), remove.alias("remove"), x["m"].rlike(r"^\p{Lu}").alias("named"))
-        flagged = remove | F.array_contains(softened, _term(x["m"]))
-        return F.struct(end.alias("at"), F.when(flagged, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(HIDDEN).alias("out"))
-    return F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), zero, step, lambda a: a["out"])
+def _words(text: Column) -> Column:
+    """Every word of ``text``: array of (term, start, end, named)."""
+    return _places(text, r"\p{L}+", lambda m, start, end: F.struct(
+        _term(m).alias("term"), start.alias("start"), end.alias("end"), m.rlike(r"^\p{Lu}").alias("named")))
 
 
 def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _h, base (all spans by kind, then start) and masked, for every row.
 
-    ``masked`` is the text without base spans, null where there is none.
+    ``masked`` is the text without base spans, null where it has none.
     """
     text = F.col("_text")
 
@@ -154,35 +157,47 @@ def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = found.select("_id", "_h", "_text", *[base_spans(text, k).alias(f"_{k}") for k in KINDS])
     return (
         found.select("_id", "_h", let(F.concat(*typed), lambda base: F.struct(
-            base.alias("base"), F.when(F.size(base) > 0, _masked(text, base)).alias("masked"))).alias("r"))
+            base.alias("base"), F.when(F.size(base) > 0, _masked(text)).alias("masked"))).alias("r"))
         .select("_id", "_h", "r.base", "r.masked")
     )
 
 
-def disclosing_terms(df: DataFrame, docs: DataFrame, text_col: str, support: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over ``generalise_at``.
+def _doc(id_col: str | Column, h: Column) -> Column:
+    """The key of a row: its id and the hash of its text."""
+    return F.xxhash64(F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit("\0")), h)
+
+
+def entity_terms(once: DataFrame, docs: DataFrame, total: int, support: int, generalise_at: float) -> DataFrame:
+    """(_doc, entity, term, n_c, n_t) of all pairs of a document that may disclose.
 
-    ``docs`` has _doc, entities and masked of each document with base spans.
+    ``docs`` has _doc, entities and masked of each document with base spans,
+    ``once`` the _text of every document.
     """
-    total = float(max(df.count(), 1))
     holds = docs.select("_doc", F.explode("entities").alias("entity"))
     n_c = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter((F.col("n_c") >= support) & (F.col("n_c") < total))
-    most = F.lit(total * (1 + 1e-9)) * F.pow(F.col("n_c") / total, F.lit(generalise_at))
-    held = durable(holds.join(n_c, "entity").groupBy("_doc").agg(
+    most = F.lit(total * (1 + 1e-9)) * F.pow(F.col("n_c") / F.lit(float(total)), F.lit(generalise_at))
+    sizes = durable(n_c.withColumn("_n", F.col("n_c")))
+    met = join_spread(holds, sizes.drop("_n"), ["entity"], "_doc", sizes.select("entity", "_n"))
+    held = durable(met.groupBy("_doc").agg(
         F.collect_list(F.struct("entity", "n_c", most.alias("most"))).alias("held"), F.max(most).alias("top")))
     salt = F.pmod(F.col("_doc"), F.lit(SALTS)).cast("int")
-    near = docs.join(held, "_doc").select("held", "top", salt.alias("salt"), F.explode(_terms(F.col("masked"))).alias("term"))
-    words = _terms(text_or_empty(text_col))
-    n_t = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    near = docs.join(held, "_doc").select("_doc", "held", "top", salt.alias("salt"), F.explode(_terms(F.col("masked"))).alias("term"))
+    n_t = once.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     top = held.agg(F.max("top")).first()[0]
-    n_t = n_t.filter((F.col("n_t") >= support) & (F.col("n_t") <= (top or 0.0)))
+    n_t = durable(n_t.filter((F.col("n_t") >= support) & (F.col("n_t") <= (top or 0.0))))
     n_t = n_t.select("term", "n_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = near.join(n_t, ["term", "salt"]).filter("n_t <= top").select("term", "n_t", F.explode("held").alias("e")).filter("n_t <= e.most")
-    n_ct = pairs.groupBy("e.entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_t").alias("n_t"), F.max("e.n_c").alias("n_c"))
-    score = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
+    pairs = near.join(n_t, ["term", "salt"]).filter("n_t <= top").select("_doc", "term", "n_t", F.explode("held").alias("e"))
+    return pairs.filter("n_t <= e.most").select("_doc", "e.entity", "term", "e.n_c", "n_t")
+
+
+def disclosing_terms(pairs: DataFrame, total: int, support: int, generalise_at: float) -> DataFrame:
+    """(entity, term, disclosure, n_ct) of the pairs at or over ``generalise_at``."""
+    n_ct = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_t").alias("n_t"), F.max("n_c").alias("n_c"))
+    all_of = F.lit(float(total))
+    score = F.log(F.col("n_ct") * all_of / (F.col("n_c") * F.col("n_t"))) / F.log(all_of / F.col("n_c"))
     return (
         n_ct.filter(F.col("n_ct") >= support)
-        .select("entity", "term", F.least(F.lit(1.0), score).alias("disclosure"))
+        .select("entity", "term", F.least(F.lit(1.0), score).alias("disclosure"), "n_ct")
         .filter(F.col("disclosure") >= generalise_at)
     )
 
@@ -194,25 +209,39 @@ def detect(
     support: int = 2,
     generalise_at: float = 0.8,
     remove_at: float = 0.95,
+    elsewhere_support: int = 20,
 ) -> DataFrame:
-    """Per row: _id, _h, base spans and the terms to hide.
+    """Per row: _id, _h, _doc, base spans and the terms to hide.
 
     ``base`` is an array of (kind, start, end, value); ``hidden`` an array of
     (start, end, remove, named) in order of start.
     """
-    key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), F.col("_h"))
-    found = durable(find_base(df, id_col, text_col).withColumn("_doc", key))
+    found = durable(find_base(df, id_col, text_col).withColumn("_doc", _doc("_id", F.col("_h"))))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
     docs = durable(found.filter("masked is not null").select("_doc", entities.alias("entities"), "masked").dropDuplicates(["_doc"]))
-    flagged = durable(disclosing_terms(df, docs, text_col, support, generalise_at))
-    terms = (
-        docs.select("_doc", F.explode("entities").alias("entity")).join(flagged, "entity")
-        .groupBy("_doc", "term").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("_doc").agg(F.collect_list(F.when(F.col("disclosure") >= remove_at, F.col("term"))).alias("removed"),
-                             F.collect_list(F.when(F.col("disclosure") < remove_at, F.col("term"))).alias("softened"))
-    )
-    hidden = docs.join(terms, "_doc").select("_doc", _places(F.col("masked"), F.col("removed"), F.col("softened")).alias("hidden"))
-    return found.join(hidden, "_doc", "left").select("_id", "_h", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
+    text = text_or_empty(text_col)
+    once = df.select(_doc(id_col, F.xxhash64(text)).alias("_doc"), text.alias("_text"))
+    total = found.select("_doc").distinct().count()
+    if total < found.count():
+        once = once.dropDuplicates(["_doc"])
+
+    pairs = entity_terms(once, docs, total, support, generalise_at)
+    flagged = durable(disclosing_terms(pairs, total, support, generalise_at))
+    hits = join_spread(pairs.select("_doc", "entity", "term"), flagged.drop("n_ct"), ["entity", "term"], "_doc",
+                       flagged.select("entity", "term", F.col("n_ct").alias("_n"))).select("_doc", "term", "disclosure")
+    sources = docs.select("_doc", "masked")
+    strong = durable(flagged.filter((F.col("n_ct") >= elsewhere_support) & (F.col("disclosure") >= remove_at))
+                     .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    if not strong.isEmpty():
+        other = durable(once.select("_doc", F.explode(_terms(_masked(F.col("_text")))).alias("term")).join(strong, "term"))
+        hits = hits.unionByName(other)
+        bare = other.join(docs, "_doc", "left_anti").select("_doc").distinct()
+        sources = sources.unionByName(once.join(bare, "_doc", "left_semi").select("_doc", _masked(F.col("_text")).alias("masked")))
+    hits = durable(hits.groupBy("_doc", "term").agg((F.max("disclosure") >= remove_at).alias("remove")))
+    words = sources.join(hits.select("_doc").distinct(), "_doc", "left_semi").select("_doc", F.explode(_words(F.col("masked"))).alias("w"))
+    places = words.select("_doc", "w.*").join(hits, ["_doc", "term"])
+    hidden = places.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove", "named"))).cast(HIDDEN).alias("hidden"))
+    return found.join(hidden, "_doc", "left").select("_id", "_h", "_doc", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
 
 
 def hide(text: Column, base: Column, hidden: Column) -> Column:
@@ -227,24 +256,39 @@ def hide(text: Column, base: Column, hidden: Column) -> Column:
                                                F.when(s["remove"], "").when(s["named"], "[name]").otherwise("[word]").alias("as"))),
     ))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = text.substr(acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], between, s["as"])).otherwise(acc["out"]).alias("out"))
+    def piece(part: Column, offset: Column, x: Column) -> Column:
+        return F.concat(part.substr(x["before"] - offset + 1, x["start"] - x["before"]), x["as"])
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    return F.when(F.size(base) + F.size(hidden) > 0, rebuilt).otherwise(text)
+    def block(some: Column) -> Column:
+        """The text up to the end of some spans; cut out first, so that places in it are near."""
+        offset = F.element_at(some, 1)["before"]
+        part = text.substr(offset + 1, F.element_at(some, -1)["start"] - offset)
+        return let(F.struct(part.alias("part"), offset.alias("offset")), lambda c: F.array_join(
+            F.transform(some, lambda x: piece(c["part"], c["offset"], x)), ""))
+
+    def rebuilt(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+
+        def joined(r: Column) -> Column:
+            placed = F.transform(s, lambda x, i: F.struct(
+                x["start"].alias("start"), F.coalesce(F.get(r, i - 1), F.lit(0)).alias("before"), x["as"].alias("as")))
+            blocks = let(F.filter(placed, lambda x: x["start"] >= x["before"]), lambda f: F.transform(
+                F.sequence(F.lit(0), ((F.size(f) - 1) / BLOCK).cast("int")), lambda b: block(F.slice(f, b * BLOCK + 1, F.lit(BLOCK)))))
+            return F.concat(F.array_join(blocks, ""), text.substr(F.element_at(r, -1) + 1, F.length(text)))
+
+        return let(reach, joined)
+
+    return F.when(F.size(base) + F.size(hidden) > 0, let(spans, rebuilt)).otherwise(text)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with its texts sanitised; every row and column stays."""
-    found = detect(df, id_col, text_col, **options).filter(F.size("base") + F.size("hidden") > 0).dropDuplicates(["_id", "_h"])
-    d = df.alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")) & (F.xxhash64(text_or_empty(F.col(f"d.{text_col}"))) == F.col("f._h"))
-    text = F.col(f"d.{text_col}")
-    new = F.when(F.col("f._h").isNull(), text).otherwise(hide(text, F.col("f.base"), F.col("f.hidden")))
-    return d.join(found.alias("f"), same, "left").select(
-        *[(new.alias(c) if c == text_col else F.col(f"d.{c}")) for c in df.columns]
-    )
+    found = durable(detect(df, id_col, text_col, **options))
+    sizes = found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
+    spans = found.filter(F.size("base") + F.size("hidden") > 0).dropDuplicates(["_doc"]).select("_doc", "base", "hidden")
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                      _doc(id_col, F.xxhash64(text_or_empty(text_col))).alias("_doc"), F.monotonically_increasing_id().alias("_at"))
+    joined = join_spread(given, spans, ["_doc"], "_at", sizes, found.count(), "left")
+    text = F.col("_row")[text_col]
+    new = F.when(F.col("base").isNull(), text).otherwise(hide(text, F.col("base"), F.col("hidden")))
+    return joined.select(*[(new if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns])

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -100,3 +102,68 @@ def test_terms_go_wherever_they_stand_in_a_document_that_holds_the_entity(spark)
     assert all(clean[i] == text for i, text in rows[6:])
     places = {r["_id"]: [(s["start"], s["end"]) for s in r["hidden"]] for r in pii.detect(df).collect()}
     assert all(places[i] == [(m.start(), m.end()) for m in re.finditer("zanzibarro", text.lower())] for i, text in rows)
+
+
+def brute_hidden(rows: list[tuple], support: int = 2, soft: float = 0.8, hard: float = 0.95, elsewhere: int = 20) -> dict:
+    """(start, end, remove) of the hidden places of each distinct row, by counting all pairs."""
+    distinct = dict.fromkeys((i, t or "") for i, t in rows)
+
+    def masked(text: str) -> str:
+        return re.sub(PATTERNS["email"], lambda m: " " * len(m[0]), text)
+
+    def words(text: str) -> set[str]:
+        return set(re.findall(r"[^\W\d_]+", text.lower()))
+
+    held = {}
+    for row in distinct:
+        held[row] = {(k, row[1][a:b]) for k, a, b in ((s.split(":")[0], *map(int, s.split(":")[1:])) for s in brute(row[1]))}
+    n, n_c, n_t, n_ct = len(distinct), {}, {}, {}
+    for row, entities in held.items():
+        for t in words(row[1]):
+            n_t[t] = n_t.get(t, 0) + 1
+        for c in entities:
+            n_c[c] = n_c.get(c, 0) + 1
+            for t in words(masked(row[1])):
+                n_ct[c, t] = n_ct.get((c, t), 0) + 1
+    score = {
+        (c, t): min(1.0, math.log(both * n / (n_c[c] * n_t[t])) / math.log(n / n_c[c]))
+        for (c, t), both in n_ct.items() if both >= support and n_c[c] < n
+    }
+    out = {}
+    for row, entities in held.items():
+        best = {}
+        for (c, t), s in score.items():
+            if s >= soft and (c in entities or (s >= hard and n_ct[c, t] >= elsewhere)):
+                best[t] = max(best.get(t, 0), s)
+        out[row] = [(m.start(), m.end(), best[m[0].lower()] >= hard) for m in re.finditer(r"[^\W\d_]+", masked(row[1])) if m[0].lower() in best]
+    return out
+
+
+def test_hidden_terms_equal_brute_force_with_repeated_rows(spark):
+    draw, names = random.Random(5), [f"name{c}" for c in "abcdefghij"]
+    common = [f"word{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    rows: list[tuple] = []
+    for i in range(400):
+        words = draw.choices(common, k=30)
+        if i % 4 == 0:
+            who = draw.randrange(10)
+            words += [f"{names[who]}@corp.org"] if draw.random() < 0.8 else ["10.0.0.7"]
+            words.insert(draw.randrange(20), names[who].capitalize())
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"zorblax and john@acme.org {' '.join(draw.choices(common, k=15))}") for i in range(25)]
+    rows += [(2000, "zorblax alone among " + " ".join(common[:5]))]
+    rows += [rows[0]] * 30 + [rows[400]] * 30 + [(None, rows[4][1])] * 5 + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_hidden(rows)
+    assert any(want.values()) and want[2000, rows[425][1]][0][2]
+    texts = {i: t for i, t in rows if i is not None}
+    for r in pii.detect(df).collect():
+        text = texts.get(r["_id"], rows[4][1] if r["hidden"] or r["base"] else "")
+        assert [(s["start"], s["end"], s["remove"]) for s in r["hidden"]] == want.get((r["_id"], text), [])
+
+
+def test_work_grows_with_the_matches_of_a_text(spark):
+    text = " ".join(f"mail{i}@host{i}.org +1 555 010 {i:04d}" for i in range(9000))
+    df = spark.createDataFrame([(1, text), (2, "some words")], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean == {1: " ".join(["[EMAIL] [PHONE]"] * 9000), 2: "some words"}
