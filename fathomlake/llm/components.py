@@ -36,8 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     for _ in range(max_rounds):
-        both = durable(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        e = durable(_to_least(both.filter("v > u"), _least(both, True), 2 * before[0]).distinct())
+        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))  # to the larger ones; u > v in e
+        e = durable(_to_least(back, _least(e.unionByName(back), True), 2 * before[0]).distinct())
         least = _least(e, False)
         e = durable(_to_least(e, least, before[0]).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _state(e)

@@ -8,12 +8,15 @@ merges are rebuilt from the scores, both with byte fallback.
 
 Where no piece goes on past the start of a word and the normaliser only marks
 spaces, words are independent: a batch's distinct words that the worker has not
-met lately are encoded, as one multithreaded batch (``threads`` of a
-task), and texts are put together from them.  Other models encode whole texts.
+met lately are encoded and decoded, as one multithreaded batch (``threads`` of
+a task), and texts are put together from them.  Other models encode and decode
+whole texts.
 
-Parity with the reference implementation is verified on every ``verify_every``-th
-text of a batch; where one differs, the whole batch is encoded by the reference
-implementation instead, so results never depend on the backend.
+Parity with the reference implementation is verified on everything that the
+library encodes: on each word when the worker meets it, or on each text of the
+other models.  Where one differs, that word or text alone takes the reference's
+ids, so results never depend on the backend; ``backend`` names the reference in
+every row that holds such a word.
 
 Null text encodes to no ids, as empty text does.  The vocabulary file is read by
 the driver and travels to the tasks as bytes; its path is a parameter.
@@ -161,13 +164,14 @@ class _Codec:
         self.model, self.fast = model, model.tokenizer()
         self.words = model.tokenizer(whole=False) if model.words_are_independent else None
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
-        self.bytes = [
-            bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces
-        ]
         self.opens = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
         self.lead = " " if model.add_dummy_prefix else ""
+        self.marker = self.reference.piece_to_id(MARK)
         self.met: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
+        #: Words that decode to something else, and words that took the reference's ids: both few.
+        self.lossy: set[str] = set()
+        self.odd: set[str] = set()
 
     def split(self, text: str) -> list[str]:
         """The text's words, each with its leading spaces; one space goes unsaid."""
@@ -178,8 +182,8 @@ class _Codec:
         words = self.WORD.findall(self.lead + text)
         return [w[1:] if w[0] == " " != w[1:2] and len(w) > 1 and MARK not in w else w for w in words] if self.lead else words
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that were not met; drop the ones met long ago."""
+    def learn(self, words: set[str], threads: int) -> None:
+        """Encode and decode the words that were not met; drop the ones met long ago."""
         if len(self.met) > self.HELD:
             self.before, self.met = self.met, {}
         missing = words - self.met.keys()
@@ -188,29 +192,42 @@ class _Codec:
         new = list(missing - known)
         plain = [w for w in new if self.lead and w[0] not in (" ", MARK)]
         other = [w for w in new if not self.lead or w[0] in (" ", MARK)]
-        got = self.words.encode_batch_fast(other, add_special_tokens=False)
-        self.met.update((w, tuple(e.ids)) for w, e in zip(other, got, strict=True))
+        ids = [tuple(e.ids) for e in self.words.encode_batch_fast(other, add_special_tokens=False)]
         # A word with one space has one piece that begins with the marker: its first.
         runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         joined = [" " + " ".join(r) for r in runs]
         for run, e in zip(runs, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = e.ids
-            cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-            self.met.update((w, tuple(ids[a:b])) for w, a, b in zip(run, cuts[:-1], cuts[1:], strict=True))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text."""
+            got = e.ids
+            cuts = [*np.flatnonzero(self.opens[got]).tolist(), len(got)]
+            if len(cuts) == len(run) + 1:
+                ids += [tuple(got[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                ids += [tuple(e.ids) for e in self.words.encode_batch_fast([" " + w for w in run], add_special_tokens=False)]
+        new = other + plain
+        # The reference puts the lead itself.
+        asked = [w[1:] if self.lead and w[0] in (" ", MARK) else w for w in new]
+        for i, right in enumerate(self.reference.encode(asked, num_threads=threads)):
+            right = tuple(right) if asked[i] or not self.lead else (self.marker,)
+            if right != ids[i]:
+                ids[i] = right
+                self.odd.add(new[i])
+        said = self.words.decode_batch(list(map(list, ids)), skip_special_tokens=False)
+        lead = self.lead
+        self.lossy.update(w for w, d in zip(new, said, strict=True) if d != (w if not lead or w[0] in (" ", MARK) else lead + w))
+        self.met.update(zip(new, ids, strict=True))
+
+    def encode(self, texts: list[str], threads: int = 1) -> tuple[list, list[bool], list[bool]]:
+        """Of each text its ids, does decoding give it back, is the library's encoding the reference's."""
         if self.words is None:
-            return [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
+            right = self.reference.encode(texts, num_threads=threads)
+            return right, [a == b for a, b in zip(self.decode(right), texts, strict=True)], [a == b for a, b in zip(ids, right, strict=True)]
         split = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
+        self.learn(set(chain.from_iterable(split)), threads)
         get = self.met.__getitem__
-        return [list(chain.from_iterable(map(get, ws))) for ws in split]
-
-    def gives_back(self, ids: list[int], text: str) -> bool:
-        """Does decoding give the text; the bytes of the pieces, put together."""
-        raw = b"".join(map(self.bytes.__getitem__, ids))
-        return raw == (self.lead + text if text else text).encode("utf-8", "surrogatepass")
+        same = [self.lossy.isdisjoint(ws) for ws in split] if self.lossy else [True] * len(texts)
+        equal = [self.odd.isdisjoint(ws) for ws in split] if self.odd else [True] * len(texts)
+        return [list(chain.from_iterable(map(get, ws))) for ws in split], same, equal
 
     def decode(self, ids: list) -> list[str]:
         return self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -237,13 +254,15 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
-    threads: int = 1,
-    verify_every: int = 100,
+    threads: int | None = None,
 ) -> DataFrame:
     """id, ``keep``, ids and decoded (does decoding give the text back).
 
-    A text that holds the marker itself decodes to spaces.  ``backend`` names what encoded the row.
+    A text that holds the marker itself decodes to spaces.  ``threads`` are those
+    of a batch in a task: the session's CPUs of a task, two at least.
+    ``backend`` names what encoded the row.
     """
+    threads = threads or max(2, int(df.sparkSession.conf.get("spark.task.cpus", "1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -253,15 +272,11 @@ def encode(
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids = codec.encode(texts)
-                name, tested = "tokenizers", range(0, len(texts), verify_every)
-                if codec.reference.encode([texts[i] for i in tested], num_threads=threads) != [ids[i] for i in tested]:
-                    ids, name = codec.reference.encode(texts, num_threads=threads), "sentencepiece"
-                same = [codec.gives_back(i, t) for i, t in zip(ids, texts, strict=True)]
+                ids, same, equal = codec.encode(texts, threads)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
                 flat = np.concatenate([np.empty(0, np.int32), *(np.asarray(i, np.int32) for i in ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                out = [*part.columns[:-1], lists, pa.array(same, pa.bool_()), pa.array([name] * len(texts), pa.string())]
+                out = [*part.columns[:-1], lists, pa.array(same, pa.bool_()), pa.array(["tokenizers" if e else "sentencepiece" for e in equal], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
     given = df.select(F.col(id_col), *[F.col(c) for c in keep], text_or_empty(text_col).alias("_text"))

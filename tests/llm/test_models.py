@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -90,6 +91,69 @@ def test_sentencepiece_parity_and_round_trip(spark, sf_dir):
     assert sentencepiece_codec.encode(df.limit(0), model).count() == 0
 
 
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _message(*fields: tuple) -> bytes:
+    """A protobuf message of (number, value): integers, floats, bytes."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += _varint(number << 3) + _varint(value)
+        elif isinstance(value, float):
+            out += _varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += _varint(number << 3 | 2) + _varint(len(value)) + value
+    return out
+
+
+def unigram_model(extra: dict[str, float], spaces: int) -> bytes:
+    """A hand-made unigram model with byte fallback; ``spaces``: does it remove extra ones."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]]
+    pieces += [(p, s, 1) for p, s in ({"▁": -3.0, **{c: -8.0 for c in "abcdefghijklmnopqrstuvwxyz"}} | extra).items()]
+    fields = [(1, _message((1, p.encode()), (2, s), (3, kind))) for p, s, kind in pieces]
+    return _message(*fields, (2, _message((3, 1), (35, 1))), (3, _message((1, b"identity"), (3, 1), (4, spaces), (5, 1))))
+
+
+UNIGRAM = {"▁the": -2.0, "▁ca": -4.0, "t": -5.0, "▁cat": -4.5, "ca": -6.0, "▁sat": -4.0, "at": -5.5, "s": -7.5, "he": -6.0}
+ODD_TEXTS = ["the cat sat", "", " ", "  the  cat ", "Cat é 漢 \U0001f600", "thecat▁sat", "▁", "a\tb\nc", "the cat " * 3000, "zzz"]
+
+
+@pytest.mark.parametrize(("extra", "spaces", "independent"), [({}, 0, True), ({"the▁cat": -3.0}, 0, False), ({}, 1, False)])
+def test_unigram_models_equal_the_reference(spark, extra, spaces, independent):
+    import sentencepiece
+
+    model = sentencepiece_codec.Model.parse(unigram_model(UNIGRAM | extra, spaces))
+    assert model.model_type == sentencepiece_codec.UNIGRAM and model.words_are_independent == independent
+    reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
+    rows = [(i, t) for i, t in enumerate([*ODD_TEXTS, None, ODD_TEXTS[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("backend", F.lit(1)).withColumn("decoded", F.lit(2))
+    for threads in (1, 4):
+        back = sentencepiece_codec.decode(sentencepiece_codec.encode(df, model, threads=threads), model).collect()
+        assert len(back) == len(rows)
+        for r in back:
+            text = rows[r["doc_id"]][1] or ""
+            assert r["ids"] == reference.encode(text), text
+            assert r["text"] == reference.decode(r["ids"]) and r["decoded"] == (r["text"] == text)
+
+
+def test_a_word_that_differs_takes_the_references_ids(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece_codec.Model.parse(unigram_model(UNIGRAM, 0))
+    wrong = sentencepiece_codec.Model.parse(unigram_model(UNIGRAM | {"▁cat": -40.0}, 0))
+    codec = sentencepiece_codec._Codec(model)
+    codec.words = wrong.tokenizer(whole=False)
+    ids, same, equal = codec.encode(["the cat", "the mat", "sat cat"])
+    reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
+    assert ids == [reference.encode(t) for t in ("the cat", "the mat", "sat cat")]
+    assert equal == [False, True, False] and same == [True] * 3
+
+
 def brute_nearest(vectors: dict, queries_: list, k: int = 10) -> dict:
     return {q: sorted((math.dist(vectors[q], v), i) for i, v in vectors.items() if i != q)[:k] for q in queries_}
 
@@ -104,6 +168,23 @@ def test_nearest_recall_and_distances(spark, sf_dir):
     assert all(r["score"] == pytest.approx(math.dist(vectors[r["query_id"]], vectors[r["vec_id"]])) for r in rows)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_over_many_shards_and_blocks(spark, clustered):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(12, 16)) * (8 if clustered else 0)
+    data = {i: (centres[i % 12] + draw.normal(size=16)).tolist() for i in range(1500)}
+    data |= {2000 + i: data[7] for i in range(300)}  # a hot vector
+    df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    asked = [i for i in data if i % 20 == 0]
+    rows = nearest.search(df, df.filter("vec_id % 20 = 0"), shard_rows=100, block_rows=16).collect()
+    want = brute_nearest(data, asked)
+    assert len(rows) == 10 * len(asked) and len({(r["query_id"], r["rank"]) for r in rows}) == len(rows)
+    # the hot vector's copies tie: what counts is the distance
+    assert sum(r["score"] <= want[r["query_id"]][r["rank"] - 1][0] + 1e-9 for r in rows) >= 0.9 * len(rows)
+    hot = [(r["rank"], r["vec_id"]) for r in rows if r["query_id"] == 2020]
+    assert sorted(hot) == list(enumerate([7, *range(2000, 2009)], 1))
+
+
 def test_nearest_edge_rows(spark):
     vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit(2))
