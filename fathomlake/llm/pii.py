@@ -134,10 +134,13 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(split_words(text, NOT_LETTERS), _term))
 
 
-def _words(text: Column) -> Column:
-    """Every word of ``text``: array of (term, start, end, named)."""
-    return _places(text, r"\p{L}+", lambda m, start, end: F.struct(
-        _term(m).alias("term"), start.alias("start"), end.alias("end"), m.rlike(r"^\p{Lu}").alias("named")))
+def _hidden(text: Column, removed: Column, softened: Column) -> Column:
+    """Every place of the terms: array of (start, end, remove, named)."""
+    words = _places(text, r"\p{L}+", lambda m, start, end: F.struct(
+        start.alias("start"), end.alias("end"), _term(m).alias("term"), m.rlike(r"^\p{Lu}").alias("named")))
+    known = F.filter(words, lambda w: F.array_contains(removed, w["term"]) | F.array_contains(softened, w["term"]))
+    return F.transform(known, lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), F.array_contains(removed, w["term"]).alias("remove"), w["named"].alias("named"))).cast(HIDDEN)
 
 
 def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,18 +232,16 @@ def detect(
     flagged = durable(disclosing_terms(pairs, total, support, generalise_at))
     hits = join_spread(pairs.select("_doc", "entity", "term"), flagged.drop("n_ct"), ["entity", "term"], "_doc",
                        flagged.select("entity", "term", F.col("n_ct").alias("_n"))).select("_doc", "term", "disclosure")
-    sources = docs.select("_doc", "masked")
-    strong = durable(flagged.filter((F.col("n_ct") >= elsewhere_support) & (F.col("disclosure") >= remove_at))
-                     .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
-    if not strong.isEmpty():
-        other = durable(once.select("_doc", F.explode(_terms(_masked(F.col("_text")))).alias("term")).join(strong, "term"))
-        hits = hits.unionByName(other)
-        bare = other.join(docs, "_doc", "left_anti").select("_doc").distinct()
-        sources = sources.unionByName(once.join(bare, "_doc", "left_semi").select("_doc", _masked(F.col("_text")).alias("masked")))
-    hits = durable(hits.groupBy("_doc", "term").agg((F.max("disclosure") >= remove_at).alias("remove")))
-    words = sources.join(hits.select("_doc").distinct(), "_doc", "left_semi").select("_doc", F.explode(_words(F.col("masked"))).alias("w"))
-    places = words.select("_doc", "w.*").join(hits, ["_doc", "term"])
-    hidden = places.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove", "named"))).cast(HIDDEN).alias("hidden"))
+    strong = flagged.filter((F.col("n_ct") >= elsewhere_support) & (F.col("disclosure") >= remove_at))
+    strong = durable(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    other = durable(once.select("_doc", F.explode(_terms(_masked(F.col("_text")))).alias("term")).join(strong, "term"))
+    bare = other.join(docs, "_doc", "left_anti").select("_doc").distinct()
+    sources = docs.select("_doc", "masked").unionByName(
+        once.join(bare, "_doc", "left_semi").select("_doc", _masked(F.col("_text")).alias("masked")))
+    terms = hits.unionByName(other).groupBy("_doc", "term").agg((F.max("disclosure") >= remove_at).alias("remove"))
+    terms = durable(terms.groupBy("_doc").agg(F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed"),
+                                              F.collect_list(F.when(~F.col("remove"), F.col("term"))).alias("softened")))
+    hidden = sources.join(terms, "_doc").select("_doc", _hidden(F.col("masked"), F.col("removed"), F.col("softened")).alias("hidden"))
     return found.join(hidden, "_doc", "left").select("_id", "_h", "_doc", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
 
 
