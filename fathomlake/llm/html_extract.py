@@ -1,20 +1,28 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The block elements of a page form a tree.  Each has a hidden label, content or
-not, with a unary potential from its features (tag, class and id words, text
-length, link share, place) and a potential with its parent's label.  Messages
-pass upward and downward once (sum-product), which on a tree yields the exact
-marginal of every label.  The weights are trained on labelled pages: the
-gradient of the log likelihood is observed minus expected features, and the
-expectations come from the same message passing.
-
-The text of the elements whose content marginal is over one half is kept, in
-page order.  A block is a run of text between the starts and ends of block
-elements; inside it references are decoded and white space becomes one space.
-Scripts, styles, forms' controls and the head have no text at all.
+The block elements of a page form a tree, and every run of text is a leaf of
+its element.  Each node has a hidden label, content or not, with a unary
+potential from its features and a potential with its parent's label.  Features
+of elements are tag, class and id words, depth, text, link share and sentences
+below them; those of text are words, links, sentences, words that notices and
+footers use, place in the page, and the text before and after.  Messages pass
+upward and downward once (sum-product), which on a tree yields the exact
+marginal of every label.  The weights are trained on labelled pages, each of
+them also without its class names and with plain elements, so that no name
+decides alone: the gradient of the log likelihood is observed minus expected
+features, and the expectations come from the same message passing.
+
+The text leaves whose content marginal is over one half are kept, in page
+order.  A block is a run of text between the starts and ends of block elements;
+inside it references are decoded and white space becomes one space.  Scripts,
+styles, the head, forms' controls and the fallback of media have no text at all,
+nor has what is hidden (``hidden``, ``display:none``, ``visibility:hidden``,
+``aria-hidden``).
 
 Null and empty pages give an empty text.  Unclosed tags, comments and quotes
-end where browsers end them, at the latest at the end of the page.
+end where browsers end them, at the latest at the end of the page; a link ends
+at the end of its block, and a control without an end tag is passed over.
+Pages are read alone: repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -40,8 +48,10 @@ BLOCKS = frozenset(
     "menu hgroup search".split()
 )
 NO_TEXT = frozenset("script style head noscript template iframe object svg math canvas audio video select option textarea button title".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select head".split()) - {"head"}
+RAW = frozenset("script style textarea title noscript iframe template".split())
+CONTROLS = NO_TEXT - RAW - {"head"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SEMANTIC = frozenset("article main section nav header footer aside form table ul ol".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
@@ -57,31 +67,52 @@ CUES = {
     "main": "content main article post entry story text body page prose".split(),
 }
 CUE_OF = {word: cue for cue, words in CUES.items() for word in words}
+# Words of text that is seldom the article's own.
+SAYS = {
+    "edge": "copyright rights reserved imprint impressum terms privacy powered contact mentions legal reservados droits rechte".split(),
+    "notice": "cookie cookies consent accept javascript browser".split(),
+    "offer": "subscribe newsletter sponsored advertisement buy sale discount sign login register share follow tweet".split(),
+    "more": "related popular recommended archive tags previous next comments replies reply respond".split(),
+}
+SAYS_OF = {word: cue for cue, words in SAYS.items() for word in words}
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-gold)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
+ENDS = re.compile(r"[.!?\u2026\u3002](?=[\s\"')\u00bb\u201d]|$)")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
+TEXT = "#text"
+
+
 @dataclass
 class Page:
-    """Elements in page order (a parent before its children), and the blocks."""
+    """Elements and texts in page order, a parent before its children."""
 
     tags: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     cues: list[frozenset] = field(default_factory=list)
     gold: list[str | None] = field(default_factory=list)
-    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
+    texts: dict[int, tuple[str, int]] = field(default_factory=dict)  # node: text, characters in links
 
 
 def parse(html: str) -> Page:
     page = Page()
     stack, open_tags = [], {}
-    run, linked, links = [], 0, 0
+    run, linked, links, hidden = [], 0, 0, 0
+    endless: set[str] = set()  # tags that no end tag follows any more
     at, end = 0, len(html)
 
-    def add(tag: str, attributes: str) -> None:
+    def node(tag: str, cues: frozenset, gold: str | None) -> int:
+        page.parents.append(stack[-1] if stack else -1)
+        page.tags.append(tag)
+        page.cues.append(cues)
+        page.gold.append(gold)
+        return len(page.tags) - 1
+
+    def read(attributes: str) -> tuple[frozenset, str | None]:
         cues, gold = set(), None
         if "=" in attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
@@ -90,24 +121,39 @@ def parse(html: str) -> Page:
                     gold = value
                 else:
                     cues.update(CUE_OF[w] for w in WORD.findall(value.lower()) if w in CUE_OF)
-        page.parents.append(stack[-1] if stack else -1)
-        page.tags.append(tag)
-        page.cues.append(frozenset(cues))
-        page.gold.append(gold)
-        stack.append(len(page.tags) - 1)
+        return frozenset(cues), gold
+
+    def add(tag: str, attributes: str) -> None:
+        nonlocal hidden
+        stack.append(node(tag, *read(attributes)))
         open_tags[tag] = open_tags.get(tag, 0) + 1
+        if not hidden and attributes and HIDDEN.search(attributes):
+            hidden = len(stack)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if run:
             text = SPACE.sub(" ", unescape("".join(run))).strip()
-            if text:
-                page.blocks.append((stack[-1], text, linked))
+            if text and not hidden:
+                page.texts[node(TEXT, frozenset(), None)] = text, linked
             run.clear()
-            linked = 0
+        linked = links = 0
 
     def pop() -> None:
+        nonlocal hidden
         open_tags[page.tags[stack.pop()]] -= 1
+        if len(stack) < hidden:
+            hidden = 0
+
+    def after_end(tag: str, start: int) -> int:
+        """The place after the tag's next end tag; -1 if there is none."""
+        if tag in endless:
+            return -1
+        stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, start)
+        close = html.find(">", stop.end()) if stop else -1
+        if close < 0:
+            endless.add(tag)
+        return close + 1 if close >= 0 else -1
 
     add("html", "")
     while at < end:
@@ -151,7 +197,10 @@ def parse(html: str) -> Page:
                 if near and page.tags[stack[near]] in CLOSES[tag]:
                     while len(stack) > near:
                         pop()
-            if tag == "html" or (tag == "body" and open_tags.get("body")):
+            if tag == "html":
+                page.gold[0] = read(attributes)[1] or page.gold[0]
+                continue
+            if tag == "body" and open_tags.get("body"):
                 continue
             add(tag, attributes)
             if tag == "hr":
@@ -160,9 +209,13 @@ def parse(html: str) -> Page:
             if tag == "a":
                 links = 0
         elif tag in RAW and not attributes.endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            close = html.find(">", stop.end()) if stop else -1
-            at = end if close < 0 else close + 1
+            stop = after_end(tag, at)
+            at = end if stop < 0 else stop
+        elif (tag in CONTROLS or (attributes and tag not in VOID and HIDDEN.search(attributes))) and not attributes.endswith("/"):
+            stop = after_end(tag, at)
+            if stop >= 0:
+                run.append(" ")
+                at = stop
         elif tag == "a":
             links = 1
         elif tag == "br" or tag in VOID:
@@ -171,32 +224,65 @@ def parse(html: str) -> Page:
     return page
 
 
+def _size(n: int) -> int:
+    return min(n.bit_length(), 8)
+
+
+def _share(part: int, whole: int) -> int:
+    return round(4 * min(part, whole) / whole) if whole else 0
+
+
 def _features(page: Page) -> list[list[str]]:
     n = len(page.tags)
-    own, link, total, total_link, kids = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    for node, text, linked in page.blocks:
-        own[node] += len(text)
-        link[node] += min(linked, len(text))
-    total[:], total_link[:] = own, link
+    chars, link, words, ends, texts, kids, depth = ([0] * n for _ in range(7))
+    for i, (text, linked) in page.texts.items():
+        chars[i], link[i], words[i], texts[i] = len(text), min(linked, len(text)), text.count(" ") + 1, 1
+        ends[i] = len(ENDS.findall(text))
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
-        total[p] += total[i]
-        total_link[p] += total_link[i]
         kids[p] += 1
-    whole = max(total[0], 1)
+        for sums in (chars, link, words, ends, texts):
+            sums[p] += sums[i]
+    for i in range(1, n):
+        depth[i] = depth[page.parents[i]] + 1
+    under, names = [""] * n, [frozenset()] * n
+    for i in range(1, n):
+        p = page.parents[i]
+        under[i] = page.tags[i] if page.tags[i] in SEMANTIC else under[p]
+        names[i] = names[p] | page.cues[i] if page.tags[i] != "body" else names[p]
+    order = list(page.texts)
+    spot = {node: k for k, node in enumerate(order)}
     rows = []
     for i in range(n):
-        f = ["bias", f"tag={page.tags[i]}", f"own={min(own[i].bit_length(), 7)}", f"links={round(4 * total_link[i] / max(total[i], 1))}"]
-        f.append(f"share={round(4 * total[i] / whole)}")
-        f += [f"cue={c}" for c in page.cues[i]]
-        if kids[i]:
-            f.append("has children")
+        links = _share(link[i], chars[i])
+        if page.tags[i] != TEXT:
+            f = ["bias", f"tag={page.tags[i]}", f"words={_size(words[i])}", f"links={links}", f"share={_share(chars[i], chars[0])}",
+                 f"depth={min(depth[i], 6)}", f"sentences={_size(ends[i])}", f"texts={_size(texts[i])}",
+                 f"per text={_size(words[i] // max(texts[i], 1))}"]
+            f += [f"cue={c}" for c in page.cues[i]]
+            rows.append(f)
+            continue
+        p, text, k = page.parents[i], page.texts[i][0], spot[i]
+        f = ["text", f"in={page.tags[p]}", f"under={under[i]}", f"text words={_size(words[i])}", f"text links={links}", f"text sentences={min(ends[i], 4)}",
+             f"place={_share(k, max(len(order) - 1, 1))}", f"text share={_share(chars[i], chars[0])}", f"siblings={_size(kids[p])}",
+             f"beside links={_share(link[p], chars[p])}", f"stops={bool(ENDS.search(text[-2:]))}"]
+        f += [f"under cue={c}" for c in names[i]]
+        for name, j in (("before", k - 1), ("after", k + 1)):
+            if 0 <= j < len(order):
+                o = order[j]
+                f.append(f"{name}={_size(words[o])},{_share(link[o], chars[o]) // 2},{ends[o] > 0}")
+            else:
+                f.append(f"{name}=none")
+        if words[i] < 40:
+            f += sorted({f"says={SAYS_OF[w]}" for w in WORD.findall(text.lower()) if w in SAYS_OF})
+        if "\u00a9" in text[:40]:
+            f.append("says=edge")
         rows.append(f)
     return rows
 
 
-def marginals(unary: Sequence[float], parents: Sequence[int], pair: Sequence[Sequence[float]]) -> tuple[list[float], list, float]:
-    """Sum-product on the tree: P(label 1) of each node, parent-child beliefs, log Z.
+def marginals(unary: Sequence[float], parents: Sequence[int], pair: Sequence[Sequence[float]], joint: bool = False) -> tuple[list[float], list, float]:
+    """Sum-product on the tree: P(label 1) of each node, P(parent, child labels) if ``joint``, log Z.
 
     ``unary`` is the score of label 1 over label 0; ``pair[parent][child]`` the
     score of two labels.  Children come after their parents.
@@ -222,7 +308,9 @@ def marginals(unary: Sequence[float], parents: Sequence[int], pair: Sequence[Seq
             # all that the parent knows but from this child
             q0, q1 = down0[p] + up0[p] - m0[i], down1[p] + up1[p] - m1[i]
             down0[i], down1[i] = add(q0 + pair[0][0], q1 + pair[1][0]), add(q0 + pair[0][1], q1 + pair[1][1])
-            beliefs[i] = (q0, q1)
+            if joint:
+                cells = [[q0 + pair[0][0] + up0[i], q0 + pair[0][1] + up1[i]], [q1 + pair[1][0] + up0[i], q1 + pair[1][1] + up1[i]]]
+                beliefs[i] = [[exp(c - log_z) for c in row] for row in cells]
         x = (down1[i] + up1[i]) - (down0[i] + up0[i])
         one[i] = 1 / (1 + exp(-x)) if x > -700 else 0.0
     return one, beliefs, log_z
@@ -241,7 +329,7 @@ def _gold(page: Page) -> list[int]:
     return labels
 
 
-def train(pages: Sequence[str], rounds: int = 200, rate: float = 0.25, penalty: float = 0.01) -> Weights:
+def train(pages: Sequence[str], rounds: int = 80, rate: float = 0.4, penalty: float = 0.01) -> Weights:
     """Fit the weights to pages whose labels are in ``data-gold``."""
     parsed = [parse(p) for p in pages]
     data = [(_features(p), p.parents, _gold(p)) for p in parsed]
@@ -255,17 +343,13 @@ def train(pages: Sequence[str], rounds: int = 200, rate: float = 0.25, penalty:
         table = pair.tolist()
         for rows, parents, gold in data:
             unary = [float(w[r].sum()) for r in rows]
-            one, beliefs, _ = marginals(unary, parents, table)
-            up = _upward(unary, parents, table)
+            one, beliefs, _ = marginals(unary, parents, table, joint=True)
             for i, r in enumerate(rows):
                 gw[r] += gold[i] - one[i]
                 if i:
                     p = parents[i]
                     gp[gold[p], gold[i]] += 1
-                    q = beliefs[i]
-                    joint = np.array([[q[a] + up[i][b] + pair[a, b] for b in (0, 1)] for a in (0, 1)])
-                    joint = np.exp(joint - joint.max())
-                    gp -= joint / joint.sum()
+                    gp -= beliefs[i]
         g2w += gw * gw
         g2p += gp * gp
         w += rate * gw / np.sqrt(g2w)
@@ -273,32 +357,24 @@ def train(pages: Sequence[str], rounds: int = 200, rate: float = 0.25, penalty:
     return Weights(dict(zip(names, w.tolist(), strict=True)), tuple(map(tuple, pair.tolist())))
 
 
-def _upward(unary: Sequence[float], parents: Sequence[int], pair: Sequence[Sequence[float]]) -> list[tuple[float, float]]:
-    up = [[0.0, u] for u in unary]
-    for i in range(len(unary) - 1, 0, -1):
-        for a in (0, 1):
-            up[parents[i]][a] += float(np.logaddexp(up[i][0] + pair[a][0], up[i][1] + pair[a][1]))
-    return [tuple(x) for x in up]
-
-
 @lru_cache(1)
 def default_weights() -> Weights:
     """Trained on the labelled pages that come with the module."""
-    from .labelled_pages import PAGES
+    from .labelled_pages import training_pages
 
-    return train(PAGES)
+    return train(training_pages())
 
 
 def main_text(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
     page = parse(html)
-    if not page.blocks:
+    if not page.texts:
         return ""
     known = weights.unary.get
     unary = [sum(known(f, 0.0) for f in row) for row in _features(page)]
     one, _, _ = marginals(unary, page.parents, weights.pair)
-    return "\n".join(text for node, text, _ in page.blocks if one[node] > 0.5)
+    return "\n".join(text for node, (text, _) in page.texts.items() if one[node] > 0.5)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
