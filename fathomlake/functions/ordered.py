@@ -8,6 +8,7 @@ approximate quantiles: that affects balance, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,3 +89,61 @@ def neighbours(df: DataFrame, key: str, columns: Sequence[str], parts: int = 64)
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col(f"_last.{c}")).otherwise(F.col(f"prev_{c}")))
     return out.drop("_part", "_first", "_last")
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = 10_000) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles of each column; nulls and NaN aside.
+
+    Each quantile is bracketed by approximate ones and the rows before and in the
+    bracket are counted, until a bracket holds at most ``limit`` rows or a single
+    value; only the distinct values of the last brackets are gathered.  Every
+    pass serves all columns, and no task holds a column's values.
+    """
+    number = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
+    n = df.agg(*[F.count(number[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    todo = [(c, p, (n[f"n{i}"] - 1) * p) for i, c in enumerate(columns) for p in probabilities if n[f"n{i}"]]
+    inside = [[-math.inf, math.inf, 0, n[f"n{columns.index(c)}"]] for c, _, _ in todo]  # from, to, rows before, rows in it
+
+    def between(i: int) -> Column:
+        low, high, _, _ = inside[i]
+        x = number[todo[i][0]]
+        return F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
+
+    active = [i for i in range(len(todo)) if inside[i][3] > limit]
+    while active:
+        shares = {i: [max(0.0, (math.floor(todo[i][2]) - inside[i][2]) / inside[i][3] - 3e-4),
+                      min(1.0, (math.ceil(todo[i][2]) + 1 - inside[i][2]) / inside[i][3] + 3e-4)] for i in active}
+        near = df.agg(*[F.percentile_approx(between(i), shares[i], 10_000).alias(f"q{i}") for i in active]).first()
+        x = {i: number[todo[i][0]] for i in active}
+        sums = [F.sum((x[i] < F.lit(near[f"q{i}"][0])).cast("long")).alias(f"a{i}") for i in active]
+        sums += [F.sum((x[i] <= F.lit(near[f"q{i}"][1])).cast("long")).alias(f"b{i}") for i in active]
+        counts, left = df.agg(*sums).first(), []
+        for i in active:
+            low, high, before, size = inside[i]
+            end = before + size
+            if counts[f"a{i}"] <= math.floor(todo[i][2]):
+                low, before = near[f"q{i}"][0], counts[f"a{i}"]
+            if counts[f"b{i}"] > math.ceil(todo[i][2]):
+                high, end = near[f"q{i}"][1], counts[f"b{i}"]
+            shrunk = end - before < size
+            inside[i] = [low, high, before, end - before]
+            if shrunk and end - before > limit and low < high:
+                left.append(i)
+        active = left
+    found: dict[tuple[str, float], float] = {}
+    if todo:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), between(i).alias("x")) for i in range(len(todo))])
+        tall = df.select(F.explode(F.filter(cells, lambda c: c["x"].isNotNull())).alias("c")).groupBy("c.i", "c.x").agg(F.count(F.lit(1)).alias("n"))
+        values: dict[int, list[tuple[float, int]]] = {}
+        for r in tall.collect():
+            values.setdefault(r["i"], []).append((r["x"], r["n"]))
+        for i, (c, p, place) in enumerate(todo):
+            seen, ends = inside[i][2], {}
+            for x, m in sorted(values[i]):
+                for rank in (math.floor(place), math.ceil(place)):
+                    if seen <= rank < seen + m:
+                        ends[rank] = x
+                seen += m
+            a, b = ends[math.floor(place)], ends[math.ceil(place)]
+            found[c, p] = a + (b - a) * (place - math.floor(place))
+    return {c: [found.get((c, p)) for p in probabilities] for c in columns}

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles
 from .profile import is_binary, null_total
 
 SQFT_TO_M2 = 0.092903
@@ -41,14 +42,9 @@ def negatives_to_null(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
 
 
 def quantile_fences(df: DataFrame, columns: Sequence[str], low: float, high: float, width: float) -> dict[str, tuple[float, float]]:
-    """The fences of all columns from one aggregate with exact quantiles."""
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    fences = {}
-    for c in columns:
-        if row[c] is not None:
-            a, b = row[c]
-            fences[c] = (a - width * (b - a), b + width * (b - a))
-    return fences
+    """The fences of all columns, from exact quantiles found in common passes."""
+    ends = {c: q for c, q in quantiles(df, columns, (low, high)).items() if q[0] is not None}
+    return {c: (a - width * (b - a), b + width * (b - a)) for c, (a, b) in ends.items()}
 
 
 def outliers_to_null(df: DataFrame, columns: Sequence[str], low: float = 0.15, high: float = 0.85, width: float = 1.5) -> DataFrame:

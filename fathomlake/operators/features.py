@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,23 @@ def powers(df: DataFrame, columns: Sequence[str], exponents: Sequence[int]) -> D
     return df.withColumns({f"{c}_pow{p}": F.pow(F.col(c).cast("double"), F.lit(float(p))) for c in columns for p in exponents})
 
 
+def monomials(columns: Sequence[str], degree: int) -> dict[str, Column]:
+    """All products of powers up to a total degree, cross terms included: name -> column."""
+    out: dict[str, Column] = {}
+    for total in range(1, degree + 1):
+        for chosen in combinations_with_replacement(columns, total):
+            name = "_".join(f"{c}{chosen.count(c)}" for c in dict.fromkeys(chosen))
+            out[name] = reduce(lambda a, c: a * c, [F.col(c).cast("double") for c in chosen])
+    return out
+
+
+def drawn_powers(columns: Sequence[str], draws: int = 300, exponents: tuple[int, int] = (2, 11), seed: int = 42) -> list[tuple[str, int]]:
+    """Seeded draws of (column, exponent), spread over the columns; repeats fall together."""
+    draw = random.Random(seed)
+    each = max(1, draws // max(len(columns), 1))
+    return sorted({(c, draw.randint(*exponents)) for c in columns for _ in range(each)})
+
+
 def ratio(a: str, b: str) -> Column:
     """a / b; null where b is 0."""
     return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))

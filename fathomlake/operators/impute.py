@@ -73,6 +73,12 @@ def knn_mean_impute(df: DataFrame, target: str, features: Sequence[str], row_id:
     return df.join(fill, F.col(row_id).cast("long") == F.col("query_id"), "left").withColumn(target, out).drop("query_id", "_fill")
 
 
-def impute_in_order(df: DataFrame, knn_target: str, knn_feature: str, mean_target: str, mean_group: str, row_id: str, k: int = 5) -> DataFrame:
-    """One column by its nearest rows, then another by its group's mean."""
-    return group_mean_impute(knn_mode_impute(df, knn_target, [knn_feature], row_id, k), mean_target, mean_group)
+def impute_in_order(df: DataFrame, knn_target: str, knn_feature: str, mean_target: str, mean_group: str, row_id: str, k: int = 5,
+                    others: Sequence[str] = ()) -> DataFrame:
+    """One column by its nearest rows, another by its group's mean, then each of
+    ``others`` that still has nulls by its nearest rows over all the rest."""
+    df = group_mean_impute(knn_mode_impute(df, knn_target, [knn_feature], row_id, k), mean_target, mean_group)
+    numeric = [c for c in (knn_target, knn_feature, mean_target, *others)]
+    for c in others:
+        df = knn_mode_impute(df, c, [f for f in dict.fromkeys(numeric) if f != c], row_id, k)
+    return df

@@ -86,7 +86,11 @@ def initialise(sizes: Sequence[int], classes: Sequence, options: Options) -> Net
 
 
 def forward(net: Network, x: np.ndarray, options: Options, rng=None, moments=None) -> tuple[np.ndarray, list]:
-    """Probabilities, and what backpropagation needs; with ``rng``, dropout is on."""
+    """Probabilities, and what backpropagation needs; with ``rng``, dropout is on.
+
+    ``moments`` of a batch normalisation are the running ones, or those of the
+    rows at hand if it is ``"batch"``.
+    """
     kept, a = [], x
     for i, (w, b) in enumerate(zip(net.weights, net.biases, strict=True)):
         z = a @ w + b
@@ -96,7 +100,7 @@ def forward(net: Network, x: np.ndarray, options: Options, rng=None, moments=Non
             return e / e.sum(axis=1, keepdims=True), kept
         norm = None
         if net.gammas:
-            mean, var = moments[i] if moments else net.running[i]
+            mean, var = (z.mean(axis=0), z.var(axis=0)) if moments == "batch" else net.running[i]
             inv = 1 / np.sqrt(var + 1e-8)
             norm = ((z - mean) * inv, inv)
             z = net.gammas[i] * norm[0] + net.betas[i]
@@ -113,16 +117,9 @@ def forward(net: Network, x: np.ndarray, options: Options, rng=None, moments=Non
 def gradients(net: Network, x: np.ndarray, y: np.ndarray, options: Options, rng=None) -> tuple[list[np.ndarray], float, int]:
     """Summed gradients (weights, biases, gammas, betas), summed loss and hits.
 
-    Batch statistics of the rows at hand enter as constants.
+    Batch statistics are those of the rows at hand, and are differentiated too.
     """
-    moments = None
-    if net.gammas:
-        moments, a = [], x
-        for i in range(len(net.weights) - 1):
-            z = a @ net.weights[i] + net.biases[i]
-            moments.append((z.mean(axis=0), z.var(axis=0)))
-            a = np.maximum(net.gammas[i] * (z - moments[i][0]) / np.sqrt(moments[i][1] + 1e-8) + net.betas[i], 0)
-    p, kept = forward(net, x, options, rng, moments)
+    p, kept = forward(net, x, options, rng, "batch" if net.gammas else None)
     rows = np.arange(len(y))
     loss = float(-np.log(np.clip(p[rows, y], 1e-10, 1)).sum())
     delta = p.copy()
@@ -139,7 +136,8 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, options: Options, rng=
             delta = delta * (z > 0)
             if norm is not None:
                 gg[i - 1], gt[i - 1] = (delta * norm[0]).sum(axis=0), delta.sum(axis=0)
-                delta = delta * net.gammas[i - 1] * norm[1]
+                delta = delta * net.gammas[i - 1]
+                delta = norm[1] * (delta - delta.mean(axis=0) - norm[0] * (delta * norm[0]).mean(axis=0))
     return [*gw, *gb, *gg, *gt], loss, int((p.argmax(axis=1) == y).sum())
 
 
@@ -160,22 +158,24 @@ def _pass(data: DataFrame, net: Network, options: Options, epoch: int, train: bo
                 p, _ = forward(net, x, options)
                 a, b = float(-np.log(np.clip(p[np.arange(len(y)), y], 1e-10, 1)).sum()), int((p.argmax(axis=1) == y).sum())
             loss, hits, n = loss + a, hits + b, n + len(y)
-        flat = np.concatenate([g.ravel() for g in total]) if total else np.empty(0)
-        yield pd.DataFrame({"g": [flat.tolist()], "loss": [loss], "hits": [hits], "n": [n]})
-
-    rows = data.mapInPandas(run, "g array<double>, loss double, hits bigint, n bigint").collect()  # a row a task
-    n = sum(r["n"] for r in rows)
+        flat = np.concatenate([g.ravel() for g in total]) if total else np.zeros(size)
+        yield pd.DataFrame({"g": [[*flat.tolist(), loss, hits, n]]})
+
+    shapes = [w.shape for w in (*net.weights, *net.biases, *net.gammas, *net.betas)] if train else []
+    size = sum(int(np.prod(s)) for s in shapes)
+    cells = data.mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("at", "v"))
+    sums = np.zeros(size + 3)
+    for r in cells.groupBy("at").agg(F.sum("v").alias("v")).collect():  # a row a parameter
+        sums[r["at"]] = r["v"]
+    loss, hits, n = sums[size:]
     if not n:
         return None, 0.0, 0.0, 0
-    grads = None
-    if train:
-        flat = sum(np.array(r["g"]) for r in rows if len(r["g"])) / n
-        grads, at = [], 0
-        for shape in [w.shape for w in (*net.weights, *net.biases, *net.gammas, *net.betas)]:
-            size = int(np.prod(shape))
-            grads.append(flat[at : at + size].reshape(shape))
-            at += size
-    return grads, sum(r["loss"] for r in rows) / n, sum(r["hits"] for r in rows) / n, n
+    grads, at = [], 0
+    for shape in shapes:
+        step = int(np.prod(shape))
+        grads.append(sums[at : at + step].reshape(shape) / n)
+        at += step
+    return (grads if train else None), loss / n, hits / n, int(n)
 
 
 def fit(df: DataFrame, vector: str, label: str, row_id: str, options: Options | None = None, validation: DataFrame | None = None) -> Network:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import quantiles
+
 STATISTICS = ["count", "nulls", "distinct", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
 
@@ -35,15 +37,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggregates: list[Column] = []
     for c in columns:
         x = F.col(c).cast("double")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggregates += [
             F.count(x).alias(f"{c}|count"), F.sum(x.isNull().cast("long")).alias(f"{c}|nulls"), F.avg(x).alias(f"{c}|mean"),
-            F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), quartiles.alias(f"{c}|q"), F.max(x).alias(f"{c}|max"),
+            F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"),
         ]
-    row = df.agg(*aggregates)
-    for c in columns:
-        for i, q in enumerate(("q25", "q50", "q75")):
-            row = row.withColumn(f"{c}|{q}", F.col(f"`{c}|q`")[i])
+    quartiles = quantiles(df, columns, (0.25, 0.5, 0.75))
+    row = df.agg(*aggregates).withColumns({
+        f"{c}|{q}": F.lit(v).cast("double") for c in columns for q, v in zip(("q25", "q50", "q75"), quartiles[c], strict=True)})
     stats = [s for s in STATISTICS if s != "distinct"]
     return _tall(row, [((c,), [f"`{c}|{s}`" for s in stats]) for c in columns], "column_name n nulls mean std min q25 q50 q75 max")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import half_even, md5_key, uniform
-from ..functions.ordered import ordered_rank, shuffled_rank
+from ..functions.ordered import ordered_rank, quantiles, shuffled_rank
 
 
 def random_split(df: DataFrame, row_id: str, ratio: float = 0.8, seed: str = "42") -> DataFrame:
@@ -89,8 +89,8 @@ def _seeded_rank(df: DataFrame, row_id: str, seed: str) -> DataFrame:
 def time_split(df: DataFrame, time: str, ratio: float = 0.8) -> DataFrame:
     """``is_train``: not after the time at the given exact percentile."""
     stamp = F.unix_micros(F.col(time).cast("timestamp")).cast("double")
-    cut = df.agg(F.percentile(stamp, ratio)).first()[0]
-    return df.withColumn("is_train", stamp <= F.lit(cut))
+    cut = quantiles(df.select(stamp.alias("t")), ["t"], [ratio])["t"][0]
+    return df.withColumn("is_train", stamp <= F.lit(cut).cast("double"))
 
 
 def group_split(df: DataFrame, group: str, ratio: float = 0.8, seed: str = "42") -> DataFrame:

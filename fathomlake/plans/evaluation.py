@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax, softmax
-from ..operators import curves, metrics, resample, split
+from ..operators import curves, metrics, prepare, resample, split
 from ..sources.readers import table
-from .base import SCORED_SQL, finish, key_sql, query, r, scored, uniform_sql
+from .base import LINES_SQL, SCORED_SQL, finish, key_sql, lines, query, r, scored, uniform_sql
 
 _KEY = key_sql("o_orderkey::varchar")
 
@@ -23,6 +23,18 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.random_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "is_train")
 
 
+_CELLS = ["quantity", "price", "discount", "tax"]
+_PREPARED = f"""with s as (select *, row_number() over (order by {key_sql('line_id::varchar')}) <= floor(0.8::double * count(*) over ()) as is_train from {LINES_SQL}),
+  m as (select {', '.join(f'avg({c}) {c}' for c in _CELLS)} from s where is_train), i as (select s.line_id, s.is_train, {', '.join(f'coalesce(s.{c}, m.{c}) {c}' for c in _CELLS)} from s, m),
+  z as (select {', '.join(f'avg({c}) m_{c}, stddev_samp({c}) s_{c}' for c in _CELLS)} from i where is_train)"""
+
+
+@query(f"{_PREPARED} select line_id, is_train, {', '.join(r(f'({c} - m_{c}) / (s_{c} + 1e-8)') + f' as {c}' for c in _CELLS)} from i, z")
+def split_impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, held, _ = prepare.split_impute_scale(lines(spark, sf_dir), "line_id", _CELLS)
+    return finish(train.withColumn("is_train", F.lit(True)).unionByName(held.withColumn("is_train", F.lit(False))).select("line_id", "is_train", *_CELLS))
+
+
 @query(f"""with t as ({_ranked('orders', 'o_orderkey', 'o_orderstatus')})
   select o_orderkey, rn <= (case when n > 1 then least(greatest(1, round_even(n * 0.2::double, 0)), n - 1) else greatest(1, round_even(n * 0.2::double, 0)) end) as is_test from t""")
 def stratified_split2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +113,7 @@ def oversample_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.oversample(table(spark, sf_dir, "labels"), "doc_id", "toxic").select("doc_id", "toxic", "copy")
 
 
-_SMOTE_ROWS = "(select vec_id, (label < 1)::int as cls, embedding[1]::double as x, embedding[2]::double as y from embeddings where label < 4)"
+_SMOTE_ROWS = "(select vec_id, (label < 1)::int as cls, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
 
 
 @query(f"""with src as (select * from {_SMOTE_ROWS}), t as (select vec_id, cls, x, y, row_number() over (partition by cls order by {key_sql('vec_id::varchar')}) rn, count(*) over (partition by cls) n from src),
@@ -110,7 +122,7 @@ _SMOTE_ROWS = "(select vec_id, (label < 1)::int as cls, embedding[1]::double as
   select p.label::int as label, draw, t.vec_id as base, nn.id as neighbour, {r('t.x + alpha * (o.x - t.x)')} as x, {r('t.y + alpha * (o.y - t.y)')} as y
   from p join t on t.cls = p.label and t.rn = p.b join nn on nn.q = t.vec_id and nn.rk = p.j join t o on o.vec_id = nn.id""")
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("label < 4")
+    e = table(spark, sf_dir, "embeddings")
     d = e.select("vec_id", (F.col("label") < 1).cast("int").alias("cls"), F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("v"))
     made = resample.smote(d, "vec_id", "cls", "v")
     return finish(made.select("label", F.col("draw").cast("bigint"), "base", "neighbour", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")))

@@ -122,11 +122,11 @@ def lambda_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(rows(spark, [(p, float(e)) for p, e in scores], "penalty double, mse double"), 4)
 
 
-@query(f"select p_partkey, {r('(select regr_intercept(p_retailprice, p_size) from part) + (select regr_slope(p_retailprice, p_size) from part) * p_size', 4)} as price from part where p_partkey % 10 = 0")
+@query(f"select p_partkey, {r('(select regr_intercept(p_retailprice, p_size) from part) + (select regr_slope(p_retailprice, p_size) from part) * p_size', 4)} as price from part")
 def predict_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("double"))
     model = linear.fit_ols(p, ["size"], "p_retailprice")
-    return finish(p.filter("p_partkey % 10 = 0").select("p_partkey", model.predict().alias("price")), 4)
+    return finish(p.select("p_partkey", model.predict().alias("price")), 4)
 
 
 @query(f"select {r('avg(l_extendedprice / l_quantity)')} as price_per_unit from lineitem where l_returnflag = 'N'")
@@ -171,6 +171,31 @@ def logistic_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, logistic.fit(_log(spark, sf_dir), ["a", "b"], "y", 0.5, 8, 0.0, "balanced"))
 
 
+def _fitted_sql(rounds: int, rate: float, penalty: float, source: str) -> str:
+    return _logistic_sql(rounds, rate, penalty, False, source).rsplit(" select 'intercept'", 1)[0]
+
+
+@query(_fitted_sql(8, 0.5, 0.1, _LOG) + f" select c_custkey, {r('1 / (1 + exp(-(w + u * a + v * b)))', 4)} as probability, (w + u * a + v * b >= 0)::int as prediction from d, w8")
+def logistic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _log(spark, sf_dir)
+    model = logistic.fit(d, ["a", "b"], "y", 0.5, 8, 0.1)
+    return finish(d.select("c_custkey", model.probabilities()[1].alias("probability"), model.predict().cast("int").alias("prediction")), 4)
+
+
+def _grid_sql(rates: tuple, penalties: tuple, rounds: int, folds: int) -> str:
+    cells = []
+    for rate in rates:
+        for penalty in penalties:
+            for k in range(folds):
+                fitted = _fitted_sql(rounds, rate, penalty, f"(select * from {_LOG} where c_custkey % {folds} <> {k})")
+                cells.append(f"""select {rate}::double rate, {penalty}::double penalty, {k} k, coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) f1 from ({fitted}
+                  select count(*) filter (p = 1 and y = 1) tp, count(*) filter (p = 1 and y = 0) fp, count(*) filter (p = 0 and y = 1) fn
+                  from (select h.y, (w + u * h.a + v * h.b >= 0)::int p from {_LOG} h, w{rounds} where h.c_custkey % {folds} = {k}))""")
+    cells = " union all ".join(cells)
+    return f"""with s as ({cells}), m as (select rate, penalty, avg(f1) mean, stddev_pop(f1) std from s group by 1, 2)
+      select rate, penalty, {r('mean')} as mean_f1, {r('std')} as std_f1, row_number() over (order by round(mean, 12) desc, rate, penalty) = 1 as is_best from m"""
+
+
 def _softmax_sql(rounds: int, rate: float) -> str:
     src = "(select a, (case when a < -0.5 then 0 when a < 0.5 then 1 else 2 end) as y from " + _LOG + ")"
     ctes = [f"d as (select * from {src})", "c as (select count(*)::double n from d)", "w0 as (select " + ", ".join(f"0.0::double w{k}, 0.0::double u{k}" for k in range(3)) + ")"]
@@ -190,7 +215,7 @@ def softmax_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(rows(spark, [(k, t, float(w[i, k])) for k in range(3) for i, t in enumerate(["intercept", "a"])], "class int, term string, weight double"), 4)
 
 
-@query()
+@query(_grid_sql((0.1, 1.0), (0.0, 1.0), 4, 3))
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _log(spark, sf_dir).withColumn("fold", (F.col("c_custkey") % 3).cast("int"))
     configs = [{"rate": rate, "rounds": 4, "penalty": p} for rate in (0.1, 1.0) for p in (0.0, 1.0)]
@@ -209,13 +234,13 @@ def rebalancing_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(rows(spark, [(n, float(s)) for n, s in found], "strategy string, f1 double"))
 
 
-_LDA = "(select vec_id, embedding[1]::double as x, embedding[2]::double as y, label from embeddings where label < 3)"
+_LDA = "(select vec_id, embedding[1]::double as x, embedding[2]::double as y, label from embeddings)"
 _LDA_CTES = f"""d as (select * from {_LDA}), g as (select label, count(*)::double n, avg(x) mx, avg(y) my from d group by label),
   t as (select sum(n) n, count(*) k from g), s as (select sum((x - mx) ** 2) / (any_value(t.n) - any_value(k)) a, sum((x - mx) * (y - my)) / (any_value(t.n) - any_value(k)) b, sum((y - my) ** 2) / (any_value(t.n) - any_value(k)) c from d join g using (label), t)"""
 
 
 def _lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("label < 3")
+    e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
 
 

@@ -333,3 +333,13 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     km = haversine_km(e[0].cast("double") * 40, e[1].cast("double") * 90, F.lit(10.0), F.lit(20.0))
     return finish(table(spark, sf_dir, "embeddings").select("vec_id", km.alias("km")))
+
+
+_TERMS = {"size1": "s", "price1": "p", "size2": "s * s", "size1_price1": "s * p", "price2": "p * p", "size3": "s * s * s",
+          "size2_price1": "s * s * p", "size1_price2": "s * p * p", "price3": "p * p * p"}
+
+
+@query(f"select p_partkey, {', '.join(f'{r(e)} as {n}' for n, e in _TERMS.items())} from (select p_partkey, p_size::double / 10 as s, p_retailprice / 1000 as p from part)")
+def polynomial_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10).alias("size"), (F.col("p_retailprice") / 1000).alias("price"))
+    return finish(p.select("p_partkey", *[c.alias(n) for n, c in features.monomials(["size", "price"], 3).items()]))

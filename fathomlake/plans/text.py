@@ -13,21 +13,21 @@ from ..operators import linear, text, tracking
 from ..sources.readers import table
 from .base import finish, query, r, rows
 
-_GRAMS = """t as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from benchmark),
-  g as (select item_id, unnest(w) gram from t union all select item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from t where len(w) > 1),
-  c as (select item_id, gram, count(*) n from g group by 1, 2), v as (select gram, count(*) documents, sum(n)::bigint total, row_number() over (order by sum(n) desc, gram) - 1 as "index" from c group by gram)"""
+_GRAMS = """t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents),
+  g as (select doc_id, unnest(w) gram from t union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from t where len(w) > 1),
+  c as (select doc_id, gram, count(*) n from g group by 1, 2), v as (select gram, count(*) documents, sum(n)::bigint total, row_number() over (order by sum(n) desc, gram) - 1 as "index" from c group by gram)"""
 
 
 @query(f"""with {_GRAMS} select gram, documents, total, "index" from v""")
 def ngram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return text.vocabulary(counts, "item_id").select("gram", "documents", "total", F.col("index").cast("bigint"))
+    counts = text.gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.vocabulary(counts, "doc_id").select("gram", "documents", "total", F.col("index").cast("bigint"))
 
 
-@query(f"""with {_GRAMS} select item_id, "index", n from c join v using (gram)""")
+@query(f"""with {_GRAMS} select doc_id, "index", n from c join v using (gram)""")
 def ngram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text").cache()
-    return text.count_vectors(counts, text.vocabulary(counts, "item_id"), "item_id").select("item_id", F.col("index").cast("bigint"), "n")
+    counts = text.gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.count_vectors(counts, text.vocabulary(counts, "doc_id"), "doc_id").select("doc_id", F.col("index").cast("bigint"), "n")
 
 
 # A generated table of runs: one a nation, with a metric at three steps.
