@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REST = "*"
+#: The longest period: with it the plan has at most this many rows a phase.
+MAX_PERIOD = 10_000
 ADDED = ["_mix_source", "_block", "_release", "_deadline", "_slot", "_row"]
 
 
@@ -91,15 +93,17 @@ def mix(
 
     Columns of ``df`` that are named like an added one are replaced.
     Added columns: _mix_source (the source, or ``*`` for the rest), _block
-    (number in the source, from 0), _release and _deadline (on the first
-    timeline, from the weights alone), _slot (place of the block in the
-    mixture, from 0) and _row (place of the row in the block).
+    (number in the source, from 0), _release and _deadline (the block's window
+    on the timeline of the sources that are left; its slot lies in it), _slot
+    (place of the block in the mixture, from 0) and _row (place of the row in
+    the block).
     """
     spark = df.sparkSession
     weights = {**{str(k): int(v) for k, v in weights.items()}, REST: int(rest)}
     if min(weights.values()) <= 0:
         raise ValueError("weights must be positive integers")
-    total = sum(weights.values())
+    if sum(weights.values()) > MAX_PERIOD:
+        raise ValueError(f"weights must sum to at most {MAX_PERIOD}: the period is worked out on the driver")
     named = F.array(*[F.lit(s) for s in weights if s != REST])
     source = F.when(F.array_contains(named, F.col(source_col)), F.col(source_col)).otherwise(F.lit(REST))
     rows = df.select(
@@ -133,13 +137,12 @@ def mix(
         & (F.pmod(F.col("b._block") - F.col("p.lo"), F.col("p.per")) == F.col("p.nth"))
     )
     slot = F.col("start") + F.floor((F.col("_block") - F.col("lo")) / F.col("per")) * F.col("whole") + F.col("place")
-    weight = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(w))])[F.col("_mix_source")]
     return (
         b.join(p, here)
         .withColumns({
             "_slot": slot.cast("long"),
-            "_release": F.floor(F.col("_block") * total / weight).cast("long"),
-            "_deadline": F.ceil((F.col("_block") + 1) * total / weight).cast("long"),
+            "_release": (F.col("start") + F.floor((F.col("_block") - F.col("lo")) * F.col("whole") / F.col("per"))).cast("long"),
+            "_deadline": (F.col("start") + F.ceil((F.col("_block") - F.col("lo") + 1) * F.col("whole") / F.col("per"))).cast("long"),
         })
         .select(*[F.col("b._given")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
     )
