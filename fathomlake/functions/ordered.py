@@ -56,6 +56,15 @@ def ordered_rank(df: DataFrame, key: str, ties: Sequence[str] = (), parts: int =
     return ranked.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
 
 
+def text_rank(df: DataFrame, key: str, start: int = 4, name: str = "rn") -> DataFrame:
+    """Place from 1 in ascending order of a distinct text key; ranges are its first characters."""
+    cut = df.withColumn("_part", F.substring(key, 1, start))
+    offsets = _offsets(cut, (), F.lit(1), False)
+    inside = Window.partitionBy("_part").orderBy(key)
+    ranked = _with_offsets(cut.withColumn("_rank", F.row_number().over(inside)), offsets, ())
+    return ranked.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+
+
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, parts: int = 64) -> DataFrame:
     """``df`` with, for each (new, old) of ``sums``, the running sum of old.
 

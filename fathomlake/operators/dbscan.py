@@ -8,32 +8,26 @@ from min propagation with pointer jumping.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
+from ..functions.ordered import ordered_rank
 from .features import radius_pairs
 from .silhouette import penalised_silhouette
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root): the smallest id reachable over ``edges`` (a, b, both ways)."""
-    labels = _durable(nodes.select("id", F.col("id").alias("root")))
-    edges = _durable(edges)
+    labels = durable(nodes.select("id", F.col("id").alias("root")))
+    edges = durable(edges)
     for _ in range(max_rounds):
         seen = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
         lower = labels.join(seen, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("seen", "root")).alias("root"))
         jump = lower.select(F.col("id").alias("j_id"), F.col("root").alias("j_root"))
-        new = _durable(lower.join(jump, F.col("root") == F.col("j_id")).select("id", F.col("j_root").alias("root")))
+        new = durable(lower.join(jump, F.col("root") == F.col("j_id")).select("id", F.col("j_root").alias("root")))
         changed = new.alias("n").join(labels.alias("o"), "id").filter(F.col("n.root") != F.col("o.root")).limit(1).count()
         labels = new
         if not changed:
@@ -44,11 +38,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
 def label_pairs(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
     """(id, cluster) from the pairs (a, b) within the radius, both ways, no self pairs."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = _durable(ids.join(degree, F.col("id") == F.col("a"), "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
+    core = durable(ids.join(degree, F.col("id") == F.col("a"), "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
     from_core = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
     inner = from_core.join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     roots = components(core, inner)
-    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # a row a cluster
+    numbers = ordered_rank(roots.select("root").distinct(), "root", name="cluster").withColumn("cluster", F.col("cluster") - 1)
     core_labels = roots.join(numbers, "root").select("id", "cluster")
     reached = from_core.join(core_labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("near"))
     return ids.join(core_labels, "id", "left").join(reached, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
@@ -56,18 +50,18 @@ def label_pairs(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame
 
 def fit_predict(df: DataFrame, row_id: str, columns: Sequence[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(id, cluster); a row counts itself among its neighbours."""
-    pairs = _durable(radius_pairs(df, row_id, columns, eps).select("a", "b"))
+    pairs = durable(radius_pairs(df, row_id, columns, eps).select("a", "b"))
     return label_pairs(df.select(F.col(row_id).alias("id")), pairs, min_samples)
 
 
 def explore(df: DataFrame, row_id: str, columns: Sequence[str], eps_values: Sequence[float], min_samples: Sequence[int]) -> list[tuple[float, int, int, float]]:
     """(eps, min_samples, clusters, penalised silhouette); pairs are joined once."""
-    pairs = _durable(radius_pairs(df, row_id, columns, max(eps_values)))
+    pairs = durable(radius_pairs(df, row_id, columns, max(eps_values)))
     ids, out = df.select(F.col(row_id).alias("id")), []
     for eps in eps_values:
         near = pairs.filter(F.col("distance") <= eps).select("a", "b")
         for m in min_samples:
-            labels = _durable(label_pairs(ids, near, m))
+            labels = durable(label_pairs(ids, near, m))
             n = labels.filter("cluster >= 0").select("cluster").distinct().count()
             joined = df.join(labels, F.col(row_id) == F.col("id"))
             out.append((eps, m, n, penalised_silhouette(joined, row_id, F.array(*[F.col(c).cast("double") for c in columns]), "cluster")))

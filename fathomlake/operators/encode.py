@@ -10,6 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.ordered import ordered_rank, text_rank
 
 
 def flag_levels(df: DataFrame, column: str, levels: Sequence[str], prefix: str) -> DataFrame:
@@ -23,9 +26,12 @@ def present_flag(df: DataFrame, column: str, level: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce((F.col(column) == level).cast("int"), F.lit(0)))
 
 
-def levels_of(df: DataFrame, column: str) -> list:
-    """The distinct non-null levels in ascending order (of a bounded column)."""
-    return [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
+def levels_of(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The distinct non-null levels in ascending order; over ``most`` of them is an error."""
+    found = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has over {most} levels: hash or count them instead")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence | None = None) -> DataFrame:
@@ -42,8 +48,8 @@ def _lookup(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """The level's place from 0 in alphabetical order; null stays null."""
     levels = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_level")).distinct()
-    order = Window.orderBy("_level")  # a row a level
-    return _lookup(df, column, levels.withColumn(out, F.row_number().over(order) - 1))
+    rank = text_rank if isinstance(df.schema[column].dataType, T.StringType) else ordered_rank
+    return _lookup(df, column, rank(levels, "_level", name=out).withColumn(out, (F.col(out) - 1).cast("int")))
 
 
 def ordinal_encode(df: DataFrame, column: str, order: Mapping[str, int], out: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import log_clip
 
 
+#: Labels are gathered on the driver; a column with more is refused.
+MOST_LABELS = 10_000
+
+
 def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     """mse, rmse, mae and r2 = 1 - SSres / SStot, in one aggregate."""
     y, e = F.col(truth).cast("double"), F.col(truth).cast("double") - F.col(prediction)
@@ -20,7 +24,10 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 def labels_of(df: DataFrame, truth: str, prediction: str) -> list:
     """All labels of both columns, ascending."""
     both = df.select(F.col(truth).alias("l")).union(df.select(F.col(prediction).alias("l"))).distinct()
-    return [r[0] for r in both.filter(F.col("l").isNotNull()).orderBy("l").collect()]
+    found = both.filter(F.col("l").isNotNull()).limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels: that is no class column")
+    return sorted(r[0] for r in found)
 
 
 def confusion(df: DataFrame, truth: str, prediction: str, labels: Sequence | None = None) -> DataFrame:
@@ -104,7 +111,7 @@ def majority_map(df: DataFrame, cluster: str, label: str) -> DataFrame:
 def mapped_accuracy(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """Accuracy after each cluster takes its majority label."""
     mapping = majority_map(df, cluster, label).withColumnRenamed("cluster", "_c")
-    joined = df.join(F.broadcast(mapping), F.col(cluster) == F.col("_c"), "left")
+    joined = df.join(mapping, F.col(cluster) == F.col("_c"), "left")
     return joined.agg(F.avg(F.coalesce(F.col(label) == F.col("majority"), F.lit(False)).cast("double")).alias("accuracy"))
 
 

@@ -27,7 +27,7 @@ def _by_class(df: DataFrame, row_id: str, label: str, seed: str) -> DataFrame:
     """``rn`` in the row's class, and ``class_n``, the class's size."""
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("class_n"))
     ranked = shuffled_rank(df, [row_id], seed, [label])
-    return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str, test_ratio: float = 0.2, seed: str = "42") -> DataFrame:

@@ -461,7 +461,7 @@ def pca_kmeans_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings")
     model = pca.fit(d, "embedding")
     k = model.components_for(0.9)
-    projected = d.select("vec_id", "label", model.project("embedding", k).alias("v")).cache()
+    projected = d.select("vec_id", "label", model.project("embedding", k).alias("v"))
     placed = projected.withColumn("cluster", kmeans.fit(projected, "vec_id", "v", 10, 20).predict("v"))
     return finish(metrics.mapped_accuracy(placed, "cluster", "label").withColumn("components", F.lit(k)))
 

@@ -11,8 +11,6 @@ import pytest
 from fathomlake.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# Queries that fit iterative models in many jobs; their operators have tests of their own.
-SLOW = {"dbscan_labels", "auc_ovr", "tracking_round_trip", "tree_depth2_predict", "tree_importances"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +40,7 @@ def test_every_query_is_callable_and_every_sql_has_one():
     assert len(catalog.QUERIES) > 100
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     found = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)
