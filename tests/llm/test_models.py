@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomlake.llm import html_extract, language_id, nearest, queries, sentencepiece_codec
+from fathomlake.llm import html_extract, language_id, nearest, queries, sentencepiece_codec, simhash
 from fathomlake.llm.common import table
 
 PAGE = (
@@ -207,3 +207,27 @@ def test_pipeline_stages_keep_what_they_should(spark, sf_dir):
     assert counts[1] == letters > counts[2] == counts[3] == counts[4] == counts[5]
     assert docs.filter("decoded").count() == counts[5]
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and letterless texts, copies, unknown sources, an extra column."""
+    words = {"en": "the weather is good and the old house by the lake was sold to a friend of mine".split(),
+             "de": "das wetter ist gut und das alte haus am see wurde an einen freund von mir verkauft".split()}
+    draw = np.random.default_rng(6)
+    texts = {(lang, i): " ".join(draw.choice(words[lang], 40)) + f" {lang}{i}" for lang in words for i in range(12)}
+    rows = [(i if lang == "en" else 100 + i, t, lang, "src0" if i % 2 else None) for (lang, i), t in texts.items()]
+    rows += [(None, texts["en", 0].replace("weather", "winter") + " a text of its own without an id " + str(i) * 30, "en", "src1") for i in range(2)]
+    rows += [(7, " ".join(draw.choice(words["de"], 60)) + " under an id that is used", "de", "src9"), (50, texts["en", 3], "en", "src0")]
+    odd = [(60, None, "en", "src0"), (61, "", None, None), (62, "123 ...", "en", "src0"), (None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = tmp_path / "sf"
+    full = [(*r, len(r[1] or "")) for r in rows + odd]
+    spark.createDataFrame(full, schema).withColumn("lang_pred", F.lit("clash")).write.parquet(str(folder / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(folder)).collect()
+    assert all(r["decoded"] for r in got)
+    kept = {r["doc_id"] for r in got}
+    assert kept >= {7, None} and 50 not in kept and kept.isdisjoint({60, 61, 62})
+    fps = simhash.components(spark.createDataFrame([(r[0], r[1]) for r in full], "doc_id long, text string").filter(F.col("text").rlike(r"\p{L}")))
+    assert len(got) == fps.select("fp").distinct().count()  # no two of them are near here
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
