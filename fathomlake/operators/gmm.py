@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax
-from .gram import covariance, gram
+from .gram import moments_of
 from .kmeans import KMeansModel
 
 FLOOR = 1e-300
@@ -48,7 +48,7 @@ class GmmModel:
 
 def initial(df: DataFrame, columns: Sequence[str], centres: np.ndarray) -> GmmModel:
     """Even weights, the centres, and the whole covariance plus 1e-6 for each."""
-    _, cov = covariance(gram(df, columns))
+    _, _, cov = moments_of(df, columns)
     k = len(centres)
     return GmmModel(np.full(k, 1 / k), np.array(centres, float), np.array([cov + 1e-6 * np.eye(len(columns))] * k))
 

@@ -116,3 +116,25 @@ def vector_gram(df: DataFrame, vector: str, group: str | None = None) -> Gram |
     columns = [f"_x{i}" for i in range(size)]
     wide = df.select(*([F.col(group)] if group else []), *[F.col(vector)[i].cast("double").alias(c) for i, c in enumerate(columns)])
     return gram(wide, columns, None, group)
+
+
+def shifted(df: DataFrame, xs: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
+    """``df`` with each column less its mean, and the means.
+
+    Sums of squares of such columns do not cancel, however large the means are.
+    """
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(xs)]).first()
+    means = np.array([row[f"m{i}"] or 0.0 for i in range(len(xs))])
+    return df.withColumns({c: F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(xs, means, strict=True)}), means
+
+
+def moments_of(df: DataFrame, xs: Sequence[str] | None = None, vector: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, mean, sample covariance) of columns or of an array column; two passes."""
+    if vector is not None:
+        size = df.select(F.size(vector)).first()[0]
+        xs = [f"_x{i}" for i in range(size)]
+        df = df.select(*[F.col(vector)[i].cast("double").alias(c) for i, c in enumerate(xs)])
+    centred, means = shifted(df, xs)
+    g = gram(centred, xs)
+    rest, cov = covariance(g)
+    return g.n, means + rest, cov

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax, lit_vector
-from .gram import gram
+from .gram import gram, shifted
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,8 @@ class LdaModel:
 
 def fit(df: DataFrame, xs: Sequence[str], y: str) -> LdaModel:
     """Covariance over n - K (over n if n <= K); pseudo-inverse if near singular."""
-    groups = gram(df.filter(F.col(y).isNotNull()), xs, None, y)
+    centred, shift = shifted(df.filter(F.col(y).isNotNull()), xs)
+    groups = gram(centred, xs, None, y)
     classes = sorted(groups)
     n, k = sum(g.n for g in groups.values()), len(classes)
     means = np.array([groups[c].xx[0, 1:] / groups[c].n for c in classes])
@@ -50,4 +51,4 @@ def fit(df: DataFrame, xs: Sequence[str], y: str) -> LdaModel:
     singular = np.linalg.svd(cov, compute_uv=False)
     kept = singular[singular > 1e-12 * singular.max()] if singular.max() > 0 else np.ones(1)
     inverse = np.linalg.inv(cov) if len(kept) == len(xs) else np.linalg.pinv(cov)
-    return LdaModel(tuple(xs), tuple(classes), np.array([groups[c].n / n for c in classes]), means, cov, inverse, float(np.log(kept).sum()))
+    return LdaModel(tuple(xs), tuple(classes), np.array([groups[c].n / n for c in classes]), means + shift, cov, inverse, float(np.log(kept).sum()))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import dot, lit_vector
-from .gram import Gram, covariance, vector_gram
+from .gram import moments_of
 
 
 @dataclass(frozen=True)
@@ -41,14 +41,13 @@ class PcaModel:
         return float(self.values[k:].sum() * (self.n - 1) / (self.n * len(self.values)))
 
 
-def from_gram(g: Gram) -> PcaModel:
-    mean, cov = covariance(g)
+def from_moments(n: float, mean: np.ndarray, cov: np.ndarray) -> PcaModel:
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1], vectors[:, ::-1]
     top = np.abs(vectors).argmax(axis=0)
     vectors = vectors * np.sign(vectors[top, np.arange(vectors.shape[1])])
-    return PcaModel(mean, np.maximum(values, 0), vectors, g.n)
+    return PcaModel(mean, np.maximum(values, 0), vectors, n)
 
 
 def fit(df: DataFrame, vector: str) -> PcaModel:
-    return from_gram(vector_gram(df, vector))
+    return from_moments(*moments_of(df, vector=vector))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dbscan, gmm, kmeans, lda, linear, logistic, metrics, mlp, pca, resample, select, silhouette, tree, vae
-from ..operators.gram import covariance, gram, vector_gram
+from ..operators.gram import gram, moments_of
 from ..sources.readers import table
 from .base import finish, key_sql, query, r, rows
 
@@ -434,7 +434,7 @@ def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" union all ".join(f"select {i} as i, {j} as j, {r(f'covar_samp(embedding[{i + 1}]::double, embedding[{j + 1}]::double)')} as covariance from embeddings" for i in range(3) for j in range(3)))
 def pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 3).alias("v"))
-    _, c = covariance(vector_gram(d, "v"))
+    _, _, c = moments_of(d, vector="v")
     return finish(rows(spark, [(i, j, float(c[i, j])) for i in range(3) for j in range(3)], "i int, j int, covariance double"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.functions.ordered import quantiles
-from fathomlake.operators import clean, features, impute, kmeans, logistic, metrics, mlp, prepare, profile, resample, scale, text
+from fathomlake.operators import clean, features, impute, kmeans, lda, logistic, metrics, mlp, pca, prepare, profile, resample, scale, text
 from fathomlake.plans import catalog
 from fathomlake.sources import readers, writers
 from fathomlake.streaming import score
@@ -207,3 +207,14 @@ def test_vocabulary_is_dense_and_ordered(spark):
 def test_queries_cover_their_whole_table(name):
     assert name in catalog.QUERIES and name in catalog.ORACLES
     assert "% 10 = 0" not in catalog.ORACLES[name] and "label < " not in catalog.ORACLES[name].replace("label < 1", "")
+
+
+def test_large_means_do_not_cancel(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(500, 3)) @ np.diag([1.0, 2.0, 0.5]) + 1e8
+    df = spark.createDataFrame([(p.tolist(), *map(float, p), i % 2) for i, p in enumerate(x)], "v array<double>, a double, b double, c double, y int")
+    model = pca.fit(df, "v")
+    assert model.values == pytest.approx(np.linalg.eigvalsh(np.cov(x, rowvar=False))[::-1], rel=1e-6) and model.mean == pytest.approx(x.mean(axis=0))
+    found = lda.fit(df, ["a", "b", "c"], "y")
+    within = sum((x[i::2] - x[i::2].mean(axis=0)).T @ (x[i::2] - x[i::2].mean(axis=0)) for i in (0, 1)) / 498
+    assert found.covariance == pytest.approx(within, rel=1e-5, abs=1e-7) and found.means == pytest.approx(np.array([x[i::2].mean(axis=0) for i in (0, 1)]))
