@@ -72,7 +72,8 @@ LAYOUTS = {
     "one sentence": "<div data-gold=1>{s}</div>",
     "plain text": "<div data-gold=1>{p} {p}</div>",
 }
-#: Layouts that no weight has seen.
+#: Layouts that no weight has seen.  Some training layouts were added after looking at the errors on
+#: these, so figures on them flatter the model; ``UNTOUCHED`` was written last and scored once.
 HELD_OUT = {
     "magazine": "<div id='masthead'>{w}</div><ul>" + "<li>{l}</li>" * 5 + "</ul><div class='col-8'><h2 data-gold=1>{h}</h2><div data-gold=1><p>{p}</p><p>{p}</p><p>{s}</p></div><div class='author'>{l}</div></div>"
                 "<div class='col-4'><h4>{w}</h4>{m}<div class='promo'>{s}</div></div><div id='colophon'>&copy; {w} {l} {l}</div>",
@@ -86,6 +87,15 @@ HELD_OUT = {
     "text": "{w}: <div data-gold=1>{p}</div><div data-gold=1>{p} {p}</div>",
 }
 
+UNTOUCHED = {
+    "press release": "<div><img src='x.png'> {w}</div><h2 data-gold=1>{h}</h2><div data-gold=1><p>{p}</p><p>{p}</p></div><div>Press contact: {w}, {w}</div><div>{l} {l} {l}</div>",
+    "lyrics": "<nav>{m}</nav><main><h1 data-gold=1>{h}</h1><pre data-gold=1>{s}\n{s}\n{s}\n{s}</pre></main><footer>{l}</footer>",
+    "definition list": "<div class='nav'>{m}</div><dl data-gold=1><dt>{w}</dt><dd>{p}</dd><dt>{w}</dt><dd>{p}</dd></dl><div class='copyright'>{w}</div>",
+    "cards before": "<header>{w}</header><div class='teasers'><div>{l}</div><div>{l}</div><div>{l}</div></div><section data-gold=1><h2>{h}</h2><p>{p}</p><p>{p}</p><p>{p}</p></section><div class='newsletter-box'><p>{s}</p></div>",
+    "mail archive": "<table><tr><td>{l} {l} {l}</td></tr></table><h3 data-gold=1>{h}</h3><blockquote data-gold=1>{p}</blockquote><p data-gold=1>{p}</p><hr><p>{l} {l}</p>",
+    "frames of divs": "<div><div><div>{l}{l}{l}</div></div></div><div><div><div data-gold=1>{p}</div><div data-gold=1>{p}</div></div><div><div>{l}</div><div>{l}</div></div></div>",
+}
+
 
 def _filled(layout: str, draw: random.Random) -> str:
     def text(least: int, most: int) -> str:
@@ -123,3 +133,8 @@ def training_pages(each: int = 5) -> list[str]:
 def held_out_pages(each: int = 9) -> list[tuple[str, str]]:
     """(layout, page) of layouts that are not trained on."""
     return _pages(HELD_OUT, each, 2)
+
+
+def untouched_pages(each: int = 9) -> list[tuple[str, str]]:
+    """(layout, page) of layouts that neither training nor its choice of layouts has seen."""
+    return _pages(UNTOUCHED, each, 3)
