@@ -69,6 +69,21 @@ def total_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_within(df: DataFrame, keys: Sequence[str], weight: Column, bound: int) -> int:
+    """How many parts by ``pmod(xxhash64(keys), parts)`` keep a part's summed ``weight`` within ``bound``.
+
+    A part of a single row may exceed it.  Only sums reach the driver.
+    """
+    if (df.agg(F.sum(weight)).first()[0] or 0) <= bound:
+        return 1
+    parts = 2
+    while True:
+        sums = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+        if (sums.filter("n > 1").agg(F.max("w")).first()[0] or 0) <= bound:
+            return parts
+        parts *= 2
+
+
 def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, sizes: DataFrame | None = None,
                 total: int | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, which has one row a key; no key is one task.

@@ -57,3 +57,35 @@ select d.doc_id, len(listed.ws) as n_words, coalesce(n_base, 0) as n_base, first
 from d join listed using (r) left join base using (r) left join own using (r)
 left join both_kinds using (r) left join best using (r)
 """
+
+
+def _words(text: str) -> str:
+    """SQL for the list of words of ``text``."""
+    lowered = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    return f"[x for x in regexp_split_to_array({lowered}, '{SEPARATORS}') if x <> '']"
+
+
+def op11_decontaminate(size: int = 10) -> str:
+    """Every window of every document against every window of the items.
+
+    Rows are told apart by their number, as ids may repeat.
+    """
+    return f"""
+with d as (select row_number() over () as r, doc_id, {_words('text')} as ws from documents),
+b as (select cast(item_id as varchar) as item, {_words('text')} as ws from benchmark),
+item_window as (select distinct item, least(len(ws), {size}) as size,
+                       unnest([array_to_string(ws[i:i + least(len(ws), {size}) - 1], ' ')
+                               for i in range(1, greatest(len(ws) - {size}, 0) + 2)]) as w
+                from b where len(ws) > 0),
+sizes as (select distinct size from item_window),
+doc_window as (select r, size, unnest(range(0, len(ws) - size + 1)) as spot,
+                      unnest([array_to_string(ws[i:i + size - 1], ' ') for i in range(1, len(ws) - size + 2)]) as w
+               from d cross join sizes where len(ws) >= size),
+hit as (select r, spot, size, item from doc_window join item_window using (size, w)),
+word as (select distinct r, unnest(range(spot, spot + size)) as spot from (select distinct r, spot, size from hit)),
+n as (select r, count(*) as n_hit from word group by r),
+listed as (select r, count(distinct item) as n_items, coalesce(string_agg(distinct item, ',' order by item), '') as items from hit group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join listed using (r)
+"""

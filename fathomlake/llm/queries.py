@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    decontaminate,
     fingerprints,
     html_extract,
     language_id,
@@ -144,6 +145,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(_joined(F.col("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -156,9 +169,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_nearest": op9_nearest,
         "op10_licenses": op10_licenses,
+        "op11_decontaminate": op11_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Models, sketches and Spark's hashes have no SQL; the license scan has."""
-    return {"op10_licenses": oracles.op10_licenses()}
+    """Models, sketches and Spark's hashes have no SQL; the others have."""
+    return {"op10_licenses": oracles.op10_licenses(), "op11_decontaminate": oracles.op11_decontaminate()}
