@@ -89,3 +89,21 @@ select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n using (r) left join listed using (r)
 """
+
+
+def op12_lexical(k: int = 10) -> str:
+    """The score of every document that shares a term with an item, ranked."""
+    return f"""
+with d as (select row_number() over () as r, doc_id, {_words('text')} as ws from documents),
+b as (select row_number() over () as q, item_id, {_words('text')} as ws from benchmark),
+total as (select cast(count(*) as bigint) as docs, cast(sum(len(ws)) as bigint) as words from d where len(ws) > 0),
+tf as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) group by r, term),
+df as (select term, count(*) as df from tf group by term),
+weight as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from df, total),
+asked as (select distinct q, item_id, unnest(ws) as term from b),
+m as (select r, doc_id, 10 + (90 * cast(len(ws) as bigint) * docs) // words as m from d, total where len(ws) > 0),
+scored as (select q, item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+           from asked join weight using (term) join tf using (term) join m using (r) group by q, item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls first) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= {k}
+"""

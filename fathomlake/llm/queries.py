@@ -16,6 +16,7 @@ from . import (
     fingerprints,
     html_extract,
     language_id,
+    lexical_search,
     license_scan,
     mixing,
     nearest,
@@ -157,6 +158,10 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -170,9 +175,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": op9_nearest,
         "op10_licenses": op10_licenses,
         "op11_decontaminate": op11_decontaminate,
+        "op12_lexical": op12_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Models, sketches and Spark's hashes have no SQL; the others have."""
-    return {"op10_licenses": oracles.op10_licenses(), "op11_decontaminate": oracles.op11_decontaminate()}
+    return {"op10_licenses": oracles.op10_licenses(), "op11_decontaminate": oracles.op11_decontaminate(), "op12_lexical": oracles.op12_lexical()}
