@@ -107,3 +107,67 @@ scored as (select q, item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (100
 ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls first) as rank from scored where score > 0)
 select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= {k}
 """
+
+
+def op13_conversations() -> str:
+    """The same program as a recursion over the rows of a conversation, last first.
+
+    It carries the cheapest edits of each grammar state as text and compares
+    (cost, text), so that no walk is needed.
+    """
+    key = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
+    steps = f"flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({key}, '')])"
+    crc = (f"xor(4294967295, list_reduce(list_prepend(4294967295, [cast(x as bigint) for x in {steps}]), "
+           "lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))")
+    white = "' ' || " + " || ".join(f"chr({i})" for i in range(9, 14))
+    into, kept = {0: 2, 1: 2, 2: 3, 3: 2}, {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def edit(letter: str, cost: str, state: str) -> str:
+        return f"{{'c': {cost} + {state}.c, 's': '{letter}' || {state}.s}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def before(q: int) -> str:
+        keep = " ".join(f"when letter = '{i}' then [{edit('K', 't', f'z[{to + 1}]')}]" for i, to in kept[q].items())
+        return (f"list_sort([{edit('D', '3', f'z[{q + 1}]')}] || case when gone then [] else [{edit('R', '2 + t', f'z[{into[q] + 1}]')}] end "
+                f"|| case when gone then [] {keep} else [] end)[1]")
+
+    insert = {2: least("y[3]", edit("I", "2", "y[4]")), 3: least("y[4]", edit("I", "2", "y[3]"))}
+    return f"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as f from conversations),
+damaged as (select conv_id, turn, case when f = 4 then 'user' else role end as role,
+                   case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                   unnest(range(case when f = 3 then 2 else 1 end)) as copy
+            from raw where f <> 0),
+conv as (select conv_id, row_number() over () as k from (select distinct conv_id from conversations)),
+placed as (select k, turn, role, text, left(role, 1) as initial, rtrim(text, {white}) as ended,
+                  row_number() over (partition by k order by turn nulls first, role, sha256(text), copy) as i
+           from damaged join conv on damaged.conv_id is not distinct from conv.conv_id),
+seen as (select *, row_number() over (partition by k, role, text order by i) > 1 as again from placed),
+fault as (select *, ended = '' as blank, ended <> '' and again as duplicate,
+                 ended <> '' and not again and right(ended, 1) not in ('.', '!', '?') as truncated from seen),
+letter as (select k, i, initial as letter, blank or duplicate as gone, cast(truncated as bigint) as t, role, text from fault),
+adjacent as (select k, i, lag(initial) over (partition by k order by i) || initial as pair from fault),
+bad as (select k, count(*) as illegal from adjacent where i > 1 and pair not in ('su', 'ua', 'au') group by k),
+sums as (select k, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated
+         from fault group by k),
+dp(k, i, z) as (
+  select k, n + 1, [{{'c': cast(0 as bigint), 's': ''}}, {{'c': cast(4 as bigint), 's': 'II'}}, {{'c': cast(2 as bigint), 's': 'I'}}, {{'c': cast(0 as bigint), 's': ''}}] from sums
+  union all
+  select k, i, [{least('y[1]', edit('I', '2', 'two'))}, {least('y[2]', edit('I', '2', 'two'))}, two, three]
+  from (select k, i, y, {insert[2]} as two, {insert[3]} as three
+        from (select dp.k, dp.i - 1 as i, [{before(0)}, {before(1)}, {before(2)}, {before(3)}] as y
+              from dp join letter on letter.k = dp.k and letter.i = dp.i - 1))),
+solved as (select k, z[1].c as cost, z[1].s as audit from dp where i = 1),
+edit as (select k, unnest(string_split(audit, '')) as e, unnest(range(1, len(audit) + 1)) as p from solved where audit <> ''),
+spot as (select k, p, e, count(*) filter (e <> 'I') over (partition by k order by p) as i, count(*) filter (e <> 'D') over (partition by k order by p) as j from edit),
+turn as (select spot.k, p, e, j, role, text, left(first_value(case when e = 'K' then role else 'user' end) over (partition by spot.k order by p), 1) = 's' as opened
+         from spot left join letter on letter.k = spot.k and letter.i = spot.i where e <> 'D'),
+rebuilt as (select k, string_agg(case when e = 'K' then role when (j % 2 = 1) <> opened then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end,
+                                 chr(10) order by p) as whole from turn group by k)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from conv left join sums using (k) left join bad using (k) left join solved using (k) left join rebuilt using (k)
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversations,
     decontaminate,
     fingerprints,
     html_extract,
@@ -162,6 +163,11 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -176,9 +182,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_licenses": op10_licenses,
         "op11_decontaminate": op11_decontaminate,
         "op12_lexical": op12_lexical,
+        "op13_conversations": op13_conversations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Models, sketches and Spark's hashes have no SQL; the others have."""
-    return {"op10_licenses": oracles.op10_licenses(), "op11_decontaminate": oracles.op11_decontaminate(), "op12_lexical": oracles.op12_lexical()}
+    return {"op10_licenses": oracles.op10_licenses(), "op11_decontaminate": oracles.op11_decontaminate(), "op12_lexical": oracles.op12_lexical(),
+            "op13_conversations": oracles.op13_conversations()}
