@@ -52,8 +52,8 @@ MAX_BYTES = 4 << 20
 #: Numbers in the table of maxima (blocks x terms) that a task holds at once.
 CELLS = 1 << 22
 
-_FORWARD = "docs long, words long, ids array<long>, lengths array<long>, sizes array<int>, terms array<int>, counts array<long>"
-_INDEX = "block long, ids array<long>, sizes array<int>, terms array<int>, impacts array<long>, top_terms array<int>, tops array<long>"
+_FORWARD = "docs long, words long, ids array<long>, lengths array<int>, sizes array<int>, terms array<int>, counts array<int>"
+_INDEX = "block long, ids array<long>, sizes array<int>, terms array<int>, impacts array<int>, top_terms array<int>, tops array<int>"
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def forward_index(docs: DataFrame, terms: list[bytes], id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                      *[_lists(np.concatenate(c), np.array([len(x) for x in c]), t)
-                       for c, t in zip(out[2:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]],
+                       for c, t in zip(out[2:], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]],
                     names=["docs", "words", "ids", "lengths", "sizes", "terms", "counts"])
 
     return given.mapInArrow(run, _FORWARD).filter("docs > 0")
@@ -152,8 +152,8 @@ def block_index(forward: DataFrame, n_docs: int, n_words: int) -> DataFrame:
         for batch in batches:
             impacts, top_terms, tops = [], [], []
             for lengths, sizes, terms, counts in zip(*(_arrays(batch, c) for c in ("lengths", "sizes", "terms", "counts")), strict=True):
-                m = np.repeat(10 + 90 * lengths * n_docs // n_words, sizes)
-                own = 1_000_000_000 * counts // (1000 * counts + 8 * m)
+                m, counts = np.repeat(10 + 90 * lengths.astype(np.int64) * n_docs // n_words, sizes), counts.astype(np.int64)
+                own = (1_000_000_000 * counts // (1000 * counts + 8 * m)).astype(np.int32)  # under a million
                 order = np.argsort(terms, kind="stable")
                 cuts = np.flatnonzero(np.diff(terms[order], prepend=-1))
                 impacts.append(own)
@@ -161,8 +161,8 @@ def block_index(forward: DataFrame, n_docs: int, n_words: int) -> DataFrame:
                 tops.append(np.maximum.reduceat(own[order], cuts))
             n = [len(x) for x in impacts], [len(x) for x in tops]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "ids", "sizes", "terms")), _lists(np.concatenate(impacts), np.array(n[0]), pa.int64()),
-                 _lists(np.concatenate(top_terms), np.array(n[1]), pa.int32()), _lists(np.concatenate(tops), np.array(n[1]), pa.int64())],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "ids", "sizes", "terms")), _lists(np.concatenate(impacts), np.array(n[0]), pa.int32()),
+                 _lists(np.concatenate(top_terms), np.array(n[1]), pa.int32()), _lists(np.concatenate(tops), np.array(n[1]), pa.int32())],
                 names=["block", "ids", "sizes", "terms", "impacts", "top_terms", "tops"])
 
     blocks = forward.filter(F.size("terms") > 0).select(F.monotonically_increasing_id().alias("block"), "ids", "lengths", "sizes", "terms", "counts")
@@ -179,18 +179,9 @@ def _bounds(top_terms: list[np.ndarray], tops: list[np.ndarray], queries: Querie
         yield table[terms].sum(axis=0)
 
 
-class _Block:
-    """The forward index of a block as documents x its own terms."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray, own: np.ndarray) -> None:
-        self.ids, self.own = ids, own
-        self.table = np.zeros((len(ids), len(own)), np.int64)
-        self.table[np.repeat(np.arange(len(ids)), sizes), np.searchsorted(own, terms)] = impacts
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        places = np.minimum(np.searchsorted(self.own, terms), len(self.own) - 1)
-        here = self.own[places] == terms
-        return self.table[:, places[here]] @ weights[terms[here]]
+def _scores(sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The scores of a block's documents; ``weights`` are 0 beside the query's terms."""
+    return np.add.reduceat(weights[terms] * impacts, np.cumsum(sizes) - sizes)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,22 +216,22 @@ def _search(index: DataFrame, sent, width: int, k: int) -> DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries.of]
         for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             blocks = batch.column(0).to_numpy()
-            columns = [_arrays(batch, c) for c in ("ids", "sizes", "terms", "impacts", "top_terms")]
-            held: dict[int, _Block] = {}
-            for q, bound in enumerate(_bounds(columns[4], _arrays(batch, "tops"), queries, weights)):
+            columns = [_arrays(batch, c) for c in ("ids", "sizes", "terms", "impacts")]
+            for q, bound in enumerate(_bounds(_arrays(batch, "top_terms"), _arrays(batch, "tops"), queries, weights)):
+                own = np.zeros_like(weights)
+                own[queries.of[q]] = weights[queries.of[q]]
                 for i in np.argsort(-bound, kind="stable"):
                     threshold = max(least[q], found[q][1][-1] if len(found[q][1]) == k else 0, 1)
                     if bound[i] < threshold:
                         break
                     if only is not None and (q, blocks[i]) not in only:
                         continue
-                    if i not in held:
-                        held[i] = _Block(*(c[i] for c in columns))
-                    scores = held[i].scores(queries.of[q], weights)
+                    ids_here, *lists = (c[i] for c in columns)
+                    scores = _scores(*lists, own)
                     good = np.flatnonzero(scores >= threshold)
                     if len(good):
                         ids, old = found[q]
-                        found[q] = _best(np.concatenate([ids, held[i].ids[good]]), np.concatenate([old, scores[good]]), k)
+                        found[q] = _best(np.concatenate([ids, ids_here[good]]), np.concatenate([old, scores[good]]), k)
         sizes = [len(ids) for ids, _ in found]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(queries.rows, sizes), pa.int64()), *(pa.array(np.concatenate([f[j] for f in found]), pa.int64()) for j in (0, 1))],

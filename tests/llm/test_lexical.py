@@ -87,9 +87,8 @@ def test_bounds_are_never_below_the_scores_and_prune(spark):
     index = lexical_search.block_index(forward, n, total).collect()
     found, bounds = [], []
     for row in index:
-        columns = [np.array(row[c]) for c in ("ids", "sizes", "terms", "impacts", "top_terms")]
-        found.append(int(lexical_search._Block(*columns).scores(asked.of[0], weights).max()))
-        bounds.append(int(next(lexical_search._bounds([columns[4]], [np.array(row["tops"])], asked, weights))[0]))
+        found.append(int(lexical_search._scores(*(np.array(row[c]) for c in ("sizes", "terms", "impacts")), weights).max()))
+        bounds.append(int(next(lexical_search._bounds([np.array(row["top_terms"])], [np.array(row["tops"])], asked, weights))[0]))
     assert all(b >= s for b, s in zip(bounds, found, strict=True))
     best = max(found)
     assert sum(b >= best for b in bounds) < len(bounds) / 2  # for the best document few blocks have to be scored
