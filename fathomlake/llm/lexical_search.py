@@ -44,9 +44,10 @@ from pyspark.sql import functions as F
 from . import byte_words
 from .common import NULL_ID, durable, parts_within, text_or_empty
 
-#: Documents of a block, blocks whose scores give the first threshold of a query.
-BLOCK_DOCS = 64
-SEEDS = 2
+#: Documents of a block, blocks whose scores give the first threshold of a query, and how many of them a task names.
+BLOCK_DOCS = 16
+SEEDS = 128
+NAMED = 32
 #: Bytes of query texts searched at once.
 MAX_BYTES = 4 << 20
 #: Numbers in the table of maxima (blocks x terms) that a task holds at once.
@@ -189,23 +190,26 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def _ragged(keys: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Each key with the numbers of its pair of arrays."""
+    columns = np.repeat(keys, [len(p[0]) for p in pairs]), *(np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
 def _seeds(index: DataFrame, sent, width: int) -> DataFrame:
-    """(query, bound, block): the block of largest bound of each query in each task."""
+    """(query, bound, block): the blocks of largest bound of each query in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, weights = sent.value
-        best = np.zeros((len(queries.of), 2), np.int64)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries.of]
         for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             blocks = batch.column(0).to_numpy()
             for q, bound in enumerate(_bounds(_arrays(batch, "top_terms"), _arrays(batch, "tops"), queries, weights)):
-                i = int(bound.argmax())
-                if bound[i] > best[q, 0]:
-                    best[q] = bound[i], blocks[i]
-        some = np.flatnonzero(best[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(best[some, 0]), pa.array(best[some, 1])], names=["query", "bound", "block"])
+                best[q] = _best(np.concatenate([best[q][0], blocks]), np.concatenate([best[q][1], bound]), NAMED)
+        yield _ragged(np.arange(len(best)), best, ["query", "block", "bound"])
 
     rows = max(1, CELLS // width)
-    return index.select("block", "top_terms", "tops").mapInArrow(run, "query int, bound long, block long")
+    return index.select("block", "top_terms", "tops").mapInArrow(run, "query long, block long, bound long").filter("bound > 0")
 
 
 def _search(index: DataFrame, sent, width: int, k: int) -> DataFrame:
@@ -232,10 +236,7 @@ def _search(index: DataFrame, sent, width: int, k: int) -> DataFrame:
                     if len(good):
                         ids, old = found[q]
                         found[q] = _best(np.concatenate([ids, ids_here[good]]), np.concatenate([old, scores[good]]), k)
-        sizes = [len(ids) for ids, _ in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(queries.rows, sizes), pa.int64()), *(pa.array(np.concatenate([f[j] for f in found]), pa.int64()) for j in (0, 1))],
-            names=["query", "doc", "score"])
+        yield _ragged(queries.rows, found, ["query", "doc", "score"])
 
     rows = max(1, CELLS // width)
     return index.mapInArrow(run, "query long, doc long, score long")
