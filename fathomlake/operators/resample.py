@@ -58,12 +58,11 @@ def smote(df: DataFrame, row_id: str, label: str, vector: str, k: int = 5, seed:
     most = max(sizes.values(), default=0)
     draws = _draws(sizes, df.sparkSession, df.schema[label].dataType.simpleString(), seed)
     bases = shuffled_rank(df, [row_id], seed, [label]).select(F.col(label).alias("b_label"), F.col("rn"), F.col(row_id).alias("base"), F.col(vector).alias("u"))
+    small = [value for value, n in sizes.items() if 1 < n < most]
     near = None
-    for value, n in sizes.items():
-        if 1 < n < most:
-            own = df.filter(F.col(label) == value)
-            found = nearest_rows(own, own, row_id, vector, min(k, n - 1)).select("query_id", "rank", F.col("id").alias("neighbour"))
-            near = found if near is None else near.unionByName(found)
+    if small:
+        own = df.filter(F.col(label).isin(small))
+        near = nearest_rows(own, own, row_id, vector, k, group=label).select("query_id", "rank", F.col("id").alias("neighbour"))
     chosen = draws.withColumn("rn", _pick(F.col("key"), F.col("class_n"), 1)).withColumn(
         "rank", _pick(F.col("key"), F.greatest(F.lit(1), F.least(F.lit(k), F.col("class_n") - 1)), 9)).withColumn("alpha", uniform(F.col("key"), 17))
     chosen = chosen.join(bases.withColumnRenamed("rn", "b_rn"), (F.col("label") == F.col("b_label")) & (F.col("rn") == F.col("b_rn")))
