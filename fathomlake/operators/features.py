@@ -10,6 +10,10 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
+from ..functions.spread import join_spread
+from .cells import Grid, distinct_points
+
 
 def center_distance(df: DataFrame, group: str, x: str, y: str, out: str) -> DataFrame:
     """Euclidean distance to the mean point of the row's group."""
@@ -66,28 +70,20 @@ def interval_lookup(df: DataFrame, column: str, intervals: Sequence[tuple[int, f
     return df.withColumn(out, value)
 
 
-def radius_pairs(points: DataFrame, row_id: str, columns: Sequence[str], radius: float) -> DataFrame:
-    """(a, b, distance) of all ordered pairs of different rows within the radius.
+def radius_neighbour_count(points: DataFrame, row_id: str, columns: Sequence[str], radius: float, out: str = "n_neighbours") -> DataFrame:
+    """Rows within the radius, the row itself not counted; 0 for a row with a null or NaN coordinate.
 
-    A grid of cells as wide as the radius on up to three columns: a point joins
-    the points of its own and the adjacent cells, and no others.
+    Rows of one point share a count, the rows of its cell are near without a
+    comparison, and the cells around are counted box by box.
     """
-    pts = points.select(F.col(row_id).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    dims = min(3, len(columns))
-    cells = [F.floor(F.col(f"x{i}") / radius).cast("long") for i in range(dims)]
-    here = pts.withColumns({f"c{i}": c for i, c in enumerate(cells)})
-    around = pts
-    for i, c in enumerate(cells):
-        around = around.withColumn(f"c{i}", F.explode(F.array(c - 1, c, c + 1)))
-    a, b = around.alias("a"), here.alias("b")
-    same = F.col("a.id") != F.col("b.id")
-    for i in range(dims):
-        same = same & (F.col(f"a.c{i}") == F.col(f"b.c{i}"))
-    gap = F.sqrt(sum(((F.col(f"a.x{i}") - F.col(f"b.x{i}")) * (F.col(f"a.x{i}") - F.col(f"b.x{i}")) for i in range(len(columns))), F.lit(0.0)))
-    return a.join(b, same).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), gap.alias("distance")).filter(F.col("distance") <= radius)
-
-
-def radius_neighbour_count(points: DataFrame, row_id: str, columns: Sequence[str], radius: float, out: str = "n_neighbours") -> DataFrame:
-    """Rows within the radius, the row itself not counted."""
-    counts = radius_pairs(points, row_id, columns, radius).groupBy("a").agg(F.count(F.lit(1)).alias(out))
-    return points.join(counts, F.col(row_id) == F.col("a"), "left").drop("a").withColumn(out, F.coalesce(out, F.lit(0)))
+    grid = Grid(distinct_points(points, row_id, columns), len(columns), radius)
+    sent = join_spread(grid.points, grid.pairs.withColumnRenamed("a", "cell"), ["cell"], "pid")
+    sent = sent.select(F.col("pid").alias("qid"), F.col("x").alias("qx"), F.col("b").alias("cell"))
+    around = grid.count_within(durable(sent), grid.points).groupBy("qid").agg(F.sum("n").alias("_more"))
+    own = join_spread(grid.points, grid.cells, ["cell"], "pid").join(around, F.col("pid") == F.col("qid"), "left")
+    counts = own.select("x", (F.col("n") + F.coalesce("_more", F.lit(0)) - 1).alias("_near"))
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+    found = join_spread(points.filter(whole).withColumn("_x", x), counts.withColumnRenamed("x", "_x"), ["_x"], row_id)
+    found = found.select(*points.columns, F.col("_near").alias(out))
+    return found.unionByName(points.filter(~whole).withColumn(out, F.lit(0).cast("long")))

@@ -387,18 +387,36 @@ _DB = "(select vec_id, embedding[1]::double as x, embedding[2]::double as y from
 _EPS, _MIN = 0.03, 6
 
 
-@query(f"""with recursive p as (select * from {_DB}), e as (select a.vec_id a, b.vec_id b from p a, p b where a.vec_id <> b.vec_id and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {_EPS}::double),
-  core as (select vec_id from p left join e on a = vec_id group by vec_id having count(b) + 1 >= {_MIN}), link as (select a, b from e where a in (from core) and b in (from core)),
-  reach as (select vec_id a, vec_id root from core union select link.b, root from reach join link on link.a = reach.a), lab as (select a vec_id, min(root) root from reach group by a),
-  num as (select root, row_number() over (order by root) - 1 cluster from (select distinct root from lab)), cl as (select vec_id, cluster from lab join num using (root)),
-  near as (select b vec_id, min(cluster) cluster from e join cl on cl.vec_id = e.a group by b)
-  select p.vec_id, coalesce(cl.cluster, near.cluster, -1)::int as cluster from p left join cl using (vec_id) left join near using (vec_id)""")
+def _dbscan_ctes(eps: float, least: int, tag: str = "") -> str:
+    """CTEs up to ``fit``: vec_id, x, y, cluster."""
+    t = tag
+    return f"""e{t} as (select a.vec_id a, b.vec_id b from p a, p b where a.vec_id <> b.vec_id and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {eps}::double),
+  core{t} as (select vec_id from p left join e{t} on a = vec_id group by vec_id having count(b) + 1 >= {least}), link{t} as (select a, b from e{t} where a in (from core{t}) and b in (from core{t})),
+  reach{t} as (select vec_id a, vec_id root from core{t} union select l.b, root from reach{t} r join link{t} l on l.a = r.a), lab{t} as (select a vec_id, min(root) root from reach{t} group by a),
+  num{t} as (select root, row_number() over (order by root) - 1 cluster from (select distinct root from lab{t})), cl{t} as (select vec_id, cluster from lab{t} join num{t} using (root)),
+  near{t} as (select b vec_id, min(cluster) cluster from e{t} join cl{t} c on c.vec_id = e{t}.a group by b),
+  fit{t} as (select p.vec_id, x, y, coalesce(cl{t}.cluster, near{t}.cluster, -1)::int as cluster from p left join cl{t} using (vec_id) left join near{t} using (vec_id))"""
+
+
+def _dbscan_score(eps: float, least: int, t: str) -> str:
+    """CTEs that end in ``score``, a row of the grid."""
+    return f"""{_dbscan_ctes(eps, least, t)}, d{t} as (select a.vec_id, a.cluster own, b.cluster other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) t, count(*) n from fit{t} a, fit{t} b where a.cluster >= 0 and b.cluster >= 0 group by 1, 2, 3),
+  m{t} as (select vec_id, max(case when own = other then coalesce(t / nullif(n - 1, 0), 0) end) a, min(case when own <> other then t / n end) b from d{t} group by vec_id),
+  score{t} as (select {eps}::double as eps, {least}::int as min_samples, (select count(distinct cluster) from fit{t} where cluster >= 0)::int as clusters,
+    case when (select count(distinct cluster) from fit{t} where cluster >= 0) < 2 then -1.0 else (select avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) from m{t}) end * (select avg((cluster >= 0)::int) from fit{t}) as score)"""
+
+
+@query(f"with recursive p as (select * from {_DB}), {_dbscan_ctes(_EPS, _MIN)} select vec_id, cluster from fit")
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return dbscan.fit_predict(p, "vec_id", ["x", "y"], _EPS, _MIN).select(F.col("id").alias("vec_id"), "cluster")
 
 
-@query()
+_GRID = [(0.02, 4), (0.02, 6), (0.03, 4), (0.03, 6)]
+
+
+@query(f"with recursive p as (select * from {_DB}), {', '.join(_dbscan_score(e, m, f'_{i}') for i, (e, m) in enumerate(_GRID))} "
+       + " union all ".join(f"select eps, min_samples, clusters, {r('score')} as score from score_{i}" for i in range(len(_GRID))))
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     found = dbscan.explore(p, "vec_id", ["x", "y"], [0.02, 0.03], [4, 6])

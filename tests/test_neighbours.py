@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomlake.operators import cells, dbscan, features
 from fathomlake.operators.knn import nearest_rows
 
 
@@ -70,3 +71,67 @@ def test_few_rows_null_features_and_empty_tables(spark):
     assert found(nearest_rows(df.limit(0), df, "id", ["a", "b"], 5)) == []
     assert found(nearest_rows(df, df.limit(0), "id", ["a", "b"], 5)) == []
     assert "compared" in nearest_rows(df.limit(0), df, "id", ["a", "b"], 5, counted=True).columns
+
+
+def plain_dbscan(ids, x, eps, least):
+    near = [np.flatnonzero(np.sqrt(((x - v) ** 2).sum(axis=1)) <= eps) for v in x]
+    core = [len(n) >= least for n in near]
+    root = {}
+    for i in sorted(range(len(ids)), key=lambda i: ids[i]):
+        if core[i] and i not in root:
+            todo = [i]
+            root[i] = ids[i]
+            while todo:
+                for j in near[todo.pop()]:
+                    if core[j] and j not in root:
+                        root[j] = ids[i]
+                        todo.append(j)
+    number = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    return {ids[i]: number[root[i]] if core[i] else min((number[root[j]] for j in near[i] if core[j]), default=-1) for i in range(len(ids))}
+
+
+def blobs(n, d, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.4, (n // 4, d)) for c in (0, 2.5, 5)] + [rng.uniform(-1, 6, (n - 3 * (n // 4), d))])
+    x[: n // 3] = np.round(x[: n // 3], 1)  # equal points
+    return [int(i) for i in rng.permutation(n)], x
+
+
+@pytest.mark.parametrize(("d", "eps", "least"), [(1, 0.05, 5), (2, 0.25, 6), (2, 0.4, 40), (3, 0.4, 5), (4, 0.6, 6)])
+def test_clusters_equal_a_plain_dbscan(spark, d, eps, least):
+    ids, x = blobs(400, d, d)
+    columns = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in zip(ids, x, strict=True)], ", ".join(["id long", *[f"{c} double" for c in columns]]))
+    got = {r["id"]: r["cluster"] for r in dbscan.fit_predict(df, "id", columns, eps, least).collect()}
+    assert got == plain_dbscan(ids, x, eps, least)
+
+
+def test_boxes_are_cut_until_they_are_decided(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FEW", 2)
+    ids, x = blobs(500, 2, 9)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, x, strict=True)], "id long, x double, y double")
+    got = {r["id"]: r["cluster"] for r in dbscan.fit_predict(df, "id", ["x", "y"], 0.5, 150).collect()}
+    assert got == plain_dbscan(ids, x, 0.5, 150)
+    counts = {r["id"]: r["n_neighbours"] for r in features.radius_neighbour_count(df, "id", ["x", "y"], 0.8).collect()}
+    assert counts == {i: int((np.sqrt(((x - v) ** 2).sum(axis=1)) <= 0.8).sum()) - 1 for i, v in zip(ids, x, strict=True)}
+
+
+def test_a_dense_cell_makes_no_pairs(spark):
+    rng = np.random.default_rng(1)
+    n = 30_000
+    x = np.concatenate([rng.uniform(0, 0.01, (n // 3, 2)), rng.uniform(0, 60, (n - n // 3, 2))])  # a third of all rows in one cell
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    grid = cells.Grid(cells.distinct_points(df, "id", ["x", "y"]), 2, 0.5)
+    sent = grid.points.join(grid.pairs, F.col("cell") == F.col("a")).select(F.col("pid").alias("qid"), F.col("x").alias("qx"), F.col("b").alias("cell"))
+    assert sent.count() < 21 * n  # what is looked at: a row for each point and cell around it
+    got = dbscan.fit_predict(df, "id", ["x", "y"], 0.5, 20).groupBy("cluster").count().collect()
+    assert max(r["count"] for r in got if r["cluster"] >= 0) >= n // 3
+
+
+def test_null_coordinates_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, -0.0, 0.1), (3, 0.1, None), (4, float("nan"), 0.0), (5, 9.0, 9.0), (6, 0.0, 0.0)], "id long, x double, cell double")
+    assert {r["id"]: r["cluster"] for r in dbscan.fit_predict(df, "id", ["x", "cell"], 0.5, 3).collect()} == {1: 0, 2: 0, 3: -1, 4: -1, 5: -1, 6: 0}
+    assert {r["id"]: r["n"] for r in features.radius_neighbour_count(df, "id", ["x", "cell"], 0.5, "n").collect()} == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 2}
+    assert dbscan.fit_predict(df.limit(0), "id", ["x", "cell"], 0.5, 3).collect() == []
+    with pytest.raises(ValueError, match="radius"):
+        dbscan.fit_predict(df, "id", ["x", "cell"], 0.0, 3)
