@@ -77,13 +77,17 @@ class Grid:
     def distance(self, a: Column, b: Column) -> Column:
         return _length([a[i] - b[i] for i in range(self.dims)])
 
-    def count_within(self, sent: DataFrame, points: DataFrame) -> DataFrame:
+    def count_within(self, sent: DataFrame, points: DataFrame, crowded: bool = False) -> DataFrame:
         """(qid, cell, n): rows of ``points`` in ``cell`` within the radius of qx, where there are any.
 
-        ``sent`` has qid, qx and the cell to look at.
+        ``sent`` has qid, qx and the cell to look at; ``crowded`` if many may
+        look at one cell, which then are dealt to many tasks.
         """
+        def met_with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+            return join_spread(left, right, keys, "qid") if crowded else left.join(right, keys)
+
         boxes, found = self.boxes(points, 0), []
-        asked = join_spread(sent, boxes, ["cell"], "qid")
+        asked = met_with(sent, boxes, ["cell"])
         for level in range(LEVELS + 1):
             q, low, high = (F.col(c) for c in ("qx", "low", "high"))
             least = _length([F.greatest(low[i] - q[i], q[i] - high[i], F.lit(0.0)) for i in range(self.dims)])
@@ -93,12 +97,12 @@ class Grid:
             found.append(judged.filter(inside).select("qid", "cell", "n"))
             small = judged.filter(~inside & (F.col("size") <= FEW)).select("qid", "qx", "cell", "sub")
             own = points.withColumn("sub", self.sub(level)).select("cell", "sub", "x", "w")
-            met = join_spread(small, own, ["cell", "sub"], "qid").filter(self.distance(F.col("qx"), F.col("x")) <= self.radius)
+            met = met_with(small, own, ["cell", "sub"]).filter(self.distance(F.col("qx"), F.col("x")) <= self.radius)
             found.append(met.groupBy("qid", "cell").agg(F.sum("w").alias("n")))
             large = judged.filter(~inside & (F.col("size") > FEW)).select("qid", "qx", "cell", F.col("sub").alias("parent"))
             if not large.limit(1).count():
                 break
-            asked = join_spread(large, self.boxes(points, level + 1), ["cell", "parent"], "qid")
+            asked = met_with(large, self.boxes(points, level + 1), ["cell", "parent"])
         whole = found[0]
         for f in found[1:]:
             whole = whole.unionByName(f)

@@ -67,24 +67,24 @@ def _clusters(grid: Grid, neighbours: DataFrame, min_samples: int) -> DataFrame:
     around = durable(around.join(cells, "cell", "left_semi"))
     there = grid.count_within(around, core).join(cells, "cell").select(F.col("qid").alias("pid"), "cluster")
     border = here.unionByName(there).groupBy("pid").agg(F.min("cluster").alias("cluster"))
-    inner = join_spread(core.select("pid", "x", "cell"), cells, ["cell"], "pid").select("pid", "x", "cluster")
+    inner = join_spread(core.select("pid", "x", "cell"), cells, ["cell"], "pid", grid.cells.withColumnRenamed("n", "_n")).select("pid", "x", "cluster")
     return inner.unionByName(rest.join(border, "pid").select("pid", "x", "cluster"))
 
 
-def _labelled(df: DataFrame, row_id: str, columns: Sequence[str], clusters: DataFrame) -> DataFrame:
+def _labelled(df: DataFrame, row_id: str, columns: Sequence[str], grid: Grid, clusters: DataFrame) -> DataFrame:
     """(id, cluster) of every row; those of one point share its label."""
     x = F.array(*[F.col(c).cast("double") for c in columns])
     rows = df.select(F.col(row_id).alias("id"), x.alias("_x"))
     whole = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))
     placed = rows.filter(whole).select("id", F.col("_x").alias("x"))
-    found = join_spread(placed, clusters.select("x", "cluster"), ["x"], "id", how="left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = join_spread(placed, clusters.select("x", "cluster"), ["x"], "id", grid.points.select("x", F.col("w").alias("_n")), how="left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return found.unionByName(rows.filter(~whole).select("id", F.lit(-1).alias("cluster")))
 
 
 def fit_predict(df: DataFrame, row_id: str, columns: Sequence[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(id, cluster); a row counts itself among its neighbours, one with a null or NaN coordinate is noise."""
     grid = Grid(distinct_points(df, row_id, columns), len(columns), eps)
-    return _labelled(df, row_id, columns, _clusters(grid, _neighbours(grid, min_samples), min_samples))
+    return _labelled(df, row_id, columns, grid, _clusters(grid, _neighbours(grid, min_samples), min_samples))
 
 
 def explore(df: DataFrame, row_id: str, columns: Sequence[str], eps_values: Sequence[float], min_samples: Sequence[int]) -> list[tuple[float, int, int, float]]:
@@ -94,7 +94,7 @@ def explore(df: DataFrame, row_id: str, columns: Sequence[str], eps_values: Sequ
         grid = Grid(points, len(columns), eps)
         near = durable(_neighbours(grid, max(min_samples)))
         for m in min_samples:
-            labels = durable(_labelled(df, row_id, columns, _clusters(grid, near, m)))
+            labels = durable(_labelled(df, row_id, columns, grid, _clusters(grid, near, m)))
             n = labels.filter("cluster >= 0").select("cluster").distinct().count()
             joined = df.join(labels, F.col(row_id) == F.col("id"))
             out.append((eps, m, n, penalised_silhouette(joined, row_id, F.array(*[F.col(c).cast("double") for c in columns]), "cluster")))

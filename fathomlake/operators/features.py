@@ -77,13 +77,14 @@ def radius_neighbour_count(points: DataFrame, row_id: str, columns: Sequence[str
     comparison, and the cells around are counted box by box.
     """
     grid = Grid(distinct_points(points, row_id, columns), len(columns), radius)
-    sent = join_spread(grid.points, grid.pairs.withColumnRenamed("a", "cell"), ["cell"], "pid")
+    sizes = grid.cells.withColumnRenamed("n", "_n")
+    sent = join_spread(grid.points, grid.pairs.withColumnRenamed("a", "cell"), ["cell"], "pid", sizes)
     sent = sent.select(F.col("pid").alias("qid"), F.col("x").alias("qx"), F.col("b").alias("cell"))
-    around = grid.count_within(durable(sent), grid.points).groupBy("qid").agg(F.sum("n").alias("_more"))
-    own = join_spread(grid.points, grid.cells, ["cell"], "pid").join(around, F.col("pid") == F.col("qid"), "left")
+    around = grid.count_within(durable(sent), grid.points, crowded=True).groupBy("qid").agg(F.sum("n").alias("_more"))
+    own = join_spread(grid.points, grid.cells, ["cell"], "pid", sizes).join(around, F.col("pid") == F.col("qid"), "left")
     counts = own.select("x", (F.col("n") + F.coalesce("_more", F.lit(0)) - 1).alias("_near"))
     x = F.array(*[F.col(c).cast("double") for c in columns])
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
-    found = join_spread(points.filter(whole).withColumn("_x", x), counts.withColumnRenamed("x", "_x"), ["_x"], row_id)
+    found = join_spread(points.filter(whole).withColumn("_x", x), counts.withColumnRenamed("x", "_x"), ["_x"], row_id, grid.points.select(F.col("x").alias("_x"), F.col("w").alias("_n")))
     found = found.select(*points.columns, F.col("_near").alias(out))
     return found.unionByName(points.filter(~whole).withColumn(out, F.lit(0).cast("long")))
