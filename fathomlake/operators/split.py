@@ -82,6 +82,13 @@ def repeated_splits(df: DataFrame, row_id: str, repeats: int, ratio: float = 0.8
     return ranked.withColumn("is_train", F.col("rn") <= cut).drop("rn")
 
 
+def split_flags(df: DataFrame, row_id: str, repeats: int, ratio: float = 0.8, seed: str = "42") -> DataFrame:
+    """``df`` with ``is_train``: an array with a flag for each of ``repeated_splits``; ids are distinct."""
+    ids = repeated_splits(df.select(row_id), row_id, repeats, ratio, seed)
+    flags = F.array_sort(F.collect_list(F.struct("split", "is_train")))  # one a split
+    return df.join(ids.groupBy(row_id).agg(F.transform(flags, lambda s: s["is_train"]).alias("is_train")), row_id)
+
+
 def _seeded_rank(df: DataFrame, row_id: str, seed: str) -> DataFrame:
     return shuffled_rank(df.withColumn("_own", F.concat_ws("-", F.col(row_id).cast("string"), F.col("split").cast("string"))), ["_own"], seed, ["split"]).drop("_own")
 

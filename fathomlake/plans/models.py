@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dbscan, gmm, kmeans, lda, linear, logistic, metrics, mlp, pca, resample, select, silhouette, tree, vae
+from ..operators import dbscan, gmm, kmeans, lda, linear, logistic, metrics, mlp, pca, select, silhouette, split, tree, vae
 from ..operators.gram import gram, moments_of
 from ..sources.readers import table
-from .base import finish, key_sql, query, r, rows
+from .base import finish, key_sql, query, r, rows, uniform_sql
 
 # ---------------------------------------------------------------- regression
 
@@ -217,21 +217,81 @@ def softmax_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_grid_sql((0.1, 1.0), (0.0, 1.0), 4, 3))
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _log(spark, sf_dir).withColumn("fold", (F.col("c_custkey") % 3).cast("int"))
-    configs = [{"rate": rate, "rounds": 4, "penalty": p} for rate in (0.1, 1.0) for p in (0.0, 1.0)]
-    best, results, _ = select.grid_search(d, "fold", "y", configs, lambda t, **c: logistic.fit(t, ["a", "b"], "y", **c))
-    out = [(float(c["rate"]), float(c["penalty"]), mean, std, c == best) for c, mean, std, _ in results]
+    d, fold = _log(spark, sf_dir), F.col("c_custkey") % 3
+    configs = [(rate, p) for rate in (0.1, 1.0) for p in (0.0, 1.0)]
+    results, best = select.cross_validate(d, ["a", "b"], "y", F.array(*[fold != i for i in range(3)]), F.array(*[fold == i for i in range(3)]), configs, 3, 4)
+    chosen = (best.configs[0].rate, best.configs[0].penalty)
+    out = [(float(c[0]), float(c[1]), mean, std, c == chosen) for c, mean, std, _ in results]
     return finish(rows(spark, out, "rate double, penalty double, mean_f1 double, std_f1 double, is_best boolean"))
 
 
-@query()
+_CV = "(select c_custkey, c_acctbal as a, (c_custkey % 17)::double as b, (c_acctbal + (c_custkey % 17) * 300 > 7000)::int as y from customer)"
+
+
+def _repeated_sql(rate: float, penalties: tuple, rounds: int, repeats: int) -> str:
+    """Every split scaled by its own training rows; all models of a round in one statement."""
+    ctes = [f"src as (select * from {_CV})", f"k as (select *, unnest(range({repeats})) as split from src)",
+            f"ranked as (select *, row_number() over (partition by split order by {key_sql("c_custkey::varchar || '-' || split::varchar")}) <= floor(0.8::double * (select count(*) from src)) as train from k)",
+            "mom as (select split, avg(a) ma, stddev_samp(a) sa, avg(b) mb, stddev_samp(b) sb, count(*)::double n from ranked where train group by split)",
+            "d as (select split, train, y, n, (a - ma) / sa as a, (b - mb) / sb as b from ranked join mom using (split))",
+            f"w0 as (select split, penalty, 0.0::double w, 0.0::double u, 0.0::double v from mom, (values {', '.join(f'({p}::double)' for p in penalties)}) p(penalty))"]
+    for i in range(rounds):
+        ctes.append(f"""w{i + 1} as (select split, penalty, any_value(w) - {rate} * sum(e) / any_value(n) as w, any_value(u) - {rate} * (sum(e * a) / any_value(n) + penalty / any_value(n) * any_value(u)) as u,
+          any_value(v) - {rate} * (sum(e * b) / any_value(n) + penalty / any_value(n) * any_value(v)) as v
+          from (select split, penalty, a, b, w, u, v, n, 1 / (1 + exp(-(w + u * a + v * b))) - y as e from d join w{i} using (split) where train) group by split, penalty)""")
+    ctes.append(f"f as (select split, penalty, coalesce(2.0::double * count(*) filter (p = 1 and y = 1) / nullif(2 * count(*) filter (p = 1 and y = 1) + count(*) filter (p <> y), 0), 0) f1 from (select split, penalty, y, (w + u * a + v * b >= 0)::int p from d join w{rounds} using (split) where not train) group by split, penalty)")
+    return f"with {', '.join(ctes)} select penalty, {r('avg(f1)')} as mean_f1, {r('stddev_pop(f1)')} as std_f1, count(*) as n_splits from f group by penalty"
+
+
+@query(_repeated_sql(1.0, (0.0, 10.0), 5, 4))
+def repeated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    d = c.select("c_custkey", F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 17).cast("double").alias("b"), (F.col("c_acctbal") + (F.col("c_custkey") % 17) * 300 > 7000).cast("int").alias("y"))
+    marked = split.split_flags(d, "c_custkey", 4)
+    held = F.transform("is_train", lambda t: ~t)
+    results, _ = select.cross_validate(marked, ["a", "b"], "y", F.col("is_train"), held, [(1.0, 0.0), (1.0, 10.0)], 4, 5, scale=True)
+    out = [(float(c[1]), mean, std, len(found)) for c, mean, std, found in results]
+    return finish(rows(spark, out, "penalty double, mean_f1 double, std_f1 double, n_splits long"))
+
+
+def _rebalancing_sql(rate: float, penalties: tuple, rounds: int, k: int = 5) -> str:
+    def pick(n: str, at: int = 1) -> str:
+        return f"least(floor({uniform_sql('key', at)} * {n}) + 1, {n})"
+
+    ctes = [
+        "base as (select doc_id, toxic as y, ln(1 + n_chars::double) as x, quality::double as q from labels join (select doc_id, n_chars from documents) using (doc_id))",
+        f"t as (select *, row_number() over (partition by y order by {key_sql('doc_id::varchar')}) rn, count(*) over (partition by y) n from base where doc_id % 4 > 0)",
+        "m as (select max(n) mx, min(n) mn from t)", "c as (select distinct y as label, n from t)",
+        "dr as (select label, n, unnest(range(1, (mx - n + 1)::bigint)) as draw from c, m where n < mx)",
+        "kk as (select *, md5(label::varchar || '-' || draw::varchar || '-42') as key from dr)",
+        f"copies as (select t.x, t.q, t.y from kk join t on t.y = kk.label and t.rn = {pick('kk.n')})",
+        f"p as (select label, draw, {uniform_sql('key', 17)} as alpha, {pick('n')} as b, {pick(f'greatest(1, least({k}, n - 1))', 9)} as j from kk)",
+        "small as (select t.* from t, m where t.n < m.mx)",
+        "nn as (select a.doc_id f, b.doc_id id, row_number() over (partition by a.doc_id order by sqrt((b.x - a.x) * (b.x - a.x) + (b.q - a.q) * (b.q - a.q)), b.doc_id) rk from small a join small b on a.y = b.y and a.doc_id <> b.doc_id)",
+        "made as (select t.x + alpha * (o.x - t.x) as x, t.q + alpha * (o.q - t.q) as q, t.y from p join t on t.y = p.label and t.rn = p.b join nn on nn.f = t.doc_id and nn.rk = p.j join t o on o.doc_id = nn.id)",
+        "one as (select x, q, y, n, rn from t)",
+        """tr as (select 'none' s, x, q, y, 1.0::double wt from one union all select 'undersample', x, q, y, 1.0 from one, m where rn <= mn
+          union all select 'oversample', x, q, y, 1.0 from one union all select 'oversample', x, q, y, 1.0 from copies
+          union all select 'smote', x, q, y, 1.0 from one union all select 'smote', x, q, y, 1.0 from made
+          union all select 'cost', x, q, y, (select count(*) from one) / (2.0::double * n) from one)""",
+        "sizes as (select s, count(*)::double n from tr group by s)",
+        f"w0 as (select s, penalty, 0.0::double w, 0.0::double u, 0.0::double v from sizes, (values {', '.join(f'({p}::double)' for p in penalties)}) z(penalty))"]
+    for i in range(rounds):
+        ctes.append(f"""w{i + 1} as (select s, penalty, any_value(w) - {rate} * sum(e) / any_value(n) as w, any_value(u) - {rate} * (sum(e * x) / any_value(n) + penalty / any_value(n) * any_value(u)) as u,
+          any_value(v) - {rate} * (sum(e * q) / any_value(n) + penalty / any_value(n) * any_value(v)) as v
+          from (select s, penalty, x, q, w, u, v, n, (1 / (1 + exp(-(w + u * x + v * q))) - y) * wt as e from tr join w{i} using (s) join sizes using (s)) group by s, penalty)""")
+    ctes.append(f"""f as (select s, penalty, coalesce(2.0::double * count(*) filter (p = 1 and y = 1) / nullif(2 * count(*) filter (p = 1 and y = 1) + count(*) filter (p <> y), 0), 0) f1
+      from (select s, penalty, y, (w + u * x + v * q >= 0)::int p from base, w{rounds} where doc_id % 4 = 0) group by s, penalty)""")
+    return f"with {', '.join(ctes)} select s as strategy, penalty, {r('f1')} as f1, row_number() over (partition by s order by round(f1, 12) desc, penalty) = 1 as is_best from f"
+
+
+@query(_rebalancing_sql(1.0, (0.0, 1.0, 10.0), 20))
 def rebalancing_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    d = d.select("doc_id", F.col("toxic").alias("y"), F.log1p("n_chars").alias("x"), F.col("quality").cast("double").alias("q"))
+    d = d.select("doc_id", F.col("toxic").alias("y"), F.log1p(F.col("n_chars").cast("double")).alias("x"), F.col("quality").cast("double").alias("q"))
     train, held = d.filter("doc_id % 4 > 0"), d.filter("doc_id % 4 = 0")
-    strategies = {"none": lambda t: t, "undersample": lambda t: resample.undersample(t, "doc_id", "y"), "oversample": lambda t: resample.oversample(t, "doc_id", "y")}
-    found = select.compare_rebalancing(train, held, "y", strategies, lambda t: logistic.fit(t, ["x", "q"], "y", 0.1, 10))
-    return finish(rows(spark, [(n, float(s)) for n, s in found], "strategy string, f1 double"))
+    found = select.compare_rebalancing(train, held, "doc_id", ["x", "q"], "y", 1.0, (0.0, 1.0, 10.0), 20)
+    return finish(rows(spark, found, "strategy string, penalty double, f1 double, is_best boolean"))
 
 
 _LDA = "(select vec_id, embedding[1]::double as x, embedding[2]::double as y, label from embeddings)"
