@@ -1,10 +1,11 @@
 """Multi-layer perceptrons trained data-parallel.
 
-Each step, tasks compute the gradient sums of their rows (numpy, Arrow batches)
-and the driver, which holds the weights alone, updates them.  Hidden units are
-ReLU, the output is a softmax.  Options: mini-batches by hash, SGD or Adam, L2,
-inverted dropout from a seed a row and epoch, batch normalisation, rate
-schedules, early stopping on a validation part.
+Each step, tasks compute the sums of their rows (numpy, Arrow batches), Spark
+adds them up, and the driver, which holds the weights alone, updates them.
+Hidden units are ReLU, the output is a softmax.  Options: mini-batches by hash,
+SGD or Adam, L2, inverted dropout, batch normalisation over the whole batch (both
+as in ``layers``: the fit does not depend on the partitioning), rate schedules,
+early stopping on a validation part.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .layers import Stack, Step, Training, alone, distributed, flattened, summed, unflattened
+from .metrics import labels_of
+
 
 @dataclass(frozen=True)
 class Options:
@@ -37,13 +41,33 @@ class Options:
 @dataclass
 class Network:
     classes: tuple
-    weights: list[np.ndarray]
-    biases: list[np.ndarray]
-    gammas: list[np.ndarray] = field(default_factory=list)
-    betas: list[np.ndarray] = field(default_factory=list)
-    running: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    hidden: Stack
+    out_weight: np.ndarray
+    out_bias: np.ndarray
     history: list[tuple[int, str, float]] = field(default_factory=list)
 
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [*self.hidden.weights, self.out_weight]
+
+    @property
+    def biases(self) -> list[np.ndarray]:
+        return [*self.hidden.biases, self.out_bias]
+
+    @property
+    def betas(self) -> list[np.ndarray]:
+        return self.hidden.betas
+
+    @property
+    def gammas(self) -> list[np.ndarray]:
+        return self.hidden.gammas
+
+    def params(self) -> list[np.ndarray]:
+        return [*self.weights, *self.biases, *self.gammas, *self.betas]
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return _softmax(self.hidden.predict(x) @ self.out_weight + self.out_bias)
+
 
 def learning_rate(rate: float, epoch: int, epochs: int, schedule: str) -> float:
     """constant; linear: rate / (1 + e / E); exponential: rate * exp(-0.1 e / E)."""
@@ -77,111 +101,68 @@ def early_stop(losses: Sequence[float], patience: int) -> tuple[int, int]:
 def initialise(sizes: Sequence[int], classes: Sequence, options: Options) -> Network:
     """He-normal weights and zero biases."""
     rng = np.random.default_rng(options.seed)
-    weights = [rng.standard_normal((a, b)) * math.sqrt(2 / a) for a, b in zip(sizes, sizes[1:], strict=False)]
-    net = Network(tuple(classes), weights, [np.zeros(b) for b in sizes[1:]])
-    if options.batch_norm:
-        net.gammas, net.betas = [np.ones(h) for h in sizes[1:-1]], [np.zeros(h) for h in sizes[1:-1]]
-        net.running = [(np.zeros(h), np.ones(h)) for h in sizes[1:-1]]
-    return net
-
-
-def forward(net: Network, x: np.ndarray, options: Options, rng=None, moments=None) -> tuple[np.ndarray, list]:
-    """Probabilities, and what backpropagation needs; with ``rng``, dropout is on.
-
-    ``moments`` of a batch normalisation are the running ones, or those of the
-    rows at hand if it is ``"batch"``.
-    """
-    kept, a = [], x
-    for i, (w, b) in enumerate(zip(net.weights, net.biases, strict=True)):
-        z = a @ w + b
-        if i == len(net.weights) - 1:
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            kept.append((a, None, None, None))
-            return e / e.sum(axis=1, keepdims=True), kept
-        norm = None
-        if net.gammas:
-            mean, var = (z.mean(axis=0), z.var(axis=0)) if moments == "batch" else net.running[i]
-            inv = 1 / np.sqrt(var + 1e-8)
-            norm = ((z - mean) * inv, inv)
-            z = net.gammas[i] * norm[0] + net.betas[i]
-        out = np.maximum(z, 0)
-        mask = None
-        if rng is not None and options.dropout:
-            mask = (rng.random(out.shape) >= options.dropout) / (1 - options.dropout)
-            out = out * mask
-        kept.append((a, z, mask, norm))
-        a = out
-    raise AssertionError
-
-
-def gradients(net: Network, x: np.ndarray, y: np.ndarray, options: Options, rng=None) -> tuple[list[np.ndarray], float, int]:
-    """Summed gradients (weights, biases, gammas, betas), summed loss and hits.
-
-    Batch statistics are those of the rows at hand, and are differentiated too.
-    """
-    p, kept = forward(net, x, options, rng, "batch" if net.gammas else None)
-    rows = np.arange(len(y))
-    loss = float(-np.log(np.clip(p[rows, y], 1e-10, 1)).sum())
+    hidden = Stack.new(sizes[:-1], rng, 2, options.batch_norm)
+    return Network(tuple(classes), hidden, rng.standard_normal((sizes[-2], sizes[-1])) * math.sqrt(2 / sizes[-2]), np.zeros(sizes[-1]))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _fit_of(p: np.ndarray, y: np.ndarray) -> tuple[float, int, int]:
+    """Summed loss, hits and rows."""
+    return float(-np.log(np.clip(p[np.arange(len(y)), y], 1e-10, 1)).sum()), int((p.argmax(axis=1) == y).sum()), len(y)
+
+
+def _step(net: Network, x: np.ndarray, y: np.ndarray, training: Training) -> Step:
+    """Summed gradients in the order of ``params``, then summed loss, hits and rows."""
+    a, kept = yield from net.hidden.forward(x, training)
+    p = _softmax(a @ net.out_weight + net.out_bias)
     delta = p.copy()
-    delta[rows, y] -= 1
-    last = len(net.weights) - 1
-    gw, gb, gg, gt = [None] * (last + 1), [None] * (last + 1), [None] * len(net.gammas), [None] * len(net.gammas)
-    for i in range(last, -1, -1):
-        gw[i], gb[i] = kept[i][0].T @ delta, delta.sum(axis=0)
-        if i:
-            _, z, mask, norm = kept[i - 1]
-            delta = delta @ net.weights[i].T
-            if mask is not None:
-                delta = delta * mask
-            delta = delta * (z > 0)
-            if norm is not None:
-                gg[i - 1], gt[i - 1] = (delta * norm[0]).sum(axis=0), delta.sum(axis=0)
-                delta = delta * net.gammas[i - 1]
-                delta = norm[1] * (delta - delta.mean(axis=0) - norm[0] * (delta * norm[0]).mean(axis=0))
-    return [*gw, *gb, *gg, *gt], loss, int((p.argmax(axis=1) == y).sum())
-
-
-def _pass(data: DataFrame, net: Network, options: Options, epoch: int, train: bool) -> tuple[list[np.ndarray] | None, float, float, int]:
-    """Gradient means, mean loss, accuracy and rows of one pass over ``data`` (x, y)."""
+    delta[np.arange(len(y)), y] -= 1
+    _, g = yield from net.hidden.backward(delta @ net.out_weight.T, kept)
+    k = len(net.hidden.weights)
+    return flattened([*g[:k], a.T @ delta, *g[k : 2 * k], delta.sum(axis=0), *g[2 * k :]], *_fit_of(p, y))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loss, hits, n = None, 0.0, 0, 0
-        for frame in frames:
-            if not len(frame):
-                continue
-            x, y = np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()
-            if train:
-                rng = np.random.default_rng([options.seed, epoch, int(frame["h"].iat[0]) & 0xFFFFFFFF]) if options.dropout else None
-                g, a, b = gradients(net, x, y, options, rng)
-                total = g if total is None else [s + d for s, d in zip(total, g, strict=True)]
-            else:
-                p, _ = forward(net, x, options)
-                a, b = float(-np.log(np.clip(p[np.arange(len(y)), y], 1e-10, 1)).sum()), int((p.argmax(axis=1) == y).sum())
-            loss, hits, n = loss + a, hits + b, n + len(y)
-        flat = np.concatenate([g.ravel() for g in total]) if total else np.zeros(size)
-        yield pd.DataFrame({"g": [[*flat.tolist(), loss, hits, n]]})
-
-    shapes = [w.shape for w in (*net.weights, *net.biases, *net.gammas, *net.betas)] if train else []
-    size = sum(int(np.prod(s)) for s in shapes)
-    cells = data.mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("at", "v"))
-    sums = np.zeros(size + 3)
-    for r in cells.groupBy("at").agg(F.sum("v").alias("v")).collect():  # a row a parameter
-        sums[r["at"]] = r["v"]
-    loss, hits, n = sums[size:]
-    if not n:
-        return None, 0.0, 0.0, 0
-    grads, at = [], 0
-    for shape in shapes:
-        step = int(np.prod(shape))
-        grads.append(sums[at : at + step].reshape(shape) / n)
-        at += step
-    return (grads if train else None), loss / n, hits / n, int(n)
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float, int]:
+    """Summed gradients in the order of ``params``, summed loss and hits of rows that are a batch."""
+    flat = alone(_step(net, x, y, Training(np.arange(len(x)))))
+    return unflattened(flat[:-3], net.params()), float(flat[-3]), int(flat[-2])
+
+
+def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()
+
+
+def _train(data: DataFrame, net: Network, options: Options, epoch: int) -> tuple[list[np.ndarray] | None, float, int]:
+    """Mean gradients, mean loss and rows of one batch (x, y, h); running moments follow it."""
+    def step(frame: pd.DataFrame) -> Step:
+        return _step(net, *_rows(frame), Training(frame["h"].to_numpy(), options.dropout, options.seed, epoch))
+
+    known, flat = distributed(data, step, 2 * len(net.gammas))
+    if not len(flat):
+        return None, 0.0, 0
+    n = flat[-1]
+    net.hidden.follow(known[: len(net.gammas)])
+    return [g / n for g in unflattened(flat[:-3], net.params())], flat[-3] / n, int(n)
+
+
+def evaluate(data: DataFrame, net: Network) -> tuple[float, float]:
+    """Mean loss and accuracy over (x, y); zeros without rows."""
+    def values(frame: pd.DataFrame) -> np.ndarray:
+        x, y = _rows(frame)
+        return np.array(_fit_of(net.probabilities(x), y), float)
+
+    found = summed(data, values)
+    return (found[0] / found[2], found[1] / found[2]) if len(found) else (0.0, 0.0)
 
 
 def fit(df: DataFrame, vector: str, label: str, row_id: str, options: Options | None = None, validation: DataFrame | None = None) -> Network:
     """Train; with patience, the weights of the best epoch return once it fires."""
     options = options or Options()
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
+    classes = labels_of(df, label, label)
     width = df.select(F.size(vector)).first()[0]
     levels = F.array(*[F.lit(c) for c in classes])
 
@@ -191,37 +172,35 @@ def fit(df: DataFrame, vector: str, label: str, row_id: str, options: Options |
     data = prepared(df).cache()
     held = prepared(validation).cache() if validation is not None else None
     net = initialise([width, *options.hidden, len(classes)], classes, options)
-    params = lambda: [*net.weights, *net.biases, *net.gammas, *net.betas]
-    m, v, t = [np.zeros_like(p) for p in params()], [np.zeros_like(p) for p in params()], 0
+    m, v, t = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     losses, best = [], None
     try:
         for epoch in range(options.epochs):
             rate, seen, total = learning_rate(options.rate, epoch, options.epochs, options.schedule), 0, 0.0
             for batch in range(options.batches):
                 part = data if options.batches == 1 else data.filter(F.pmod(F.xxhash64("h", F.lit(epoch)), F.lit(options.batches)) == batch)
-                grads, loss, _, n = _pass(part, net, options, epoch, True)
+                grads, loss, n = _train(part, net, options, epoch)
                 if grads is None:
                     continue
                 t, seen, total = t + 1, seen + n, total + loss * n
-                for i, (p, g) in enumerate(zip(params(), grads, strict=True)):
+                for i, (p, g) in enumerate(zip(net.params(), grads, strict=True)):
                     if i < len(net.weights) and options.l2:
                         g = g + options.l2 / n * p
                     if options.optimiser == "adam":
                         p[...], m[i], v[i] = adam_step(p, g, m[i], v[i], t, rate)
                     else:
                         p -= rate * g
-            if net.gammas:
-                _update_running(net, data)
             net.history.append((epoch, "train_loss", total / max(seen, 1)))
             if held is not None:
-                _, loss, acc, _ = _pass(held, net, options, epoch, False)
+                loss, acc = evaluate(held, net)
                 net.history += [(epoch, "validation_loss", loss), (epoch, "validation_accuracy", acc)]
                 losses.append(loss)
                 if loss <= min(losses):
-                    best = [p.copy() for p in params()]
+                    best = [p.copy() for p in net.params()], list(net.hidden.running)
                 if options.patience and early_stop(losses, options.patience)[0] + options.patience <= epoch:
-                    for p, b in zip(params(), best, strict=True):
+                    for p, b in zip(net.params(), best[0], strict=True):
                         p[...] = b
+                    net.hidden.running = best[1]
                     break
         return net
     finally:
@@ -230,40 +209,15 @@ def fit(df: DataFrame, vector: str, label: str, row_id: str, options: Options |
             held.unpersist()
 
 
-def _update_running(net: Network, data: DataFrame, momentum: float = 0.9) -> None:
-    """Move the running moments towards those of the data, layer by layer."""
-    for i in range(len(net.gammas)):
-
-        def run(frames: Iterator[pd.DataFrame], layer: int = i) -> Iterator[pd.DataFrame]:
-            s, q, n = 0.0, 0.0, 0
-            for frame in frames:
-                a = np.stack(frame["x"].to_numpy())
-                for j in range(layer + 1):
-                    z = a @ net.weights[j] + net.biases[j]
-                    mean, var = net.running[j]
-                    a = np.maximum(net.gammas[j] * (z - mean) / np.sqrt(var + 1e-8) + net.betas[j], 0)
-                s, q, n = s + z.sum(axis=0), q + (z * z).sum(axis=0), n + len(z)
-            if n:
-                yield pd.DataFrame({"s": [np.asarray(s).tolist()], "q": [np.asarray(q).tolist()], "n": [n]})
-
-        rows = data.mapInPandas(run, "s array<double>, q array<double>, n bigint").collect()
-        n = sum(r["n"] for r in rows)
-        mean = sum(np.array(r["s"]) for r in rows) / n
-        var = sum(np.array(r["q"]) for r in rows) / n - mean**2
-        old = net.running[i]
-        net.running[i] = (momentum * old[0] + (1 - momentum) * mean, momentum * old[1] + (1 - momentum) * var)
-
-
-def predict(df: DataFrame, net: Network, vector: str, options: Options | None = None) -> DataFrame:
+def predict(df: DataFrame, net: Network, vector: str) -> DataFrame:
     """``df`` with probabilities (in the order of the classes) and prediction."""
-    options = options or Options()
     kind = "string" if isinstance(net.classes[0], str) else "int"
     schema = df.select("*", F.array().cast("array<double>").alias("probabilities"), F.lit(None).cast(kind).alias("prediction")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                p, _ = forward(net, np.stack(frame[vector].to_numpy()).astype(float), options)
+                p = net.probabilities(np.stack(frame[vector].to_numpy()).astype(float))
                 yield frame.assign(probabilities=list(p), prediction=[net.classes[i] for i in p.argmax(axis=1)])
 
     return df.mapInPandas(run, schema)

@@ -1,82 +1,108 @@
-"""A small variational autoencoder, trained data-parallel with numpy gradients."""
+"""A variational autoencoder of any depth, trained data-parallel.
+
+Encoder and decoder are stacks of ``layers``: batch normalisation over the whole
+batch and dropout as in the perceptrons, noise as a function of seed, epoch and
+row.  Gradients are summed in Spark.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .layers import Stack, Step, Training, alone, distributed, flattened, normals, unflattened
 from .mlp import adam_step
 
-ORDER = ["w1", "b1", "wm", "bm", "wv", "bv", "w2", "b2", "w3", "b3"]
-
 
 @dataclass
 class Vae:
-    p: dict[str, np.ndarray]
-    losses: list[float]
+    encoder: Stack
+    heads: list[np.ndarray]  # weights and biases of the mean, and of the log variance
+    decoder: Stack
+    out: list[np.ndarray]
+    losses: list[float] = field(default_factory=list)
+
+    def params(self) -> list[np.ndarray]:
+        return [*self.encoder.params(), *self.heads, *self.decoder.params(), *self.out]
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and log variance of each row's latent."""
+        return self._latent(self.encoder.predict(x))
+
+    def decode(self, z: np.ndarray) -> np.ndarray:
+        return self._output(self.decoder.predict(z))
+
+    def _latent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wm, bm, wv, bv = self.heads
+        return h @ wm + bm, np.clip(h @ wv + bv, -10, 10)
+
+    def _output(self, h: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(h @ self.out[0] + self.out[1], -30, 30)))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = np.maximum(x @ self.p["w1"] + self.p["b1"], 0)
-        return h, h @ self.p["wm"] + self.p["bm"], np.clip(h @ self.p["wv"] + self.p["bv"], -10, 10)
+
+def new(width: int, latent: int, hidden: Sequence[int], seed: int, batch_norm: bool = False) -> Vae:
+    rng = np.random.default_rng(seed)
+
+    def linear(a: int, b: int) -> list[np.ndarray]:
+        return [rng.standard_normal((a, b)) * np.sqrt(1 / a), np.zeros(b)]
+
+    encoder = Stack.new([width, *hidden], rng, 1, batch_norm)
+    heads = [*linear(hidden[-1], latent), *linear(hidden[-1], latent)]
+    decoder = Stack.new([latent, *reversed(hidden)], rng, 1, batch_norm, name=1)
+    return Vae(encoder, heads, decoder, linear(hidden[0], width))
 
 
-def _gradients(net: Vae, x: np.ndarray, beta: float, noise: np.ndarray) -> tuple[dict, float]:
-    """Summed gradients and loss (binary cross-entropy plus beta times KL)."""
-    p = net.p
-    h, mean, logvar = net.encode(x)
+def _step(net: Vae, x: np.ndarray, beta: float, noise: np.ndarray, training: Training) -> Step:
+    """Summed gradients in the order of ``params``, then summed loss (binary cross-entropy plus beta times KL) and rows."""
+    h, below = yield from net.encoder.forward(x, training)
+    mean, logvar = net._latent(h)
     std = np.exp(logvar / 2)
     z = mean + std * noise
-    h2 = np.maximum(z @ p["w2"] + p["b2"], 0)
-    out = 1 / (1 + np.exp(-np.clip(h2 @ p["w3"] + p["b3"], -30, 30)))
+    h2, above = yield from net.decoder.forward(z, training)
+    out = net._output(h2)
     loss = -(x * np.log(out + 1e-12) + (1 - x) * np.log(1 - out + 1e-12)).sum() - beta * 0.5 * (1 + logvar - mean**2 - np.exp(logvar)).sum()
-    d3 = out - x
-    d2 = (d3 @ p["w3"].T) * (h2 > 0)
-    dz = d2 @ p["w2"].T
+    d_out = out - x
+    dz, decoder = yield from net.decoder.backward(d_out @ net.out[0].T, above)
     dm = dz + beta * mean
     dv = dz * noise * std / 2 + beta * 0.5 * (np.exp(logvar) - 1)
-    d1 = (dm @ p["wm"].T + dv @ p["wv"].T) * (h > 0)
-    g = {"w1": x.T @ d1, "b1": d1.sum(0), "wm": h.T @ dm, "bm": dm.sum(0), "wv": h.T @ dv, "bv": dv.sum(0),
-         "w2": z.T @ d2, "b2": d2.sum(0), "w3": h2.T @ d3, "b3": d3.sum(0)}
-    return g, float(loss)
+    _, encoder = yield from net.encoder.backward(dm @ net.heads[0].T + dv @ net.heads[2].T, below)
+    heads = [h.T @ dm, dm.sum(axis=0), h.T @ dv, dv.sum(axis=0)]
+    return flattened([*encoder, *heads, *decoder, h2.T @ d_out, d_out.sum(axis=0)], loss, len(x))
 
 
-def fit(df: DataFrame, vector: str, row_id: str, latent: int = 2, hidden: int = 16, epochs: int = 10, rate: float = 1e-2, beta: float = 1.0, seed: int = 42) -> Vae:
-    """Inputs lie in [0, 1]; one full-batch Adam step an epoch."""
-    width = df.select(F.size(vector)).first()[0]
-    rng = np.random.default_rng(seed)
-    sizes = {"w1": (width, hidden), "wm": (hidden, latent), "wv": (hidden, latent), "w2": (latent, hidden), "w3": (hidden, width)}
-    p = {k: rng.standard_normal(s) * np.sqrt(1 / s[0]) for k, s in sizes.items()}
-    p |= {"b1": np.zeros(hidden), "bm": np.zeros(latent), "bv": np.zeros(latent), "b2": np.zeros(hidden), "b3": np.zeros(width)}
-    net = Vae(p, [])
+def gradients(net: Vae, x: np.ndarray, beta: float, noise: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Summed gradients and loss of rows that are a batch."""
+    flat = alone(_step(net, x, beta, noise, Training(np.arange(len(x)))))
+    return unflattened(flat[:-2], net.params()), float(flat[-2])
+
+
+def fit(df: DataFrame, vector: str, row_id: str, latent: int = 2, hidden: int | Sequence[int] = 16, epochs: int = 10, rate: float = 1e-2, beta: float = 1.0,
+        seed: int = 42, batch_norm: bool = False, dropout: float = 0.0) -> Vae:
+    """Inputs lie in [0, 1]; ``hidden`` are the encoder's layers, the decoder has them in reverse.  A full-batch Adam step an epoch."""
+    sizes = (hidden,) if isinstance(hidden, int) else tuple(hidden)
+    net = new(df.select(F.size(vector)).first()[0], latent, sizes, seed, batch_norm)
     data = df.select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(row_id).alias("h")).cache()
-    m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    m, v = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()]
+    norms = len(net.encoder.gammas)
     try:
         for epoch in range(epochs):
 
-            def run(frames: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
-                total, loss, n = None, 0.0, 0
-                for f in frames:
-                    if len(f):
-                        draws = np.stack([np.random.default_rng([seed, epoch, int(h) & 0xFFFFFFFF]).standard_normal(latent) for h in f["h"]])
-                        g, a = _gradients(net, np.stack(f["x"].to_numpy()), beta, draws)
-                        total = g if total is None else {k: total[k] + g[k] for k in g}
-                        loss, n = loss + a, n + len(f)
-                if n:
-                    yield pd.DataFrame({"g": [np.concatenate([total[k].ravel() for k in ORDER]).tolist()], "loss": [loss], "n": [n]})
-
-            rows = data.mapInPandas(run, "g array<double>, loss double, n bigint").collect()  # a row a task
-            n = sum(r["n"] for r in rows)
-            flat, at = sum(np.array(r["g"]) for r in rows) / n, 0
-            for k in ORDER:
-                g = flat[at : at + p[k].size].reshape(p[k].shape)
-                at += p[k].size
-                p[k], m[k], v[k] = adam_step(p[k], g, m[k], v[k], epoch + 1, rate)
-            net.losses.append(sum(r["loss"] for r in rows) / n)
+            def step(frame: pd.DataFrame, epoch: int = epoch) -> Step:
+                rows = frame["h"].to_numpy()
+                return _step(net, np.stack(frame["x"].to_numpy()), beta, normals(rows, latent, seed, epoch, 2), Training(rows, dropout, seed, epoch))
+
+            known, flat = distributed(data, step, 4 * norms)
+            n = flat[-1]
+            net.encoder.follow(known[:norms])
+            net.decoder.follow(known[norms : 2 * norms])
+            for i, (p, g) in enumerate(zip(net.params(), unflattened(flat[:-2], net.params()), strict=True)):
+                p[...], m[i], v[i] = adam_step(p, g / n, m[i], v[i], epoch + 1, rate)
+            net.losses.append(flat[-2] / n)
         return net
     finally:
         data.unpersist()
@@ -88,7 +114,7 @@ def latents(df: DataFrame, net: Vae, vector: str, row_id: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"id": f["id"], "latent": list(net.encode(np.stack(f["x"].to_numpy()))[1])})
+                yield pd.DataFrame({"id": f["id"], "latent": list(net.encode(np.stack(f["x"].to_numpy()))[0])})
 
     data = df.select(F.col(row_id).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
     return data.mapInPandas(run, "id bigint, latent array<double>").withColumnRenamed("id", row_id)

@@ -140,11 +140,11 @@ def test_network_gradients_equal_differences(batch_norm):
     for p in (*net.biases, *net.betas):  # off the kinks
         p += draw.normal(size=p.shape)
     x, y = draw.normal(size=(12, 3)), draw.integers(0, 3, 12)
-    found, _, _ = mlp.gradients(net, x, y, options)
+    found, _, _ = mlp.gradients(net, x, y)
     params = [*net.weights, *net.biases, *net.gammas, *net.betas]
 
     def loss() -> float:
-        return mlp.gradients(net, x, y, options)[1]
+        return mlp.gradients(net, x, y)[1]
 
     for p, g in zip(params, found, strict=True):
         for at in list(np.ndindex(p.shape))[:6]:
