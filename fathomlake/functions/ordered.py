@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
 from .expr import md5_key
+from .spread import total_parts
 
 
 def _offsets(df: DataFrame, groups: Sequence[str], value: Column, descending: bool) -> DataFrame:
@@ -56,13 +58,24 @@ def ordered_rank(df: DataFrame, key: str, ties: Sequence[str] = (), parts: int =
     return ranked.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
 
 
-def text_rank(df: DataFrame, key: str, start: int = 4, name: str = "rn") -> DataFrame:
-    """Place from 1 in ascending order of a distinct text key; ranges are its first characters."""
-    cut = df.withColumn("_part", F.substring(key, 1, start))
-    offsets = _offsets(cut, (), F.lit(1), False)
-    inside = Window.partitionBy("_part").orderBy(key)
-    ranked = _with_offsets(cut.withColumn("_rank", F.row_number().over(inside)), offsets, ())
-    return ranked.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` written in ranges of any orderable key, one a partition, with the range ``_part`` and the place in it ``_at`` from 0.
+
+    The ranges are cut at a sample of the keys themselves, so long common starts
+    of texts do no harm; rows with one key share a range.
+    """
+    placed = df.repartitionByRange(total_parts(df), *order).sortWithinPartitions(*order)
+    placed = durable(placed.withColumn("_at", F.monotonically_increasing_id()))  # the partition in the upper 31 bits
+    return placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
+
+
+def key_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
+    """Place from 1 in the order of distinct keys of any type."""
+    cut = in_ranges(df, order)
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return cut.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, parts: int = 64) -> DataFrame:

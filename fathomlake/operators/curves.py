@@ -6,10 +6,11 @@ the scores are taken in ranges.  Positives are labels equal to 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import neighbours, running_sums
+from ..functions.durable import durable
+from ..functions.ordered import in_ranges, neighbours, running_sums
 
 
 def threshold_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -71,18 +72,68 @@ def auc_standard(curve: DataFrame, x: str, y: str) -> DataFrame:
     return steps.agg(F.coalesce(F.sum((F.col("x") - F.col("prev_x")) * (F.col("first") + F.col("prev_last")) / 2), F.lit(0.0)).alias("auc"))
 
 
+def areas(df: DataFrame) -> DataFrame:
+    """curve, auc_roc, auc_pr: the collapsed areas of many curves in one plan.
+
+    ``df`` has curve, y (1 is positive) and score; rows without a score take no
+    part.  Scores of all curves lie in ranges of (curve, score): sums and
+    neighbours run inside a range and take what they need of the ranges before
+    from a table of a row a curve and range.  A curve without positives or
+    without negatives has a ROC area of 0, one without positives a PR area of 0.
+    """
+    positive = (F.col("y") == 1).cast("long")
+    scores = df.filter(F.col("score").isNotNull()).groupBy("curve", "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    cut = in_ranges(scores, [F.asc("curve"), F.desc("score")])
+    inside = Window.partitionBy("curve", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("curve")
+    sums = cut.groupBy("curve", "_part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = sums.select("curve", "_part", F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"),
+                       *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("pos", "neg")])
+    points = cut.join(sums, ["curve", "_part"]).withColumn("tp", F.sum("pos").over(inside) + F.col("before_pos")).withColumn(
+        "fp", F.sum("neg").over(inside) + F.col("before_neg"))
+    points = durable(points.select("curve", "_part", "_at", "pos", "neg", "n_pos", "n_neg", "tp", "fp"))
+
+    def along(kept: Column, height: Column, start: Column) -> Column:
+        """Trapezoids between the kept points: half the height here and at the kept point before."""
+        last = F.last(F.when(kept, height), ignorenulls=True)
+        here = last.over(Window.partitionBy("curve", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        return F.when(kept, (height + F.coalesce(here, F.col("_carried"), start)) / 2)
+
+    def area(name: str, kept: Column, width: Column, height: Column, start: Column) -> DataFrame:
+        ends = points.groupBy("curve", "_part").agg(F.max_by(F.when(kept, height), F.when(kept, F.col("_at"))).alias("_end"))
+        carried = ends.select("curve", "_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        first = points.groupBy("curve").agg(F.min_by(height, F.struct("_part", "_at")).alias("_first"))
+        steps = points.join(carried, ["curve", "_part"]).join(F.broadcast(first), "curve").withColumn("_mean", along(kept, height, start))
+        return steps.groupBy("curve").agg(F.coalesce(F.sum(width * F.col("_mean")), F.lit(0.0)).alias(name))
+
+    def share(a: str, b: Column) -> Column:
+        return F.coalesce(F.try_divide(F.col(a).cast("double"), b.cast("double")), F.lit(0.0))
+
+    roc = area("auc_roc", F.col("neg") > 0, share("neg", F.col("n_neg")), share("tp", F.col("n_pos")), F.lit(0.0))
+    pr = area("auc_pr", F.col("pos") > 0, share("pos", F.col("n_pos")), share("tp", F.col("tp") + F.col("fp")), F.col("_first"))
+    return roc.join(pr, "curve")
+
+
+def one_vs_rest(df: DataFrame, truth: str, scores: dict) -> DataFrame:
+    """curve (the place of the class in ``scores``), auc_roc, auc_pr: each class against the others.
+
+    ``scores`` maps a class to its score column; a class that never or always
+    is the truth has no row.
+    """
+    cells = [F.struct(F.lit(i).alias("curve"), F.coalesce((F.col(truth) == F.lit(label)).cast("int"), F.lit(0)).alias("y"), F.col(column).cast("double").alias("score"))
+             for i, (label, column) in enumerate(scores.items())]
+    tall = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    both = tall.groupBy("curve").agg(F.min("y").alias("low"), F.max("y").alias("high")).filter("low = 0 and high = 1").select("curve")
+    return areas(tall).join(F.broadcast(both), "curve")  # a row a class
+
+
 def auc_one_vs_rest(df: DataFrame, truth: str, scores: dict) -> float:
     """Sum of the classes' collapsed ROC areas over the number of all classes.
 
-    ``scores`` maps a class to its score column; a class that never or always
-    is the truth counts as 0.
+    A class that never or always is the truth counts as 0.
     """
-    total = 0.0
-    for label, column in scores.items():
-        own = df.select((F.col(truth) == F.lit(label)).cast("int").alias("y"), F.col(column).alias("s"))
-        ends = own.agg(F.min("y"), F.max("y")).first()
-        if ends[0] == 0 and ends[1] == 1:
-            total += auc_collapsed(roc_points(own, "y", "s"), "fpr", "tpr").first()[0]
+    total = one_vs_rest(df, truth, scores).agg(F.sum("auc_roc")).first()[0] or 0.0
     return total / max(len(scores), 1)
 
 

@@ -10,9 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.ordered import ordered_rank, text_rank
+from ..functions.ordered import key_rank
 
 
 def flag_levels(df: DataFrame, column: str, levels: Sequence[str], prefix: str) -> DataFrame:
@@ -46,10 +45,9 @@ def _lookup(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The level's place from 0 in alphabetical order; null stays null."""
+    """The level's place from 0 in ascending order; null stays null."""
     levels = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_level")).distinct()
-    rank = text_rank if isinstance(df.schema[column].dataType, T.StringType) else ordered_rank
-    return _lookup(df, column, rank(levels, "_level", name=out).withColumn(out, (F.col(out) - 1).cast("int")))
+    return _lookup(df, column, key_rank(levels, ["_level"], out).withColumn(out, (F.col(out) - 1).cast("int")))
 
 
 def ordinal_encode(df: DataFrame, column: str, order: Mapping[str, int], out: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import log_clip
+from .curves import one_vs_rest
 
 
 #: Labels are gathered on the driver; a column with more is refused.
@@ -96,6 +97,25 @@ def class_report(counts: DataFrame) -> DataFrame:
     return classes.unionByName(row.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(m).alias("metric"), F.col(c).alias("value")) for s, m, c in cells])).alias("s")).select("s.*"))
 
 
+def class_report_with_areas(df: DataFrame, truth: str, prediction: str, scores: Mapping, positive=None) -> DataFrame:
+    """``class_report`` with auc_roc and auc_pr of each class and of all.
+
+    ``scores`` maps each class to its score column.  For all: those of the
+    positive class (by default the second) if there are two, else the means over
+    the classes.  Classes that never or always are the truth count as 0.
+    """
+    found = {r["curve"]: r for r in one_vs_rest(df, truth, scores).collect()}  # a row a class
+    names = list(scores)
+    rows = []
+    for metric in ("auc_roc", "auc_pr"):
+        own = [float(found[i][metric]) if i in found else 0.0 for i in range(len(names))]
+        rows += [(str(c), metric, v) for c, v in zip(names, own, strict=True)]
+        one = names.index(positive) if positive is not None else 1
+        rows.append(("all", metric, own[one] if len(names) == 2 else sum(own) / max(len(names), 1)))
+    report = class_report(confusion(df, truth, prediction))
+    return report.unionByName(df.sparkSession.createDataFrame(rows, "scope string, metric string, value double"))
+
+
 def cross_entropy(df: DataFrame, probability_of_truth: str, floor: float = 1e-10, weights_squared: float = 0.0, penalty: float = 0.0) -> DataFrame:
     """Mean -ln p of the true class, and lambda / (2n) times the squared weights."""
     return df.agg((F.avg(-log_clip(F.col(probability_of_truth), floor)) + F.lit(penalty * weights_squared / 2) / F.count(F.lit(1))).alias("cross_entropy"))

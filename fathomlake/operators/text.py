@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import key_rank
+
 
 def tokens(text: str) -> Column:
     """Lower-case runs of word characters; null has none."""
@@ -29,20 +31,12 @@ def gram_counts(df: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] =
 def vocabulary(counts: DataFrame, row_id: str, min_documents: int = 1) -> DataFrame:
     """gram, documents, total and a dense index by falling total, then gram.
 
-    Grams are ranked inside the ranges that their total and their first four
-    characters make, so that the many grams seen once are no single task.
+    ``counts`` has a row for each gram of a row.  Grams are ranked in ranges of
+    (total, gram), so that the many grams seen once are no single task.
     """
-    words = counts.groupBy("gram").agg(F.countDistinct(row_id).alias("documents"), F.sum("n").alias("total")).filter(F.col("documents") >= min_documents)
-    words = words.withColumn("_start", F.substring("gram", 1, 4))
-    ranges = words.groupBy("total", "_start").agg(F.count(F.lit(1)).alias("_n"))
-    starts = Window.partitionBy("total").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    totals = words.groupBy("total").agg(F.count(F.lit(1)).alias("_all"))  # few distinct totals
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("total", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_more"))
-    ranges = ranges.withColumn("_less", F.coalesce(F.sum("_n").over(starts), F.lit(0))).join(totals, "total")
-    ranges = ranges.select("total", "_start", (F.col("_less") + F.col("_more")).alias("_before"))
-    inside = Window.partitionBy("total", "_start").orderBy("gram")
-    return words.join(ranges, ["total", "_start"]).select("gram", "documents", "total", (F.row_number().over(inside) - 1 + F.col("_before")).alias("index"))
+    words = counts.groupBy("gram").agg(F.count(row_id).alias("documents"), F.sum("n").alias("total")).filter(F.col("documents") >= min_documents)
+    ranked = key_rank(words, [F.desc("total"), F.asc("gram")], "index")
+    return ranked.select("gram", "documents", "total", (F.col("index") - 1).alias("index"))
 
 
 def count_vectors(counts: DataFrame, words: DataFrame, row_id: str) -> DataFrame:

@@ -167,13 +167,30 @@ def prf_micro_macro_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(metrics.precision_recall_f1(metrics.confusion(scored(spark, sf_dir), "toxic", "pred")))
 
 
+def _areas_sql(scores: dict) -> str:
+    """Rows (scope, metric, value) of the areas of each class of ``scored`` and of all, class 1 being positive."""
+    area = "select {x} x, arg_max({y}, coalesce(score, 1e300)) y from {c} group by 1"
+    total = "select coalesce(sum((x - px) * (y + py) / 2), 0) from (select x, y, lag(x) over (order by x) px, lag(y) over (order by x) py from ({d}))"
+    out = []
+    for label, score in scores.items():
+        ctes = f"""with s as (select (toxic = {label})::int y, {score} as score from {SCORED_SQL}), b as (select score, sum(y) pos, sum(1 - y) neg from s group by score),
+          c as (select score, sum(pos) over (order by score desc) tp, sum(neg) over (order by score desc) fp, (select sum(pos) from b) p, (select sum(neg) from b) n from b),
+          roc as (select score, fp / n::double x, tp / p::double y from c union all select null, 0, 0),
+          pr as (select score, tp / p::double x, tp / (tp + fp)::double y from c), q as (select * from pr union all select null, 0, (select y from pr order by score desc limit 1))"""
+        for metric, c in (("auc_roc", "roc"), ("auc_pr", "q")):
+            value = f"({ctes} {total.format(d=area.format(x='x', y='y', c=c))})"
+            out += [f"select '{scope}', '{metric}', {value}" for scope in ([label, "all"] if label == 1 else [label])]
+    return " union all ".join(out)
+
+
 @query(f"""with {_SCORES}, o as (select label::varchar as scope, unnest(['precision', 'recall', 'f1', 'support']) as metric, unnest([p, rc, f1, support::double]) as value from f union all
   select 'all', 'accuracy', sum(tp) / sum(support)::double from f union all
   select 'macro', unnest(['precision', 'recall', 'f1']), unnest([avg(p), avg(rc), avg(f1)]) from f union all
-  select 'weighted', unnest(['precision', 'recall', 'f1']), unnest([sum(p * support) / sum(support), sum(rc * support) / sum(support), sum(f1 * support) / sum(support)]) from f)
+  select 'weighted', unnest(['precision', 'recall', 'f1']), unnest([sum(p * support) / sum(support), sum(rc * support) / sum(support), sum(f1 * support) / sum(support)]) from f union all {_areas_sql({0: '1 - score', 1: 'score'})})
   select scope, metric, {r('value')} as value from o""")
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finish(metrics.class_report(metrics.confusion(scored(spark, sf_dir), "toxic", "pred")))
+    d = scored(spark, sf_dir).withColumn("other", 1 - F.col("score"))
+    return finish(metrics.class_report_with_areas(d, "toxic", "pred", {0: "other", 1: "score"}))
 
 
 _CURVE = f"""s as (select * from {SCORED_SQL}), b as (select score, sum((toxic = 1)::int) pos, sum((toxic <> 1)::int) neg from s group by score),
