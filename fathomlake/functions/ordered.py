@@ -114,58 +114,85 @@ def neighbours(df: DataFrame, key: str, columns: Sequence[str], parts: int = 64)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = 10_000) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated quantiles of each column; nulls and NaN aside.
+    """Exact, linearly interpolated quantiles of each column; nulls and NaN aside."""
+    return quantiles_and(df, columns, probabilities, (), limit)[0]
 
-    Each quantile is bracketed by approximate ones and the rows before and in the
-    bracket are counted, until a bracket holds at most ``limit`` rows or a single
-    value; only the distinct values of the last brackets are gathered.  Every
-    pass serves all columns, and no task holds a column's values.
-    """
-    number = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
-    n = df.agg(*[F.count(number[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    todo = [(c, p, (n[f"n{i}"] - 1) * p) for i, c in enumerate(columns) for p in probabilities if n[f"n{i}"]]
-    inside = [[-math.inf, math.inf, 0, n[f"n{columns.index(c)}"]] for c, _, _ in todo]  # from, to, rows before, rows in it
 
-    def between(i: int) -> Column:
-        low, high, _, _ = inside[i]
-        x = number[todo[i][0]]
-        return F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
+def quantiles_and(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], aggregates: Sequence[Column],
+                  limit: int = 10_000) -> tuple[dict[str, list[float | None]], tuple]:
+    """``quantiles``, and ``aggregates`` of the same scan.
 
-    active = [i for i in range(len(todo)) if inside[i][3] > limit]
+    The first scan counts and makes one sketch a column, which gives two values
+    around each quantile; the second counts the rows below and at them, which
+    tells whether the sought ranks are at one of the two or between them; the
+    third gathers what lies strictly between.  Only brackets of at most ``limit``
+    rows are gathered: larger ones (beyond some ten million rows) are narrowed by
+    further sketches and counts, and always shrink, as their ends go.  Every scan
+    serves all columns, and no task holds a column's values.
+    """
+    number = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
+    around = [s for p in probabilities for s in (max(0.0, p - 4e-4), min(1.0, p + 4e-4))]
+    row = df.agg(*[F.count(number[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+                 *[F.percentile_approx(number[c], around, 10_000).alias(f"q{i}") for i, c in enumerate(columns)], *aggregates).first()
+    sizes = {c: row[i] for i, c in enumerate(columns)}
+    ranks = {(c, p): (sizes[c] - 1) * p for c in columns for p in probabilities if sizes[c]}
+    sketched: dict[tuple[str, int], tuple[float, float]] = {}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities if sizes[c] else ()):
+            for rank in (math.floor(ranks[c, p]), math.ceil(ranks[c, p])):
+                sketched.setdefault((c, rank), tuple(row[len(columns) + i][2 * j : 2 * j + 2]))
+    value: dict[tuple[str, int], float] = {}
+    inside = {t: (None, None, 0, sizes[t[0]]) for t in sketched}  # ends (None: open), rows before, rows strictly between
+
+    def between(t: tuple[str, int]) -> Column:
+        low, high, _, _ = inside[t]
+        x, test = number[t[0]], F.lit(True)
+        test = test if low is None else test & (x > F.lit(low))
+        return F.when(test if high is None else test & (x < F.lit(high)), x)
+
+    active = [t for t in inside if inside[t][3] > limit]
     while active:
-        shares = {i: [max(0.0, (math.floor(todo[i][2]) - inside[i][2]) / inside[i][3] - 3e-4),
-                      min(1.0, (math.ceil(todo[i][2]) + 1 - inside[i][2]) / inside[i][3] + 3e-4)] for i in active}
-        near = df.agg(*[F.percentile_approx(between(i), shares[i], 10_000).alias(f"q{i}") for i in active]).first()
-        x = {i: number[todo[i][0]] for i in active}
-        sums = [F.sum((x[i] < F.lit(near[f"q{i}"][0])).cast("long")).alias(f"a{i}") for i in active]
-        sums += [F.sum((x[i] <= F.lit(near[f"q{i}"][1])).cast("long")).alias(f"b{i}") for i in active]
-        counts, left = df.agg(*sums).first(), []
-        for i in active:
-            low, high, before, size = inside[i]
-            end = before + size
-            if counts[f"a{i}"] <= math.floor(todo[i][2]):
-                low, before = near[f"q{i}"][0], counts[f"a{i}"]
-            if counts[f"b{i}"] > math.ceil(todo[i][2]):
-                high, end = near[f"q{i}"][1], counts[f"b{i}"]
-            shrunk = end - before < size
-            inside[i] = [low, high, before, end - before]
-            if shrunk and end - before > limit and low < high:
-                left.append(i)
-        active = left
-    found: dict[tuple[str, float], float] = {}
-    if todo:
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), between(i).alias("x")) for i in range(len(todo))])
+        sums = []
+        for i, t in enumerate(active):
+            x, (low, high) = number[t[0]], sketched[t]
+            sums += [F.sum(test.cast("long")).alias(f"{k}{i}") for k, test in (("a", x < F.lit(low)), ("b", x <= F.lit(low)), ("c", x < F.lit(high)), ("d", x <= F.lit(high)))]
+        counts = df.agg(*sums).first()
+        for i, t in enumerate(active):
+            (low, high), rank = sketched[t], t[1]
+            a, b, c, d = (counts[f"{k}{i}"] for k in "abcd")
+            left, right, before, size = inside[t]
+            if rank < a:
+                inside[t] = (left, low, before, a - before)
+            elif rank < b:
+                value[t] = low
+            elif rank < c:
+                inside[t] = (low, high, b, c - b)
+            elif rank < d:
+                value[t] = high
+            else:
+                inside[t] = (high, right, d, before + size - d)
+        active = [t for t in active if t not in value and inside[t][3] > limit]
+        if active:
+            shares = [(max(0.0, (t[1] - inside[t][2]) / inside[t][3] - 3e-4), min(1.0, (t[1] + 1 - inside[t][2]) / inside[t][3] + 3e-4)) for t in active]
+            near = df.agg(*[F.percentile_approx(between(t), list(s), 10_000) for t, s in zip(active, shares, strict=True)]).first()
+            sketched.update({t: tuple(near[i]) for i, t in enumerate(active)})
+    open_brackets = list(dict.fromkeys((t[0], *inside[t][:2]) for t in inside if t not in value))
+    if open_brackets:
+        place = {b: i for i, b in enumerate(open_brackets)}
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), between(next(t for t in inside if t not in value and (t[0], *inside[t][:2]) == b)).alias("x")) for b, i in place.items()])
         tall = df.select(F.explode(F.filter(cells, lambda c: c["x"].isNotNull())).alias("c")).groupBy("c.i", "c.x").agg(F.count(F.lit(1)).alias("n"))
-        values: dict[int, list[tuple[float, int]]] = {}
+        held: dict[int, list[tuple[float, int]]] = {}
         for r in tall.collect():
-            values.setdefault(r["i"], []).append((r["x"], r["n"]))
-        for i, (c, p, place) in enumerate(todo):
-            seen, ends = inside[i][2], {}
-            for x, m in sorted(values[i]):
-                for rank in (math.floor(place), math.ceil(place)):
-                    if seen <= rank < seen + m:
-                        ends[rank] = x
-                seen += m
-            a, b = ends[math.floor(place)], ends[math.ceil(place)]
-            found[c, p] = a + (b - a) * (place - math.floor(place))
-    return {c: [found.get((c, p)) for p in probabilities] for c in columns}
+            held.setdefault(r["i"], []).append((r["x"], r["n"]))
+        for t in inside:
+            if t not in value:
+                seen = inside[t][2]
+                for x, m in sorted(held[place[(t[0], *inside[t][:2])]]):
+                    if seen <= t[1] < seen + m:
+                        value[t] = x
+                    seen += m
+    found = {}
+    for (c, p), at in ranks.items():
+        a, b = value[c, math.floor(at)], value[c, math.ceil(at)]
+        found[c, p] = a + (b - a) * (at - math.floor(at))
+    return {c: [found.get((c, p)) for p in probabilities] for c in columns}, tuple(row)[2 * len(columns) :]

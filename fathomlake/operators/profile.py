@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import quantiles
+from ..functions.ordered import quantiles_and
 
 STATISTICS = ["count", "nulls", "distinct", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
@@ -41,8 +41,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.count(x).alias(f"{c}|count"), F.sum(x.isNull().cast("long")).alias(f"{c}|nulls"), F.avg(x).alias(f"{c}|mean"),
             F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"),
         ]
-    quartiles = quantiles(df, columns, (0.25, 0.5, 0.75))
-    row = df.agg(*aggregates).withColumns({
+    quartiles, found = quantiles_and(df, columns, (0.25, 0.5, 0.75), aggregates)
+    row = df.sparkSession.createDataFrame([found], df.agg(*aggregates).schema).withColumns({
         f"{c}|{q}": F.lit(v).cast("double") for c in columns for q, v in zip(("q25", "q50", "q75"), quartiles[c], strict=True)})
     stats = [s for s in STATISTICS if s != "distinct"]
     return _tall(row, [((c,), [f"`{c}|{s}`" for s in stats]) for c in columns], "column_name n nulls mean std min q25 q50 q75 max")

@@ -29,6 +29,15 @@ def test_quantiles_equal_numpy(spark, limit):
         assert found[c] == pytest.approx(np.nanquantile(frame[c].to_numpy(float), asked).tolist()), c
     assert found["d"] == [None] * 5
     assert quantiles(df.limit(0), ["a"], asked) == {"a": [None] * 5}
+    ends = df.withColumn("a", F.when(F.col("b") == 0, float("-inf")).when(F.col("b") == 4, float("inf")).otherwise(F.col("a")))
+    values = np.select([frame["b"] == 0, frame["b"] == 4], [-np.inf, np.inf], frame["a"].to_numpy(float))
+    assert quantiles(ends, ["a"], (0.4, 0.5, 0.6), limit)["a"] == pytest.approx(np.nanquantile(values, (0.4, 0.5, 0.6)).tolist())
+
+
+def test_quantiles_among_heavy_values_gather_little(spark):
+    frame = pd.DataFrame({"a": [1.0] * 30_000 + [2.0 + i / 1000 for i in range(900)] + [5.0] * 30_000})
+    found = quantiles(spark.createDataFrame(frame), ["a"], (0.499, 0.5, 0.501), 200)["a"]
+    assert found == pytest.approx(np.quantile(frame["a"], (0.499, 0.5, 0.501)).tolist())
 
 
 def test_csv_round_trip_and_posterior_columns(spark, tmp_path):
