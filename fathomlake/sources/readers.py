@@ -16,11 +16,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | str, drop_index: bool = False) -> DataFrame:
-    """A CSV with a header and an explicit schema; empty fields and NaN are null.
+#: The spellings of a missing field, and of the truth values.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+TRUTHS = {"True": True, "TRUE": True, "true": True, "False": False, "FALSE": False, "false": False}
+#: The kinds of a field as bits; a column's kind is their union over all rows.
+BOOL, INT, FLOAT, TEXT = 1, 2, 4, 8
+
+
+def _kind(field: Column) -> Column:
+    """The bit of a field that is not missing: the narrowest kind that holds it."""
+    plain = F.trim(field)
+    number = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") | F.lower(plain).rlike(r"^[+-]?inf(inity)?$")
+    whole = plain.rlike(r"^[+-]?[0-9]{1,19}$") & plain.try_cast("bigint").isNotNull()
+    return F.when(field.isin(list(TRUTHS)), BOOL).when(whole, INT).when(number, FLOAT).otherwise(TEXT)
+
+
+def inferred_types(df: DataFrame) -> dict[str, str]:
+    """The type of each text column, from all of its rows in one pass.
+
+    int < float < text and bool < text; missing fields are below all, but a
+    column of whole numbers with one is a double, as is one with nothing else.
+    Truth values and numbers together are text.
+    """
+    aggregates = []
+    for i, c in enumerate(df.columns):
+        field = F.col(f"`{c}`")
+        lacks = field.isNull() | field.isin(MISSING)
+        aggregates += [F.bit_or(F.when(lacks, 0).otherwise(_kind(field))).alias(f"k{i}"), F.bool_or(lacks).alias(f"m{i}")]
+    row = df.agg(*aggregates).first()
+    types = {}
+    for i, c in enumerate(df.columns):
+        kinds, lacks = row[f"k{i}"] or 0, row[f"m{i}"]
+        if kinds & TEXT or (kinds & BOOL and kinds & (INT | FLOAT)):
+            types[c] = "string"
+        elif kinds == BOOL:
+            types[c] = "boolean"
+        elif kinds == INT and not lacks:
+            types[c] = "bigint"
+        else:
+            types[c] = "double"
+    return types
+
+
+def inferred_csv(spark: SparkSession, path: str, drop_index: bool = False) -> DataFrame:
+    """A CSV with a header, its types inferred from every row; missing fields are null."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    columns = []
+    for c, kind in inferred_types(raw).items():
+        field = F.col(f"`{c}`")
+        known = F.when(~field.isin(MISSING), field)
+        if kind == "boolean":
+            known = F.when(known.isin([k for k, v in TRUTHS.items() if v]), True).when(known.isNotNull(), False)
+        elif kind != "string":
+            known = F.trim(known).cast(kind)
+        columns.append(known.alias(c))
+    df = raw.select(*columns)
+    return df.drop("Unnamed: 0", "_c0") if drop_index else df
+
+
+def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, drop_index: bool = False) -> DataFrame:
+    """A CSV with a header; empty fields and NaN are null.  Without a schema the types are inferred from all rows.
 
     ``drop_index`` drops a first column without a name (an exported index).
     """
+    if schema is None:
+        return inferred_csv(spark, path, drop_index)
     df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").csv(path)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
