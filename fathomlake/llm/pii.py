@@ -2,10 +2,11 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each
 distinct value found is a *protected entity*.  The method then asks which
-words give an entity away even after its removal: over the whole corpus
+words give an entity away even after its removal: over the ``N`` distinct texts
+of the corpus
 
-* ``n(c)``, ``n(t)``: documents that hold entity c, word t (anywhere);
-* ``n(c, t)``: documents that hold c and, outside base spans, t;
+* ``n(c)``, ``n(t)``: texts that hold entity c, word t (anywhere);
+* ``n(c, t)``: texts that hold c and, outside base spans, t;
 * ``disclosure(c, t) = PMI(c; t) / IC(c)`` with
   ``PMI = log(n(c,t) N / (n(c) n(t)))`` and ``IC = log(N / n(c))``: 1 if seeing
   t is as good as seeing c, 0 if t tells nothing of it.
@@ -23,9 +24,9 @@ whatever the method adds; a term never overlaps one.  Positions count code
 points.
 
 All of it is DataFrame functions, and work grows with the length of a text, not
-with the square of its matches.  Null and empty texts have no spans.  Rows are
-told apart by id and text hash: equal rows count as one document in all of the
-statistics and get equal results.
+with the square of its matches.  Null and empty texts have no spans.  Ids take no part:
+equal texts, whatever their ids, count as one in all of the statistics and get
+equal results, so that copies lend no support to the words they share.
 """
 
 from __future__ import annotations
@@ -143,8 +144,15 @@ def _hidden(text: Column, removed: Column, softened: Column) -> Column:
         w["start"].alias("start"), w["end"].alias("end"), F.array_contains(removed, w["term"]).alias("remove"), w["named"].alias("named"))).cast(HIDDEN)
 
 
+def _doc(text_col: str) -> Column:
+    """The key of a text: equal texts share it."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _h, base (all spans by kind, then start) and masked, for every row.
+    """_id, _doc, base (all spans by kind, then start) and masked, for every row.
+
+    ``_doc`` is the hash of the text and stands for it from here on.
 
     ``masked`` is the text without base spans, null where it has none.
     """
@@ -155,26 +163,21 @@ def find_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     typed = [with_kind(k) for k in KINDS]
-    found = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_h"),
+    found = df.select(F.col(id_col).alias("_id"), _doc(text_col).alias("_doc"),
                       text_or_empty(text_col).alias("_text"))
-    found = found.select("_id", "_h", "_text", *[base_spans(text, k).alias(f"_{k}") for k in KINDS])
+    found = found.select("_id", "_doc", "_text", *[base_spans(text, k).alias(f"_{k}") for k in KINDS])
     return (
-        found.select("_id", "_h", let(F.concat(*typed), lambda base: F.struct(
+        found.select("_id", "_doc", let(F.concat(*typed), lambda base: F.struct(
             base.alias("base"), F.when(F.size(base) > 0, _masked(text)).alias("masked"))).alias("r"))
-        .select("_id", "_h", "r.base", "r.masked")
+        .select("_id", "_doc", "r.base", "r.masked")
     )
 
 
-def _doc(id_col: str | Column, h: Column) -> Column:
-    """The key of a row: its id and the hash of its text."""
-    return F.xxhash64(F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit("\0")), h)
-
-
 def entity_terms(once: DataFrame, docs: DataFrame, total: int, support: int, generalise_at: float) -> DataFrame:
-    """(_doc, entity, term, n_c, n_t) of all pairs of a document that may disclose.
+    """(_doc, entity, term, n_c, n_t) of all pairs of a text that may disclose.
 
-    ``docs`` has _doc, entities and masked of each document with base spans,
-    ``once`` the _text of every document.
+    ``docs`` has _doc, entities and masked of each distinct text with base
+    spans, ``once`` the _text of every distinct text.
     """
     holds = docs.select("_doc", F.explode("entities").alias("entity"))
     n_c = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter((F.col("n_c") >= support) & (F.col("n_c") < total))
@@ -214,19 +217,19 @@ def detect(
     remove_at: float = 0.95,
     elsewhere_support: int = 20,
 ) -> DataFrame:
-    """Per row: _id, _h, _doc, base spans and the terms to hide.
+    """Per row: _id, _doc, base spans and the terms to hide.
 
     ``base`` is an array of (kind, start, end, value); ``hidden`` an array of
     (start, end, remove, named) in order of start.
     """
-    found = durable(find_base(df, id_col, text_col).withColumn("_doc", _doc("_id", F.col("_h"))))
+    found = durable(find_base(df, id_col, text_col).withColumn("_at", F.monotonically_increasing_id()))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
     docs = durable(found.filter("masked is not null").select("_doc", entities.alias("entities"), "masked").dropDuplicates(["_doc"]))
-    text = text_or_empty(text_col)
-    once = df.select(_doc(id_col, F.xxhash64(text)).alias("_doc"), text.alias("_text"))
-    total = found.select("_doc").distinct().count()
-    if total < found.count():
-        once = once.dropDuplicates(["_doc"])
+    copies = durable(found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")))
+    total, rows = copies.count(), found.count()
+    once = df.select(_doc(text_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    if total < rows:
+        once = durable(once.dropDuplicates(["_doc"]))
 
     pairs = entity_terms(once, docs, total, support, generalise_at)
     flagged = durable(disclosing_terms(pairs, total, support, generalise_at))
@@ -242,7 +245,8 @@ def detect(
     terms = durable(terms.groupBy("_doc").agg(F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed"),
                                               F.collect_list(F.when(~F.col("remove"), F.col("term"))).alias("softened")))
     hidden = sources.join(terms, "_doc").select("_doc", _hidden(F.col("masked"), F.col("removed"), F.col("softened")).alias("hidden"))
-    return found.join(hidden, "_doc", "left").select("_id", "_h", "_doc", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
+    dealt = join_spread(found.select("_id", "_doc", "base", "_at"), hidden, ["_doc"], "_at", copies, rows, "left")
+    return dealt.select("_id", "_doc", "base", F.coalesce("hidden", F.array().cast(HIDDEN)).alias("hidden"))
 
 
 def hide(text: Column, base: Column, hidden: Column) -> Column:
@@ -288,7 +292,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     sizes = found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
     spans = found.filter(F.size("base") + F.size("hidden") > 0).dropDuplicates(["_doc"]).select("_doc", "base", "hidden")
     given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-                      _doc(id_col, F.xxhash64(text_or_empty(text_col))).alias("_doc"), F.monotonically_increasing_id().alias("_at"))
+                      _doc(text_col).alias("_doc"), F.monotonically_increasing_id().alias("_at"))
     joined = join_spread(given, spans, ["_doc"], "_at", sizes, found.count(), "left")
     text = F.col("_row")[text_col]
     new = F.when(F.col("base").isNull(), text).otherwise(hide(text, F.col("base"), F.col("hidden")))
