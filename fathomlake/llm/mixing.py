@@ -16,8 +16,12 @@ nothing is dropped or repeated, whatever the weights.
 
 Sources that the weights do not name (null among them) form one further source
 with weight ``rest``.  A hot source is no single task: rows are ranked inside
-``buckets`` ranges of their hash and offset by the counts of the ranges before.
-Rows that are equal in all ordering keys are interchangeable.
+``buckets`` parts of their hash and offset by the counts of the parts before.
+The order of a source's rows is (part, hash, key), where the hash is that of the
+key and of every other column given.  So it does not depend on the layout, and
+rows whose keys are null or repeated spread like any others as long as they
+differ in some column; rows that differ in none are interchangeable, and share
+a part.
 """
 
 from __future__ import annotations
@@ -99,6 +103,7 @@ def mix(
     the block).
     """
     spark = df.sparkSession
+    others = [f"`{f.name}`" for f in df.schema.fields if f.name not in (*key_cols, *ADDED) and "map<" not in f.dataType.simpleString()]
     weights = {**{str(k): int(v) for k, v in weights.items()}, REST: int(rest)}
     if min(weights.values()) <= 0:
         raise ValueError("weights must be positive integers")
@@ -109,7 +114,7 @@ def mix(
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_given"),
         source.alias("_mix_source"),
-        F.xxhash64(*key_cols).alias("_spread"),
+        F.xxhash64(*key_cols, *others).alias("_spread"),
         F.struct(*key_cols).alias("_key"),
     ).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_spread", 20), F.lit(buckets)).cast("int"))
 
@@ -130,21 +135,20 @@ def mix(
         phases(weights, sizes),
         "p_source string, place long, nth long, per long, lo long, hi long, start long, whole long",
     )
-    b, p = ranked.alias("b"), F.broadcast(plan).alias("p")  # bounded by the weights
-    here = (
-        (F.col("b._mix_source") == F.col("p.p_source"))
-        & F.col("b._block").between(F.col("p.lo"), F.col("p.hi"))
-        & (F.pmod(F.col("b._block") - F.col("p.lo"), F.col("p.per")) == F.col("p.nth"))
-    )
+    # Both sides are bounded by the weights: a row a source and phase, then one more for each block of a period.
+    spans = F.broadcast(plan.groupBy("p_source", "lo", "hi", "per", "start", "whole").agg(F.count(F.lit(1)))).alias("p")
+    places = F.broadcast(plan.select(F.col("p_source").alias("_mix_source"), "lo", "nth", "place"))
+    in_phase = (F.col("_mix_source") == F.col("p.p_source")) & F.col("_block").between(F.col("p.lo"), F.col("p.hi"))
+    timed = ranked.join(spans, in_phase).withColumn("nth", F.pmod(F.col("_block") - F.col("lo"), F.col("per")))
     slot = F.col("start") + F.floor((F.col("_block") - F.col("lo")) / F.col("per")) * F.col("whole") + F.col("place")
     return (
-        b.join(p, here)
+        timed.join(places, ["_mix_source", "lo", "nth"])
         .withColumns({
             "_slot": slot.cast("long"),
             "_release": (F.col("start") + F.floor((F.col("_block") - F.col("lo")) * F.col("whole") / F.col("per"))).cast("long"),
             "_deadline": (F.col("start") + F.ceil((F.col("_block") - F.col("lo") + 1) * F.col("whole") / F.col("per"))).cast("long"),
         })
-        .select(*[F.col("b._given")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
+        .select(*[F.col("_given")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
     )
 
 

@@ -65,6 +65,47 @@ def test_edge_rows(spark, rows):
     assert mixing.in_mixture_order(mixing.mix(df, {"a": 1}), df.columns).count() == len(rows)
 
 
+def test_the_query_equals_a_schedule_rebuilt_row_by_row(spark, sf_dir):
+    rows = queries.op6_mixing(spark, sf_dir).collect()
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r["mix_source"], r["block"]].append(r["row_in_block"])
+    assert all(sorted(b) == list(range(len(b))) for b in blocks.values())
+    left = Counter(s for s, _ in blocks)
+    assert all(len(b) == 64 or n == left[s] - 1 for (s, n), b in blocks.items())
+    weights, given, order = {**queries.MIX_WEIGHTS, "*": queries.MIX_REST}, Counter(), []
+    while left:  # a phase: until the first source runs out
+        share, served = sum(weights[s] for s in left), Counter()
+        for t in range(10**6):
+            due = [(-(-(served[s] + 1) * share // weights[s]), -weights[s], s) for s in left if served[s] * share // weights[s] <= t]
+            source = min(due)[2]
+            order.append((source, given[source]))
+            served[source] += 1
+            given[source] += 1
+            left[source] -= 1
+            if not left[source]:
+                del left[source]
+                break
+    assert order == [b for _, b in sorted({(r["slot"], (r["mix_source"], r["block"])) for r in rows})]
+
+
+def test_rows_of_one_key_are_dealt_to_many_parts(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+    mixed = mixing.mix(df, {"a": 1})
+    order = [r["text"] for r in mixed.orderBy("_slot", "_row").collect()]
+    assert sorted(order) == sorted(f"text {i}" for i in range(6000))
+    places = [i for i, t in enumerate(order) if int(t.split()[1]) % 3 == 0]  # those of the null key
+    assert max(b - a for a, b in zip(places, places[1:], strict=False)) < 60 and abs(sum(places) / 2000 - 3000) < 150
+    again = mixing.mix(df.repartition(7, "text"), {"a": 1})
+    assert [r["text"] for r in again.orderBy("_slot", "_row").collect()] == order
+
+
+def test_clashing_names_of_keys(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x"), (2, "b", 6, "y"), (2, "b", 6, "z")], "doc_id long, source string, lo long, nth string")
+    df = df.withColumns({"p_source": F.lit(1), "_key": F.lit(2), "_spread": F.lit(3), "place": F.lit(4)})
+    assert sorted(mixing.mix(df, {"a": 1}).select(*df.columns).collect()) == sorted(df.collect())
+
+
 def test_weights_must_be_positive(spark):
     with pytest.raises(ValueError):
         mixing.mix(spark.createDataFrame([(1, "a")], "doc_id long, source string"), {"a": 0})
