@@ -14,7 +14,8 @@ values in ascending order.  Sketches depend on the set of shingles alone, so
 
 Two empty sketches resemble each other fully, an empty one and another not at
 all.  Null text counts as empty.  Everything is DataFrame functions; each row
-is sketched alone, so no shuffle and no skew.
+is sketched alone, so no shuffle and no skew.  ``compare_with_edits`` joins rows
+of neighbouring ids; ids that hold many rows (null, say) are dealt by text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, let, split_words, text_or_empty
+from .common import NULL_ID, durable, join_spread, let, split_words, text_or_empty
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
@@ -128,25 +129,29 @@ def compare_with_edits(
     The replacement is the beginning of the next document by descending id.
     Where several rows have one id, the one with the smallest text hash lends
     its beginning; a null id counts as the smallest.  The texts are dealt out by
-    id once and that exchange serves both joins; beginnings travel back alone.
+    id (and text, where many have one id) once and that exchange serves both
+    joins; beginnings travel back alone.
 
     Columns: id, text, n_chars, edited, sketch, edited_sketch, next_sketch.
     """
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                       text_or_empty(text_col).alias("text"))
+    texts = texts.withColumn("_h", F.xxhash64("text"))
     third = (F.length("text") / 3).cast("int")
-    needs = texts.select("id", third.alias("n")).groupBy("id").agg(F.max("n").alias("need"))
-    pairs = durable(next_ids(texts, "id").join(needs, "id"))
+    needs = durable(texts.select("id", third.alias("n")).groupBy("id").agg(F.max("n").alias("need"), F.count(F.lit(1)).alias("_n")))
+    sizes, total = needs.select("id", "_n"), needs.agg(F.sum("_n")).first()[0] or 0
+    pairs = durable(next_ids(needs, "id").join(needs.drop("_n"), "id"))
+    asked = pairs.select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "need")  # each id follows one
     lent = (
-        pairs.join(texts.withColumnRenamed("id", "next_id"), "next_id")
-        .select("id", F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, need)").alias("head"),
-                               sketch(F.col("text"), k, size).alias("sketch")).alias("lent"))
+        join_spread(texts, asked, ["id"], "_h", sizes, total)
+        .select(F.col("for_id").alias("id"), F.struct(F.col("_h").alias("h"), F.expr("left(text, need)").alias("head"),
+                                                      sketch(F.col("text"), k, size).alias("sketch")).alias("lent"))
         .groupBy("id").agg(F.min("lent").alias("lent"))
     )
     edited = F.concat(F.expr("left(text, length(text) - cast(length(text) / 3 as int))"),
                       F.expr("left(lent.head, cast(length(text) / 3 as int))"))
     return (
-        texts.join(lent, "id")
+        join_spread(texts, lent, ["id"], "_h", sizes, total)
         .select("id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"),
                 sketch(F.col("text"), k, size).alias("sketch"), F.col("lent.sketch").alias("next_sketch"))
         .withColumn("edited_sketch", sketch(F.col("edited"), k, size))

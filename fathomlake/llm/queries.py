@@ -76,6 +76,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(edited).alias("edited_fingerprint"),
         fingerprints.resemblance(own, edited).alias("near_edited"),
         fingerprints.resemblance(own, following).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("n_shingles"),
+        fingerprints.distinct_shingles(fingerprints.merge(own, following)).alias("n_shingles_with_next"),
+        fingerprints.containment(own, edited).alias("inside_edited"),
+        fingerprints.containment(edited, own).alias("edited_inside"),
     )
 
 

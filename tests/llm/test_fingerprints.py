@@ -41,6 +41,17 @@ def test_query_edits_and_likeness(spark, sf_dir):
         assert by_text.setdefault(edits[r["doc_id"]], r["edited_fingerprint"]) == r["edited_fingerprint"]
         wrong.append(abs(r["near_edited"] - jaccard(shingles(own), shingles(edits[r["doc_id"]]))))
     assert max(wrong) < 0.2 and sum(wrong) / len(wrong) < 0.04
+    off, sizes, order = [], [], sorted(texts, reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]], strict=True))
+    for r in rows:
+        own, edit = shingles(texts[r["doc_id"]] or ""), shingles(edits[r["doc_id"]])
+        both = own | shingles(texts[following[r["doc_id"]]] or "")
+        for a, b, got in ((own, edit, r["inside_edited"]), (edit, own, r["edited_inside"])):
+            off.append(abs(got - (len(a & b) / len(a) if a else 1.0)))
+        sizes += [abs(got / max(1, len(want)) - (1 if want else 0)) for want, got in ((own, r["n_shingles"]), (both, r["n_shingles_with_next"]))]
+        assert len(own) >= 128 or r["n_shingles"] == len(own)
+    assert max(off) < 0.4 and sum(off) / len(off) < 0.05
+    assert max(sizes) < 0.45 and sum(sizes) / len(sizes) < 0.1
 
 
 def test_edge_rows(spark):
@@ -55,6 +66,18 @@ def test_edge_rows(spark):
     assert fingerprints.compare_with_edits(twice).count() == 4
 
 
+def test_rows_of_a_repeated_id_are_dealt_by_text(spark):
+    rows = [(None, f"text {i} of a row without an id " * 3) for i in range(600)] + [(i, f"row {i} " * 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.compare_with_edits(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    found = got.collect()
+    assert len(found) == 900
+    heads = {r["text"]: r["edited"][len(r["text"]) - len(r["text"]) // 3 :] for r in found if r["doc_id"] is None}
+    assert len(heads) == 600 and all(("row 299 " * 9).startswith(h) and len(h) == len(t) // 3 for t, h in heads.items())
+
+
 def test_sketches_merge_and_estimate(spark):
     a, b = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1500, 4500))
     row = spark.createDataFrame([(a, b)], "a string, b string").select(
