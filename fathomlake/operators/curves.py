@@ -72,6 +72,28 @@ def auc_standard(curve: DataFrame, x: str, y: str) -> DataFrame:
     return steps.agg(F.coalesce(F.sum((F.col("x") - F.col("prev_x")) * (F.col("first") + F.col("prev_last")) / 2), F.lit(0.0)).alias("auc"))
 
 
+def threshold_points(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """score, fpr, tpr, precision at every distinct score; no point is added at the start.
+
+    The recall at a threshold is its tpr.  Shares of nothing are 0.
+    """
+    positives, negatives = F.col("n_pos"), F.col("n_neg")
+    return threshold_counts(df, truth, score).select(
+        "score", _share(F.col("fp"), negatives).alias("fpr"), _share(F.col("tp"), positives).alias("tpr"),
+        _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+
+
+def auc_along(points: DataFrame, x: str, y: str) -> DataFrame:
+    """Trapezoid area between consecutive points by falling score, the sign turned if x ends no higher than it began.
+
+    Nothing is put before the first point, so its stretch from 0 is left out.
+    """
+    steps = neighbours(points.select((-F.col("score")).alias("at"), F.col(x).alias("x"), F.col(y).alias("y")), "at", ["x", "y"])
+    area = F.sum((F.col("x") - F.col("prev_x")) * (F.col("y") + F.col("prev_y")) / 2)
+    sums = steps.agg(area.alias("area"), F.min_by("x", "at").alias("first"), F.max_by("x", "at").alias("last"))
+    return sums.select(F.coalesce(F.when(F.col("last") > F.col("first"), F.col("area")).otherwise(-F.col("area")), F.lit(0.0)).alias("auc"))
+
+
 def areas(df: DataFrame) -> DataFrame:
     """curve, auc_roc, auc_pr: the collapsed areas of many curves in one plan.
 

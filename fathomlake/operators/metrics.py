@@ -73,6 +73,25 @@ def precision_recall_f1(counts: DataFrame, averages: Sequence[str] = ("micro", "
     return rows.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
 
 
+def plain_scores(counts: DataFrame, average: str = "binary") -> DataFrame:
+    """label, precision, recall, f1 without micro or weighted means.
+
+    ``none``: a row a class.  ``binary``: that of the second of two classes, else
+    the means (null label), as for any other name.  f1 is that of the two numbers
+    beside it; where both are 0 it is 0 for ``binary`` and NaN otherwise.
+    """
+    scores = class_scores(counts)
+    if average == "none":
+        rows = scores.select("label", "precision", "recall")
+    else:
+        means = scores.agg(F.lit(None).cast(scores.schema["label"].dataType).alias("label"), F.avg("precision").alias("precision"),
+                           F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("label", "precision", "recall"), "label").alias("_second"))
+        two = F.lit(average == "binary") & (F.col("_n") == 2)
+        rows = means.select(*[F.when(two, F.col("_second")[c]).otherwise(F.col(c)).alias(c) for c in ("label", "precision", "recall")])
+    both = F.col("precision") + F.col("recall")
+    return rows.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), both, 0.0 if average == "binary" else float("nan")))
+
+
 def binary_scores(df: DataFrame, truth: str, prediction: str, strict: bool = False) -> DataFrame:
     """precision, recall and f1 of the second label, or of label 1 unless there are two."""
     labels = labels_of(df, truth, prediction)

@@ -167,6 +167,19 @@ def prf_micro_macro_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(metrics.precision_recall_f1(metrics.confusion(scored(spark, sf_dir), "toxic", "pred")))
 
 
+_PLAIN = "coalesce(2 * p * rc / nullif(p + rc, 0), 'nan'::double)"
+
+
+@query(f"""with {_SCORES} select 'none' as average, label, {r('p')} as precision, {r('rc')} as recall, {r(_PLAIN)} as f1 from f
+  union all select 'macro', null, {r('p')}, {r('rc')}, {r(_PLAIN)} from (select avg(p) p, avg(rc) rc from f)
+  union all select 'binary', case when n = 2 then label end, {r('case when n = 2 then p else mp end')}, {r('case when n = 2 then rc else mr end')}, {r('case when n = 2 then f1 else coalesce(2 * mp * mr / nullif(mp + mr, 0), 0) end')}
+  from (select *, count(*) over () n, avg(p) over () mp, avg(rc) over () mr, row_number() over (order by label desc) k from f) where k = 1""")
+def prf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = metrics.confusion(scored(spark, sf_dir), "toxic", "pred")
+    found = [metrics.plain_scores(counts, a).select(F.lit(a).alias("average"), "label", "precision", "recall", "f1") for a in ("none", "macro", "binary")]
+    return finish(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 def _areas_sql(scores: dict) -> str:
     """Rows (scope, metric, value) of the areas of each class of ``scored`` and of all, class 1 being positive."""
     area = "select {x} x, arg_max({y}, coalesce(score, 1e300)) y from {c} group by 1"
@@ -212,6 +225,22 @@ def pr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AREA = "select {x} x, arg_max({y}, coalesce(score, 1e300)) y, arg_min({y}, coalesce(score, 1e300)) z from {c} group by 1"
 
 
+@query(f"with {_CURVE} select score, {r('fpr')} as fpr, {r('tpr')} as tpr, {r('prec')} as precision from roc join pr using (score)")
+def threshold_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finish(curves.threshold_points(scored(spark, sf_dir), "toxic", "score"))
+
+
+_ALONG = "select '{c}' as curve, sum(a) * case when arg_min(x, score) > arg_max(x, score) then 1 else -1 end as auc from (select score, x, (x - lag(x) over w) * (y + lag(y) over w) / 2 as a from (select score, {x} x, {y} y from {t}) window w as (order by score desc))"
+
+
+@query(f"""with {_CURVE}, e as ({_ALONG.format(c='roc', x='fpr', y='tpr', t='roc where score is not null')} union all {_ALONG.format(c='pr', x='recall', y='prec', t='pr')})
+  select curve, {r('coalesce(auc, 0)')} as auc from e""")
+def auc_along(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = curves.threshold_points(scored(spark, sf_dir), "toxic", "score")
+    areas = [curves.auc_along(points, x, y).select(F.lit(name).alias("curve"), "auc") for name, x, y in (("roc", "fpr", "tpr"), ("pr", "tpr", "precision"))]
+    return finish(areas[0].unionByName(areas[1]))
+
+
 @query(f"""with {_CURVE}, d as ({_AREA.format(x='fpr', y='tpr', c='roc')}), e as (select (x - lag(x) over (order by x)) * (y + lag(y) over (order by x)) / 2 as a from d)
   select {r('coalesce(sum(a), 0)')} as auc from e""")
 def auc_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
