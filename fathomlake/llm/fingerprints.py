@@ -142,9 +142,9 @@ def compare_with_edits(
     sizes, total = needs.select("id", "_n"), needs.agg(F.sum("_n")).first()[0] or 0
     pairs = durable(next_ids(needs, "id").join(needs.drop("_n"), "id"))
     asked = pairs.select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "need")  # each id follows one
-    lent = (
+    lent = (  # no column but id and text is asked for here and below, so that one exchange serves both joins
         join_spread(texts, asked, ["id"], "_h", sizes, total)
-        .select(F.col("for_id").alias("id"), F.struct(F.col("_h").alias("h"), F.expr("left(text, need)").alias("head"),
+        .select(F.col("for_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, need)").alias("head"),
                                                       sketch(F.col("text"), k, size).alias("sketch")).alias("lent"))
         .groupBy("id").agg(F.min("lent").alias("lent"))
     )
