@@ -31,7 +31,16 @@
    precede them within ``PAIR`` = 60 words, all of them, as a chain would join them; pairs
    with up to ``HELD`` occurrences again to every other text, and pairs with more
    to their first and last text, which hold both ends of that stretch too.
-7. The passages of a document that overlap or touch are merged.
+7. Matches, third round.  Pairs with more than ``HELD`` occurrences that are still
+   not covered are joined to every other text that can make a passage with theirs:
+   none is dropped but by a bound that holds for all alignments.  All equal words of
+   an alignment lie in common runs of three words.  Runs with up to ``HELD``
+   occurrences around such pairs are rare, the others frequent.  Two texts with
+   fewer common rare runs than the words that their frequent runs leave to a
+   passage need make none; so partners are those with enough common rare runs,
+   and, for texts whose frequent runs alone could make up a passage, each other
+   text of that kind.  Only these last are joined all with all.
+8. The passages of a document that overlap or touch are merged.
 
 Whole texts are read.  Null and short texts have no passages.  Rows with one id
 and text count once; different texts of one id are read apart and are no
@@ -447,25 +456,42 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(out, ignore_index=True)
 
 
-def second_matches(shared: DataFrame, found: DataFrame, parts: int, min_words: int) -> DataFrame:
-    """Matches of the seeds that no passage of ``found`` covers, with every other holder."""
+def _left_open(shared: DataFrame, found: DataFrame, parts: int, min_words: int) -> DataFrame:
+    """The seeds (t, place, seed, n, open) that no passage of ``found`` covers, and those near them."""
     covered = both_sides(found).groupBy("t", "start").agg(F.max("end").alias("end"))
     rows = covered.select("t", F.lit(0).alias("kind"), F.col("start").alias("place"), F.col("end").cast("long").alias("value"), F.lit(0).cast("long").alias("n")).unionByName(
         shared.select("t", F.lit(1).alias("kind"), "place", F.col("seed").alias("value"), "n"))
-    left = durable(rows.repartition(parts, "t").sortWithinPartitions("t", "kind", "place").mapInPandas(
+    return durable(rows.repartition(parts, "t").sortWithinPartitions("t", "kind", "place").mapInPandas(
         _open(min_words), "t bigint, place int, seed bigint, n bigint, open boolean"))
+
+
+def _dealt_pairs(df: DataFrame, parts: int) -> DataFrame:
+    dealt = df.select("t", "place", "seed", "n", "open").repartition(parts, "t").sortWithinPartitions("t", "place")
+    return durable(dealt.mapInPandas(_pairs, "t bigint, key bigint, place int, then int, open boolean"))
+
+
+def _of_pairs(met: DataFrame) -> DataFrame:
+    """The two matches of each pair that is met: of t, place, then, open, p (t, place, then)."""
+    both = F.explode(F.array(F.struct(F.col("place"), F.col("p.place").alias("other")), F.struct(F.col("then").alias("place"), F.col("p.then").alias("other"))))
+    return met.select("t", F.col("p.t").alias("partner"), "open", both.alias("m")).select("t", "m.place", "partner", "m.other", "open")
+
+
+def second_matches(shared: DataFrame, found: DataFrame, parts: int, min_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """Matches of the seeds that no passage of ``found`` covers, with every other holder.
+
+    Of pairs with more than ``HELD`` occurrences only those with the first and the
+    last holder; all occurrences of such pairs (t, key, place, then) come second,
+    None if there are none.
+    """
+    left = _left_open(shared, found, parts, min_words)
     few = F.col("n") <= HELD
     other = shared.filter(few).select("seed", F.col("t").alias("partner"), F.col("place").alias("other"))
     light = left.filter(few).join(other, "seed").filter("partner <> t").select("t", "place", "partner", "other", "open")
     if left.filter(~few).isEmpty():
-        return light
-
-    def pairs(df: DataFrame) -> DataFrame:
-        dealt = df.repartition(parts, "t").sortWithinPartitions("t", "place")
-        return durable(dealt.mapInPandas(_pairs, "t bigint, key bigint, place int, then int, open boolean"))
+        return light, None
 
-    every = pairs(shared.select("t", "place", "seed", "n", F.lit(False).alias("open")))
-    open_pairs = pairs(left.select("t", "place", "seed", "n", "open")).filter("open")
+    every = _dealt_pairs(shared.select("t", "place", "seed", "n", F.lit(False).alias("open")), parts)
+    open_pairs = _dealt_pairs(left, parts).filter("open")
     keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *[f(F.struct("t", "place", "then")).alias(c) for f, c in ((F.min, "a"), (F.max, "b"))])
     keys = durable(keys.filter("a.t <> b.t"))
     small = every.join(keys.filter(F.col("_n") <= HELD).select("key"), "key").select("key", F.struct("t", "place", "then").alias("p"))
@@ -473,13 +499,119 @@ def second_matches(shared: DataFrame, found: DataFrame, parts: int, min_words: i
     met = open_pairs.join(small, "key").select("t", "place", "then", "open", "p")
     large = join_spread(open_pairs, ends, ["key"], "t", keys.select("key", "_n")).select("t", "place", "then", "open", F.explode("ps").alias("p"))
     met = met.unionByName(large).filter("p.t <> t")
-    both = F.explode(F.array(F.struct(F.col("place"), F.col("p.place").alias("other")), F.struct(F.col("then").alias("place"), F.col("p.then").alias("other"))))
-    of_pairs = met.select("t", F.col("p.t").alias("partner"), "open", both.alias("m")).select("t", "m.place", "partner", "m.other", "open")
-    return light.unionByName(of_pairs).groupBy("t", "place", "partner", "other").agg(F.max("open").alias("open"))
+    matches = light.unionByName(_of_pairs(met)).groupBy("t", "place", "partner", "other").agg(F.max("open").alias("open"))
+    return matches, every.join(keys.filter(F.col("_n") > HELD).select("key"), "key").select("t", "key", "place", "then")
+
+
+def _run_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, place, run) of the three-word runs in the stretches around the pairs of each text: of t, open, spots, codes."""
+    for batch in frames:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ts, opens, places, runs = [], [], [], []
+            for t, is_open, spots, codes in zip(*(part.column(i) for i in range(4)), strict=True):
+                c = np.frombuffer(codes.as_py(), np.uint32).astype(np.uint64)
+                n, ends = len(c) - 2, spots.as_py()
+                edge = np.zeros(len(c) + 1, np.int64)  # where the stretches that an alignment sees begin and end
+                np.add.at(edge, np.maximum(np.array([s["place"] for s in ends]) - WIDEN, 0), 1)
+                np.add.at(edge, np.minimum(np.array([s["then"] for s in ends]) + K + WIDEN - 2, n), -1)
+                here = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+                run = (c[here] * np.uint64(0x9E3779B97F4A7C15) + c[here + 1]) * np.uint64(0x9E3779B97F4A7C15) + c[here + 2]
+                ts.append(np.full(len(here), t.as_py()))
+                opens.append(np.full(len(here), is_open.as_py()))
+                places.append(here.astype(np.int32))
+                runs.append(run.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, opens, places, runs)], names=["t", "open", "place", "run"])
+
+
+def _run_kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of runs in order: (t, place, null) of the frequent ones, (t, place, partner) of the rare ones that two texts hold, t open."""
+    names = ["t", "open", "place", "run"]
+    tail, known = pd.DataFrame(columns=names), None  # the rows of a run that may go on; a run known to be frequent
+
+    def kinds(frame: pd.DataFrame) -> pd.DataFrame:
+        t, is_open, place, run = (frame[c].to_numpy() for c in names)
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        n = np.repeat(np.diff(first, append=len(run)), np.diff(first, append=len(run)))
+        often = (n > HELD) | (run == known if known is not None else False)
+        out = [pd.DataFrame({"t": t[often], "place": place[often], "partner": pd.array([None] * int(often.sum()), "Int64")})]
+        for step in range(1, HELD):
+            i = np.flatnonzero((run[step:] == run[:-step]) & ~often[step:] & (t[step:] != t[:-step]))
+            for a, b in ((i, i + step), (i + step, i)):
+                seek = is_open[a].astype(bool)
+                out.append(pd.DataFrame({"t": t[a][seek], "place": place[a][seek], "partner": pd.array(t[b][seek], "Int64")}))
+        return pd.concat(out, ignore_index=True)
+
+    for frame in frames:
+        frame = pd.concat([tail, frame], ignore_index=True) if len(tail) else frame
+        if frame.empty:
+            continue
+        last = frame["run"].iloc[-1]
+        ends = (frame["run"] == last).to_numpy()
+        if ends.sum() <= HELD and last != known:
+            tail, frame = frame[ends], frame[~ends]
+            if len(frame):
+                yield kinds(frame)
+        else:
+            tail = frame.iloc[:0]
+            yield kinds(frame)
+            known = last
+    if len(tail):
+        yield kinds(tail.reset_index(drop=True))
+
+
+def _least(min_words: int) -> int:
+    """The least number of equal words of a passage."""
+    return int(np.ceil(MIN_IDENTITY * min_words - 1e-9))
+
+
+def _covered(min_words: int):
+    """Of the places of frequent runs: how many words they cover in a text, and if they could make up a passage alone."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_key(frames, ["t"]):
+            t, place, rows = frame["t"].to_numpy(), frame["place"].to_numpy(np.int64), []
+            for a, b in _groups(t):
+                at = np.unique((place[a:b, None] + np.arange(3)).ravel())  # the covered words
+                # the widest span that ends at each covered word is tried from each word that leaves enough
+                least, rank = _least(min_words), np.arange(len(at))
+                start = np.maximum.accumulate(MIN_IDENTITY * at - rank) if len(at) else at
+                i = rank - least + 1
+                ok = i >= 0
+                full = bool((rank[ok] + 1 - MIN_IDENTITY * (at[ok] + 1) >= -start[i[ok]] - 1e-9).any())
+                rows.append((t[a], len(at), full))
+            yield pd.DataFrame(rows, columns=["t", "covered", "full"])
+
+    return run
+
+
+def third_matches(heavy: DataFrame, shared: DataFrame, found: DataFrame, texts: DataFrame, min_words: int) -> DataFrame | None:
+    """Matches of the pairs ``heavy`` that no passage of ``found`` covers, with all other holders but those that can't make a passage."""
+    parts = total_parts(texts)
+    left = _left_open(shared, found, parts, min_words)
+    open_pairs = _dealt_pairs(left, parts).filter("open")
+    open_heavy = durable(open_pairs.join(heavy.select("key").distinct(), "key", "left_semi"))
+    if open_heavy.isEmpty():
+        return None
+    holders = durable(heavy.join(open_heavy.select("key").distinct(), "key", "left_semi"))
+    marked = holders.select("t", "place", "then", F.lit(False).alias("open")).unionByName(open_heavy.select("t", "place", "then", "open"))
+    spots = durable(marked.groupBy("t").agg(F.max("open").alias("open"), F.collect_set(F.struct("place", "then")).alias("spots")))
+    runs = texts.select("t", "codes").join(spots, "t").select("t", "open", "spots", "codes").mapInArrow(_run_rows, "t bigint, open boolean, place int, run bigint")
+    kinds = durable(runs.repartition(parts, "run").sortWithinPartitions("run").mapInPandas(_run_kinds, "t bigint, place int, partner bigint"))
+    frequent = kinds.filter("partner is null").select("t", "place").repartition(parts, "t").sortWithinPartitions("t", "place")
+    frequent = durable(frequent.mapInPandas(_covered(min_words), "t bigint, covered int, full boolean"))
+    common = kinds.filter("partner is not null").groupBy("t", "partner").agg(F.count(F.lit(1)).alias("n")).join(frequent.select("t", "covered"), "t", "left")
+    able = common.filter(3 * F.col("n") + F.coalesce("covered", F.lit(0)) >= _least(min_words)).select("t", "partner")
+    other = holders.select("key", F.col("t").alias("partner"), F.struct("t", "place", "then").alias("p"))
+    met = able.join(open_heavy, "t").join(other, ["partner", "key"]).select("t", "place", "then", "open", "p")
+    full = frequent.filter("full").select("t")
+    alike = open_heavy.join(full, "t", "left_semi").join(other.join(full.withColumnRenamed("t", "partner"), "partner", "left_semi"), "key")
+    met = met.unionByName(alike.filter("partner <> t").select("t", "place", "then", "open", "p"))
+    return durable(_of_pairs(met).groupBy("t", "place", "partner", "other").agg(F.max("open").alias("open")))
 
 
 def shared_passages(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Aligned passages of ``distinct_texts``, those of both rounds.
+    """Aligned passages of ``distinct_texts``, those of all three rounds.
 
     Places count words from 0; ends are exclusive.
     """
@@ -492,8 +624,14 @@ def shared_passages(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                              F.struct(F.col("t1").alias("partner"), F.col("p1").alias("other")))).alias("e")
     first = shared.select("t", "place", ends).select("t", "place", "e.*", F.lit(True).alias("open")).filter("partner <> t")
     first = passages(first, texts, min_words)
-    again = second_matches(shared.select("t", "place", "seed", "n"), first, total_parts(texts), min_words)
-    return first.unionByName(passages(again, texts, min_words))
+    seen = shared.select("t", "place", "seed", "n")
+    again, heavy = second_matches(seen, first, total_parts(texts), min_words)
+    found = first.unionByName(passages(again, texts, min_words))
+    rest = third_matches(durable(heavy), seen, found, texts, min_words) if heavy is not None else None
+    if rest is None:
+        return found
+    ids = rest.select(F.explode(F.array("t", "partner")).alias("t")).distinct()
+    return found.unionByName(passages(rest, texts.join(ids, "t", "left_semi"), min_words))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -206,3 +206,25 @@ def test_different_texts_of_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("x"))
     found = sorted((r["doc"], r["start"], r["end"], r["partner"]) for r in sd.repeated_spans(df).collect())
     assert found == [(2, 0, 80, 3), (3, 5, 85, 2)]
+
+
+@pytest.mark.parametrize("whole", [1, 3])
+def test_texts_with_the_same_seeds_hide_no_passage(spark, whole):
+    """Decoys hold all seeds of a passage at its gaps, so that each of its pairs is frequent, but not its other words.
+
+    With three parts of which each decoy holds one as a whole, all runs of words are frequent too.
+    """
+    draw = random.Random(31)
+    passage = prose(draw, 66)
+    picks, _ = sd.seeds(sd.word_codes(" ".join(passage)))
+    fixed = {int(p) + i for p in picks for i in range(sd.K)}
+    near = [f"y{i}" if i in sorted(set(range(10, 60)) - fixed)[::9] else w for i, w in enumerate(passage)]
+    docs = {}
+    for d in range(60):
+        kept = fixed if whole == 1 else fixed | set(range(d % 3 * 22, d % 3 * 22 + 22))
+        docs[d] = " ".join(prose(draw, 120) + [w if i in kept else f"d{draw.random()}" for i, w in enumerate(passage)] + prose(draw, 120))
+    for d, words in ((100, passage), (101, near if whole == 1 else passage)):
+        docs[d] = " ".join(prose(draw, 150) + words + prose(draw, 150))
+    found = spans_of(spark, docs)
+    for d in (100, 101):
+        assert any(start <= 155 and end >= 211 for start, end in found.get(d, [])), found
