@@ -1,51 +1,107 @@
 """Silhouette scores with exact mean distances, in blocks.
 
-Rows are dealt to shards; each task sums one shard's distances to one block by
-cluster, so what is shuffled is a row a point, cluster and shard, never a pair.
+Equal vectors of one cluster are one point.  Points are dealt to shards; each
+task takes a pair of shards and sums the distances by cluster for both sides, so
+what is shuffled is a row a point, cluster and shard, never a pair.  The work
+grows with the square of the number of points: all distances are needed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.expr import as_col
+from ..functions.spread import join_spread, total_parts
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x and y, by a matrix product; where that cancels, by the differences."""
+    with np.errstate(all="ignore"):
+        if x.shape[1] <= 3:
+            return np.sqrt(sum(np.square(x[:, i, None] - y[:, i]) for i in range(x.shape[1])))
+        centre = x.mean(axis=0)
+        u, v = x - centre, y - centre
+        uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        one = np.ones(len(u)), np.ones(len(v))
+        d = np.column_stack([u * -2, uu, one[0]]) @ np.column_stack([v, one[1], vv]).T
+        far = 1e-6 * (uu.max() + vv.max())
+        i, j = np.nonzero(~(d >= far)) if not d.min() >= far else (uu[:0].astype(int),) * 2
+        near = ~(d[i, j] >= 1e-6 * (uu[i] + vv[j]))
+        i, j = i[near], j[near]
+        for at in range(0, len(i), 65_536):
+            k, m = i[at : at + 65_536], j[at : at + 65_536]
+            d[k, m] = ((x[k] - y[m]) ** 2).sum(axis=1)
+        return np.sqrt(d, out=d)
+
 
+def _block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """point, other, total of the points of a by the clusters of b, and the other way round unless both are one shard."""
+    a, b = a.sort_values("c", kind="stable"), b.sort_values("c", kind="stable")
+    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    own, place = np.unique(a["c"].to_numpy(), return_inverse=True)
+    clusters, start = np.unique(b["c"].to_numpy(), return_index=True)
+    wa, wb = a["w"].to_numpy(np.float64), b["w"].to_numpy(np.float64)
+    once = a["a"].iloc[0] == a["b"].iloc[0]
+    of_a, of_b = np.zeros((len(x), len(clusters))), np.zeros((len(own), len(y)))
+    copies = bool((wa > 1).any() or (wb > 1).any())
+    bounds = [*start.tolist(), len(y)]
+    for k, (left, right) in enumerate(zip(bounds, bounds[1:], strict=False)):  # small tiles stay in the cache
+        for low in range(left, right, 1024):
+            tile = slice(low, min(low + 1024, right))
+            for at in range(0, len(x), 128):
+                rows = slice(at, at + 128)
+                d = distances(x[rows], y[tile])
+                of_a[rows, k] += d @ wb[tile] if copies else d.sum(axis=1)
+                if not once:
+                    d = d * wa[rows, None] if copies else d
+                    found, first = np.unique(place[rows], return_index=True)
+                    of_b[found, tile] += np.add.reduceat(d, first, axis=0)
+    out = [(np.repeat(a["point"].to_numpy(), len(clusters)), np.tile(clusters, len(x)), of_a.ravel())]
+    if not once:
+        out.append((np.tile(b["point"].to_numpy(), len(own)), np.repeat(own, len(y)), of_b.ravel()))
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("point", "other", "total"), zip(*out, strict=True), strict=True)})
 
-def _distance_sums(points: DataFrame, rows: int = 4096) -> DataFrame:
-    """id, own, other (clusters), total distance and count, of points (id, c, v)."""
-    n = max(1, -(-points.count() // rows))
-    spot = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.select("*", spot.alias("shard")).select("*", every.alias("block"))
-    right = points.select(*[F.col(c).alias(c) for c in points.columns]).select("*", spot.alias("block")).select("*", every.alias("shard"))
+
+def _distance_sums(points: DataFrame, rows: int = 32_768) -> DataFrame:
+    """point, other (a cluster), total distance to its rows: of points (point, c, v, w), each standing for w rows.
+
+    Each pair of shards is the work of one task, for both sides at once.
+    """
+    total = points.count()
+    n = max(1, -(-total // rows), min(math.ceil(2 * math.sqrt(total_parts(points))), -(-total // 1024)))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("point"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = dealt.select("point", "c", "v", "w", "shard", F.least("shard", "i").alias("a"), F.greatest("shard", "i").alias("b"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["id", "own", "other", "total", "n"])
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        clusters, place = np.unique(a["c"].to_numpy(), return_inverse=True)
-        sizes = np.bincount(place)
-        out = []
-        for i, own, v in zip(b["id"], b["c"], y, strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(axis=1))
-            out += list(zip([i] * len(clusters), [own] * len(clusters), clusters, np.bincount(place, d), sizes, strict=True))
-        return pd.DataFrame(out, columns=["id", "own", "other", "total", "n"])
+            return pd.DataFrame(columns=["point", "other", "total"])
+        return _block_sums(a, b)
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(sums, "id bigint, own int, other int, total double, n bigint")
-    return found.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    left, right = (met.filter(F.col("shard") == F.col(s)).drop("shard").groupBy("a", "b") for s in ("a", "b"))
+    found = left.cogroup(right).applyInPandas(sums, "point bigint, other int, total double")
+    return found.groupBy("point", "other").agg(F.sum("total").alias("total"))
 
 
 def point_scores(df: DataFrame, row_id: str, vector: str | Column, cluster: str) -> DataFrame:
     """id, cluster, a, b, s of every row that is not noise (-1).
 
-    A row alone in its cluster has a = 0.
+    A row alone in its cluster has a = 0.  Equal vectors of one cluster are one
+    point, so copies cost nothing.
     """
     v = F.transform(as_col(vector), lambda x: x.cast("double"))
-    points = df.filter(F.col(cluster) >= 0).select(F.col(row_id).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), v.alias("v"))
-    sums = _distance_sums(points)
+    given = df.filter(F.col(cluster) >= 0).select(F.col(row_id).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), v.alias("v"))
+    points = durable(given.groupBy("c", "v").agg(F.count(F.lit(1)).alias("w")).withColumn("point", F.monotonically_increasing_id()))
+    sizes = points.groupBy(F.col("c").alias("other")).agg(F.sum("w").alias("n"))
+    totals = durable(_distance_sums(points))
+    rows = join_spread(given, points, ["c", "v"], "id", points.withColumnRenamed("w", "_n")).select("id", "point", F.col("c").alias("own"))
+    met = join_spread(rows, totals, ["point"], "id", points.select("point", F.col("w").alias("_n"))).join(sizes, "other")
+    sums = met.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("own") == F.col("other")
     per = sums.groupBy("id", F.col("own").alias("cluster")).agg(
         F.max(F.when(own, F.coalesce(F.try_divide(F.col("total"), F.col("n") - 1), F.lit(0.0)))).alias("a"),

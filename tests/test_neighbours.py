@@ -135,3 +135,32 @@ def test_null_coordinates_empty_tables_and_clashing_names(spark):
     assert dbscan.fit_predict(df.limit(0), "id", ["x", "cell"], 0.5, 3).collect() == []
     with pytest.raises(ValueError, match="radius"):
         dbscan.fit_predict(df, "id", ["x", "cell"], 0.0, 3)
+
+
+def test_silhouettes_equal_all_pairs_with_copies_and_many_shards(spark, monkeypatch):
+    from fathomlake.operators import silhouette
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, 5)) + 1e3
+    x[100:160] = x[7]  # copies, some of them in other clusters
+    c = draw.integers(-1, 4, 300)
+    c[299] = 4  # alone
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, v array<double>, k int").repartition(3)
+    plain = silhouette._distance_sums
+    monkeypatch.setattr(silhouette, "_distance_sums", lambda points: plain(points, 40))
+    got = {r["id"]: r for r in silhouette.point_scores(df, "id", "v", "k").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert got.keys() == set(np.flatnonzero(c >= 0).tolist())
+    for i, r in got.items():
+        a = d[i, c == c[i]].sum() / max((c == c[i]).sum() - 1, 1)
+        b = min(d[i, c == k].mean() for k in range(5) if k != c[i])
+        assert (r["cluster"], r["a"], r["b"]) == (c[i], pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
+
+
+def test_copies_are_one_point_of_the_silhouette(spark, monkeypatch):
+    from fathomlake.operators import silhouette
+
+    df = spark.createDataFrame([(i, [float(i % 20), 1.0], i % 2) for i in range(400)], "id long, v array<double>, k int")
+    seen, plain = [], silhouette._distance_sums
+    monkeypatch.setattr(silhouette, "_distance_sums", lambda points: seen.append(points.count()) or plain(points))
+    assert silhouette.point_scores(df, "id", "v", "k").count() == 400 and seen == [20]
