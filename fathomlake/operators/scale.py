@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles_and
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -53,9 +56,9 @@ def log_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def median_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x - median) / std."""
-    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}|{c}") for c in columns for k, f in (("m", F.median), ("s", F.stddev_samp))]).first()
-    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(row[f"m|{c}"]), F.lit(row[f"s|{c}"])) for c in columns})
+    """(x - median) / std; no task holds a column's values."""
+    medians, stds = quantiles_and(df, columns, [0.5], [F.stddev_samp(F.col(c).cast("double")) for c in columns])
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(math.nan if s is not None and math.isnan(s) else medians[c][0]), F.lit(s)) for c, s in zip(columns, stds, strict=True)})
 
 
 def unscaled_coefficients(coefficients: dict[str, float], stats: Moments) -> dict[str, float]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -82,3 +83,15 @@ def test_the_report_of_three_classes_has_their_areas(spark):
     assert report["d", "auc_roc"] == report["d", "auc_pr"] == 0.0  # never the truth
     assert report["all", "auc_roc"] == pytest.approx(sum(roc.values()) / 4)
     assert curves.auc_one_vs_rest(df, "t", {k: k for k in "abcd"}) == pytest.approx(sum(roc.values()) / 4)
+
+
+def test_median_scale_gathers_no_column_in_one_task(spark, monkeypatch):
+    from fathomlake.operators import scale
+
+    x = [float((i * 7919) % 30011) for i in range(30011)] + [None, 5e9]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, x double")
+    monkeypatch.setattr(scale.F, "median", None)  # an exact aggregate is one task
+    got = {r["id"]: r["x"] for r in scale.median_scale(df, ["x"]).collect()}
+    known = [v for v in x if v is not None]
+    m, s = statistics.median(known), statistics.stdev(known)
+    assert got[30011] is None and all(got[i] == pytest.approx((v - m) / s, abs=1e-12) for i, v in enumerate(x) if v is not None)
