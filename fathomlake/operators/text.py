@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.durable import durable
 from ..functions.ordered import key_rank
 
 
@@ -42,3 +49,75 @@ def vocabulary(counts: DataFrame, row_id: str, min_documents: int = 1) -> DataFr
 def count_vectors(counts: DataFrame, words: DataFrame, row_id: str) -> DataFrame:
     """row_id, index, n of the grams in the vocabulary: sparse vectors, a row a cell."""
     return counts.join(words.select("gram", "index"), "gram").select(row_id, "index", "n")
+
+
+def _posted(part: pa.RecordBatch, sizes: tuple[int, ...], cells: bool) -> Iterator[pa.RecordBatch]:
+    """The grams of some rows (id, words): a row a gram."""
+    words, lengths = part.column(1).flatten(), pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(part.num_rows), lengths)
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    here = codes
+    for n in range(1, max(sizes) + 1):
+        if n > 1:
+            here = np.unique(here[:-1] * len(coded.dictionary) + codes[n - 1 :], return_inverse=True)[1].astype(np.int64)
+        at = np.flatnonzero(doc[: len(here)] == doc[n - 1 :])
+        if n not in sizes or not len(at):
+            continue
+        at = at[np.argsort(here[at], kind="stable")]
+        gram, of = here[at], doc[at]
+        fresh = np.concatenate([[True], gram[1:] != gram[:-1]])
+        cell = np.flatnonzero(fresh | np.concatenate([[True], of[1:] != of[:-1]]))
+        counts = np.diff(cell, append=len(at))
+        first = np.flatnonzero(fresh[cell])  # of the cells of a gram
+        texts = [words.take(pa.array(at[cell[first]] + i)) for i in range(n)]
+        out = [texts[0] if n == 1 else pc.binary_join_element_wise(*texts, " "), pa.array(np.diff(first, append=len(cell))), pa.array(np.add.reduceat(counts, first))]
+        if cells:
+            ends = pa.array(np.append(first, len(cell)).astype(np.int32))
+            out += [pa.ListArray.from_arrays(ends, part.column(0).take(pa.array(of[cell]))), pa.ListArray.from_arrays(ends, pa.array(counts))]
+        yield pa.RecordBatch.from_arrays(out, names=["gram", "documents", "total", "ids", "ns"][: len(out)])
+
+
+def gram_postings(df: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] = (1, 2), cells: bool = True, words: int = 1_000_000) -> DataFrame:
+    """gram, documents, total, and with ``cells`` the lists ids and ns: several rows a gram, each of other row ids.
+
+    Rows are counted where they are read, some ``words`` words at a time, so
+    that a gram's text is moved once for many rows.  Only rows whose id comes
+    again, or is null, are brought together first.
+    """
+    split = df.select(row_id, tokens(text).alias("_w"))
+    again = durable(df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(row_id).isNull()).select(F.col(row_id).alias("_id")))
+    same = F.col(row_id).eqNullSafe(F.col("_id"))
+    kind = T.StructType([T.StructField("gram", T.StringType()), T.StructField("documents", T.LongType()), T.StructField("total", T.LongType())])
+    if cells:
+        kind = kind.add("ids", T.ArrayType(df.schema[row_id].dataType)).add("ns", T.ArrayType(T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, at = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + words, side="right")))
+                yield from _posted(batch.slice(at, stop - at), sizes, cells)
+                at = stop
+
+    plain = split if again.isEmpty() else split.join(again, same, "left_anti")
+    posted = plain.mapInArrow(run, kind)
+    if again.isEmpty():
+        return posted
+    counted = gram_counts(df.join(again, same, "left_semi"), row_id, text, sizes)
+    lists = [F.array(row_id).alias("ids"), F.array("n").alias("ns")] if cells else []
+    return posted.unionByName(counted.select("gram", F.lit(1).cast("long").alias("documents"), F.col("n").alias("total"), *lists))
+
+
+def posted_vocabulary(postings: DataFrame, min_documents: int = 1) -> DataFrame:
+    """``vocabulary`` of postings."""
+    words = postings.groupBy("gram").agg(F.sum("documents").alias("documents"), F.sum("total").alias("total")).filter(F.col("documents") >= min_documents)
+    ranked = key_rank(words, [F.desc("total"), F.asc("gram")], "index")
+    return ranked.select("gram", "documents", "total", (F.col("index") - 1).alias("index"))
+
+
+def posted_vectors(df: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """row_id, index, n: ``count_vectors`` by the vocabulary of all grams; each posting meets its index, then its cells are laid out."""
+    postings = durable(gram_postings(df, row_id, text, sizes))
+    met = postings.select("gram", "ids", "ns").join(posted_vocabulary(postings).select("gram", "index"), "gram")
+    return met.select("index", F.explode(F.arrays_zip("ids", "ns")).alias("c")).select(F.col("c.ids").alias(row_id), "index", F.col("c.ns").alias("n"))

@@ -20,14 +20,13 @@ _GRAMS = """t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesc
 
 @query(f"""with {_GRAMS} select gram, documents, total, "index" from v""")
 def ngram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return text.vocabulary(counts, "doc_id").select("gram", "documents", "total", F.col("index").cast("bigint"))
+    postings = text.gram_postings(table(spark, sf_dir, "documents"), "doc_id", "text", cells=False)
+    return text.posted_vocabulary(postings).select("gram", "documents", "total", F.col("index").cast("bigint"))
 
 
 @query(f"""with {_GRAMS} select doc_id, "index", n from c join v using (gram)""")
 def ngram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return text.count_vectors(counts, text.vocabulary(counts, "doc_id"), "doc_id").select("doc_id", F.col("index").cast("bigint"), "n")
+    return text.posted_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("index").cast("bigint"), "n")
 
 
 # A generated table of runs: one a nation, with a metric at three steps.

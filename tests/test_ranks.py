@@ -95,3 +95,19 @@ def test_median_scale_gathers_no_column_in_one_task(spark, monkeypatch):
     known = [v for v in x if v is not None]
     m, s = statistics.median(known), statistics.stdev(known)
     assert got[30011] is None and all(got[i] == pytest.approx((v - m) / s, abs=1e-12) for i, v in enumerate(x) if v is not None)
+
+
+def test_postings_are_few_rows_a_gram_and_equal_counts_with_repeated_and_null_ids(spark):
+    draw = random.Random(4)
+    docs = [(i, " ".join(draw.choice(["a", "b", "É", "d1", "e-f"]) for _ in range(draw.randrange(12)))) for i in range(200)]
+    docs += [(7, "a b a"), (7, None), (None, "a b"), (None, "b É"), (500, None), (501, "")]
+    df = spark.createDataFrame(docs, "id long, t string").coalesce(1)
+    counts = {(r["id"], r["gram"]): r["n"] for r in text.gram_counts(df, "id", "t").collect()}
+    index = {r["gram"]: r for r in text.posted_vocabulary(text.gram_postings(df, "id", "t", cells=False)).collect()}
+    order = sorted(index, key=lambda g: (-sum(n for (_, h), n in counts.items() if h == g), g.encode()))
+    assert [index[g]["index"] for g in order] == list(range(len(order)))
+    assert all(index[g]["documents"] == sum(h == g for _, h in counts) for g in order)
+    got = {(r["id"], order[r["index"]]): r["n"] for r in text.posted_vectors(df, "id", "t").collect()}
+    assert got == counts
+    one = text.gram_postings(df.filter("id <> 7"), "id", "t")
+    assert one.count() == one.select("gram").distinct().count()  # a row a gram, not a row a cell
