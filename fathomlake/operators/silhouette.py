@@ -9,6 +9,7 @@ grows with the square of the number of points: all distances are needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,48 +21,72 @@ from ..functions.expr import as_col
 from ..functions.spread import join_spread, total_parts
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of the rows of x and y, by a matrix product; where that cancels, by the differences."""
-    with np.errstate(all="ignore"):
-        if x.shape[1] <= 3:
-            return np.sqrt(sum(np.square(x[:, i, None] - y[:, i]) for i in range(x.shape[1])))
-        centre = x.mean(axis=0)
-        u, v = x - centre, y - centre
-        uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
-        one = np.ones(len(u)), np.ones(len(v))
-        d = np.column_stack([u * -2, uu, one[0]]) @ np.column_stack([v, one[1], vv]).T
-        far = 1e-6 * (uu.max() + vv.max())
-        i, j = np.nonzero(~(d >= far)) if not d.min() >= far else (uu[:0].astype(int),) * 2
-        near = ~(d[i, j] >= 1e-6 * (uu[i] + vv[j]))
-        i, j = i[near], j[near]
-        for at in range(0, len(i), 65_536):
-            k, m = i[at : at + 65_536], j[at : at + 65_536]
-            d[k, m] = ((x[k] - y[m]) ** 2).sum(axis=1)
+def distances(x: np.ndarray, y: np.ndarray) -> Callable[[slice, slice], np.ndarray]:
+    """The Euclidean distances of tiles of x and y, by matrix products; where those cancel, by the differences."""
+    if x.shape[1] <= 3:
+
+        def low(i: slice, j: slice) -> np.ndarray:
+            d = np.zeros((i.stop - i.start, j.stop - j.start))
+            for k in range(x.shape[1]):
+                e = x[i, k, None] - y[j, k]
+                d += np.square(e, out=e)
+            return np.sqrt(d, out=d)
+
+        return low
+    centre = y.mean(axis=0)
+    u, v = x - centre, y - centre
+    uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    left, right = np.column_stack([u * -2, uu, np.ones(len(u))]), np.column_stack([v, np.ones(len(v)), vv])
+
+    def tile(i: slice, j: slice) -> np.ndarray:
+        d = left[i] @ right[j].T
+        if not d.min() >= 1e-6 * (uu[i].max() + vv[j].max()):
+            a, b = np.nonzero(~(d >= 1e-6 * (uu[i, None] + vv[j])))
+            xs, ys = x[i], y[j]
+            for at in range(0, len(a), 65_536):
+                k, m = a[at : at + 65_536], b[at : at + 65_536]
+                d[k, m] = ((xs[k] - ys[m]) ** 2).sum(axis=1)
         return np.sqrt(d, out=d)
 
+    return tile
+
+
+def _members(c: np.ndarray, w: np.ndarray, plain: bool) -> Callable[[slice], tuple[np.ndarray, np.ndarray | None]]:
+    """For a tile of points sorted by cluster: where each cluster begins, and a row a cluster with the weights of its points."""
+    out = {}
+
+    def tile(at: slice) -> tuple[np.ndarray, np.ndarray | None]:
+        if at.start not in out:
+            mine = c[at]
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            out[at.start] = first, None if plain or len(first) > 128 else (mine[first, None] == mine) * w[at]
+        return out[at.start]
 
-def _block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    return tile
+
+
+def _block_sums(a: pd.DataFrame, b: pd.DataFrame, size: int = 256) -> pd.DataFrame:
     """point, other, total of the points of a by the clusters of b, and the other way round unless both are one shard."""
     a, b = a.sort_values("c", kind="stable"), b.sort_values("c", kind="stable")
     x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
     own, place = np.unique(a["c"].to_numpy(), return_inverse=True)
-    clusters, start = np.unique(b["c"].to_numpy(), return_index=True)
+    clusters, other = np.unique(b["c"].to_numpy(), return_inverse=True)
     wa, wb = a["w"].to_numpy(np.float64), b["w"].to_numpy(np.float64)
     once = a["a"].iloc[0] == a["b"].iloc[0]
     of_a, of_b = np.zeros((len(x), len(clusters))), np.zeros((len(own), len(y)))
-    copies = bool((wa > 1).any() or (wb > 1).any())
-    bounds = [*start.tolist(), len(y)]
-    for k, (left, right) in enumerate(zip(bounds, bounds[1:], strict=False)):  # small tiles stay in the cache
-        for low in range(left, right, 1024):
-            tile = slice(low, min(low + 1024, right))
-            for at in range(0, len(x), 128):
-                rows = slice(at, at + 128)
-                d = distances(x[rows], y[tile])
-                of_a[rows, k] += d @ wb[tile] if copies else d.sum(axis=1)
+    with np.errstate(all="ignore"):
+        plain = not max(np.abs(x).max(), np.abs(y).max()) < 1e150  # products would carry one that is not finite to all clusters
+        tile, of_x, of_y = distances(x, y), _members(place, wa, plain), _members(other, wb, plain)
+        for left in range(0, len(y), size):  # small tiles stay in the cache
+            columns = slice(left, min(left + size, len(y)))
+            starts, weights = of_y(columns)
+            for at in range(0, len(x), size):
+                rows = slice(at, min(at + size, len(x)))
+                d = tile(rows, columns)
+                of_a[rows, other[left + starts]] += np.add.reduceat(d * wb[columns], starts, axis=1) if weights is None else d @ weights.T
                 if not once:
-                    d = d * wa[rows, None] if copies else d
-                    found, first = np.unique(place[rows], return_index=True)
-                    of_b[found, tile] += np.add.reduceat(d, first, axis=0)
+                    first, weight = of_x(rows)
+                    of_b[place[at + first], columns] += np.add.reduceat(d * wa[rows, None], first, axis=0) if weight is None else weight @ d
     out = [(np.repeat(a["point"].to_numpy(), len(clusters)), np.tile(clusters, len(x)), of_a.ravel())]
     if not once:
         out.append((np.tile(b["point"].to_numpy(), len(own)), np.repeat(own, len(y)), of_b.ravel()))
@@ -83,7 +108,9 @@ def _distance_sums(points: DataFrame, rows: int = 32_768) -> DataFrame:
             return pd.DataFrame(columns=["point", "other", "total"])
         return _block_sums(a, b)
 
-    left, right = (met.filter(F.col("shard") == F.col(s)).drop("shard").groupBy("a", "b") for s in ("a", "b"))
+    # by number: a task is small in bytes and long in time, so partitions must not be put together by their bytes
+    dealt_to = max(total_parts(points), n * (n + 1))
+    left, right = (met.filter(F.col("shard") == F.col(s)).drop("shard").repartition(dealt_to, "a", "b").groupBy("a", "b") for s in ("a", "b"))
     found = left.cogroup(right).applyInPandas(sums, "point bigint, other int, total double")
     return found.groupBy("point", "other").agg(F.sum("total").alias("total"))
 

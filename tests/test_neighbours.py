@@ -164,3 +164,20 @@ def test_copies_are_one_point_of_the_silhouette(spark, monkeypatch):
     seen, plain = [], silhouette._distance_sums
     monkeypatch.setattr(silhouette, "_distance_sums", lambda points: seen.append(points.count()) or plain(points))
     assert silhouette.point_scores(df, "id", "v", "k").count() == 400 and seen == [20]
+
+
+def test_pairs_of_shards_are_many_tasks_and_tiles_of_many_clusters_add_up(spark, monkeypatch):
+    from fathomlake.operators import silhouette
+
+    draw = np.random.default_rng(5)
+    x, c = draw.normal(size=(700, 5)), draw.integers(0, 300, 700)
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, v array<double>, k int")
+    plain, plans = silhouette._distance_sums, []
+    monkeypatch.setattr(silhouette, "_distance_sums", lambda points: plans.append(plain(points, 300)) or plans[0])
+    got = {r["id"]: r for r in silhouette.point_scores(df, "id", "v", "k").collect()}
+    # tasks that are small in bytes and long in time are not put together by their bytes
+    assert plans[0]._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(0, 700, 7):
+        b = min(d[i, c == k].mean() for k in set(c.tolist()) - {c[i]})
+        assert got[i]["b"] == pytest.approx(b, abs=1e-9)
