@@ -3,7 +3,8 @@
 Equal vectors of one cluster are one point.  Points are dealt to shards; each
 task takes a pair of shards and sums the distances by cluster for both sides, so
 what is shuffled is a row a point, cluster and shard, never a pair.  The work
-grows with the square of the number of points: all distances are needed.
+grows with the square of the number of points: all distances are needed.  In the
+plane they need not be formed one by one (``plane``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions.durable import durable
 from ..functions.expr import as_col
 from ..functions.spread import join_spread, total_parts
+from . import plane
+
+FEW_POINTS = 20_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> Callable[[slice, slice], np.ndarray]:
@@ -96,9 +100,14 @@ def _block_sums(a: pd.DataFrame, b: pd.DataFrame, size: int = 256) -> pd.DataFra
 def _distance_sums(points: DataFrame, rows: int = 32_768) -> DataFrame:
     """point, other (a cluster), total distance to its rows: of points (point, c, v, w), each standing for w rows.
 
-    Each pair of shards is the work of one task, for both sides at once.
+    Each pair of shards is the work of one task, for both sides at once; more than
+    ``FEW_POINTS`` points of the plane have a way without pairs.
     """
-    total = points.count()
+    total, least, most, fine, *corners = points.agg(
+        F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v")), F.min(F.forall("v", lambda x: F.coalesce(F.abs(x) < 1e150, F.lit(False)))),
+        *[f(F.get("v", F.lit(i))) for f in (F.min, F.max) for i in (0, 1)]).first()
+    if total > FEW_POINTS and least == most == 2 and fine:
+        return plane.distance_sums(points, tuple(corners[:2]), tuple(corners[2:]))
     n = max(1, -(-total // rows), min(math.ceil(2 * math.sqrt(total_parts(points))), -(-total // 1024)))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("point"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = dealt.select("point", "c", "v", "w", "shard", F.least("shard", "i").alias("a"), F.greatest("shard", "i").alias("b"))

@@ -181,3 +181,34 @@ def test_pairs_of_shards_are_many_tasks_and_tiles_of_many_clusters_add_up(spark,
     for i in range(0, 700, 7):
         b = min(d[i, c == k].mean() for k in set(c.tolist()) - {c[i]})
         assert got[i]["b"] == pytest.approx(b, abs=1e-9)
+
+
+@pytest.mark.parametrize("few", [4, 64])
+def test_sums_in_the_plane_equal_all_pairs_and_form_few(spark, monkeypatch, few):
+    from fathomlake.operators import plane, silhouette
+
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(0, 1, (1500, 2)), draw.normal(3, 1e-4, (900, 2)), draw.normal(3, 1e-7, (500, 2)), [[80.0, -60.0]]]) + 100
+    c = draw.integers(0, 3, len(x))
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, v array<double>, k int").repartition(3)
+    df = df.unionByName(df.filter("id < 50").withColumn("id", F.col("id") + 10_000))
+    monkeypatch.setattr(silhouette, "FEW_POINTS", 100)
+    monkeypatch.setattr(plane, "FEW", few)
+    seen, plain = [], plane._pairs
+    monkeypatch.setattr(plane, "_pairs", lambda placed: seen.append((placed, *plain(placed))) or seen[0][1:])
+    got = {r["id"]: r for r in silhouette.point_scores(df, "id", "v", "k").collect()}
+    w = np.ones(len(x))
+    w[:50] = 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) * w
+    assert len(got) == len(x) + 50
+    for i in range(0, len(x), 3):
+        a = d[i, c == c[i]].sum() / (w[c == c[i]].sum() - 1)
+        b = min(d[i, c == k].sum() / w[c == k].sum() for k in range(3) if k != c[i])
+        assert (got[i]["a"], got[i]["b"]) == (pytest.approx(a, rel=1e-10), pytest.approx(b, rel=1e-10))
+    placed, pairs, _ = seen[0]
+    sizes = {level: placed.groupBy(F.shiftright("ix", 26 - level).alias("x"), F.shiftright("iy", 26 - level).alias("y")).count().collect() for level in seen[0][2]}
+    sizes = {(level, r["x"], r["y"]): r["count"] for level, rows in sizes.items() for r in rows}
+    near = sum(sizes[r["level"], r["ax"], r["ay"]] * sizes[r["level"], r["bx"], r["by"]] for r in pairs.filter("near").collect())
+    assert near < len(x) ** 2 / (20 if few == 4 else 2)
+    whole = sum(sizes[r["level"], r["ax"], r["ay"]] * sizes[r["level"], r["bx"], r["by"]] for r in pairs.collect())
+    assert whole == len(x) ** 2
