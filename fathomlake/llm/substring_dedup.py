@@ -34,12 +34,16 @@
 7. Matches, third round.  Pairs with more than ``HELD`` occurrences that are still
    not covered are joined to every other text that can make a passage with theirs:
    none is dropped but by a bound that holds for all alignments.  All equal words of
-   an alignment lie in common runs of three words.  Runs with up to ``HELD``
-   occurrences around such pairs are rare, the others frequent.  Two texts with
-   fewer common rare runs than the words that their frequent runs leave to a
-   passage need make none; so partners are those with enough common rare runs,
-   and, for texts whose frequent runs alone could make up a passage, each other
-   text of that kind.  Only these last are joined all with all.
+   an alignment lie in common runs of three words.  Runs that up to ``HELD`` texts
+   have around such pairs are rare, the others frequent.  Texts with a common rare
+   run are partners if their common rare runs and the words of the frequent ones
+   are enough for a passage.  Passages of frequent runs alone: of each stretch that
+   these could fill, the rarest are its probes, as few as leave no passage of two
+   different runs possible without them.  The rarest run of a passage is a probe of
+   both texts, so partners are those with a common probe.  A passage of one run
+   alone is a word (or two or three) said again and again; as a stretch without
+   other words it is as long as with the longest other such stretch, which is
+   its partner, and the few with other words between meet all of their run.
 8. The passages of a document that overlap or touch are merged.
 
 Whole texts are read.  Null and short texts have no passages.  Rows with one id
@@ -358,13 +362,41 @@ def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]
     return _segments(blocks) if blocks else []
 
 
+def _alignable(chain: np.ndarray, side: np.ndarray, codes: np.ndarray, min_words: int) -> Iterator[bool]:
+    """Of each chain, if its two sides have as many runs of three words in common as the equal words of a passage hold.
+
+    Equal words come in blocks of three or more, so a third of them or more begin a common run.
+    """
+    fresh = np.concatenate([[True], chain[1:] != chain[:-1]]) if len(chain) else np.empty(0, bool)
+    number = np.cumsum(fresh) - 1
+    size = np.fromiter((len(c) // 4 for c in codes), np.int64, len(codes))
+    piece = np.cumsum(size) // 500_000  # in pieces that end where a chain does
+    piece = piece[np.flatnonzero(fresh)][number] if len(chain) else piece
+    for a, b in _groups(piece):
+        c = np.frombuffer(b"".join(codes[a:b]), np.uint32).astype(np.uint64)
+        n = number[b - 1] - number[a] + 1
+        if len(c) < 3:
+            yield from [False] * int(n)
+            continue
+        row = np.repeat(np.arange(a, b), size[a:b])
+        run = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + c[2:]
+        inside, of = row[:-2] == row[2:], (number[row] - number[a])[:-2]
+        run = (run + of.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        run ^= of.astype(np.uint64) << np.uint64(40)
+        mine, theirs = inside & (side[row[:-2]] == 0), inside & (side[row[:-2]] != 0)
+        met = np.isin(run[mine], run[theirs])
+        yield from (3 * np.bincount(of[mine][met], minlength=n) >= _least(min_words)).tolist()
+
+
 def _aligned(min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_key(frames, ["chain"]):
             chain, side = frame["chain"].to_numpy(), frame["side"].to_numpy()
             t, doc, begin, codes = (frame[c].to_numpy() for c in ("t", "doc", "begin", "codes"))
             rows = []
-            for i, stop in _groups(chain):
+            for (i, stop), able in zip(_groups(chain), _alignable(chain, side, codes, min_words), strict=True):
+                if not able:
+                    continue
                 j = i + int(np.searchsorted(side[i:stop], 1))  # sorted by side: i is the finder's row, j the partner's
                 if side[i] or j == stop or doc[i] == doc[j]:
                     continue
@@ -525,21 +557,31 @@ def _run_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of runs in order: (t, place, null) of the frequent ones, (t, place, partner) of the rare ones that two texts hold, t open."""
+    """Of runs in order, and of texts in each: (t, place, run, n, null) of the frequent ones, n is 1 where a text first
+    holds it, (t, null, null, n, partner) of the rare ones that two texts hold, t open and n its places in t."""
     names = ["t", "open", "place", "run"]
-    tail, known = pd.DataFrame(columns=names), None  # the rows of a run that may go on; a run known to be frequent
+    tail, known = pd.DataFrame(columns=names), None  # the rows of a run that may go on; the last text and run known to be frequent
 
     def kinds(frame: pd.DataFrame) -> pd.DataFrame:
         t, is_open, place, run = (frame[c].to_numpy() for c in names)
-        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        n = np.repeat(np.diff(first, append=len(run)), np.diff(first, append=len(run)))
-        often = (n > HELD) | (run == known if known is not None else False)
-        out = [pd.DataFrame({"t": t[often], "place": place[often], "partner": pd.array([None] * int(often.sum()), "Int64")})]
+        fresh = np.concatenate([[True], run[1:] != run[:-1]])
+        first = fresh | np.concatenate([[True], t[1:] != t[:-1]])
+        number = np.cumsum(fresh) - 1
+        often = (np.bincount(number, first) > HELD)[number]
+        if known is not None:
+            often |= run == known[1]
+            first[0] &= (t[0], run[0]) != known
+        out = [pd.DataFrame({"t": t[often], "place": pd.array(place[often], "Int32"), "run": pd.array(run[often], "Int64"), "n": first[often].astype(np.int32),
+                             "partner": pd.array([None] * int(often.sum()), "Int64")})]
+        at = np.flatnonzero(first & ~often)
+        times, none = np.diff(np.flatnonzero(first), append=len(run))[~often[first]], pd.array([None], "Int64")
         for step in range(1, HELD):
-            i = np.flatnonzero((run[step:] == run[:-step]) & ~often[step:] & (t[step:] != t[:-step]))
+            i = np.flatnonzero(run[at[step:]] == run[at[:-step]])
             for a, b in ((i, i + step), (i + step, i)):
-                seek = is_open[a].astype(bool)
-                out.append(pd.DataFrame({"t": t[a][seek], "place": place[a][seek], "partner": pd.array(t[b][seek], "Int64")}))
+                seek = is_open[at[a]].astype(bool)
+                a, b = a[seek], b[seek]
+                out.append(pd.DataFrame({"t": t[at[a]], "place": none.astype("Int32").repeat(len(a)), "run": none.repeat(len(a)),
+                                         "n": times[a].astype(np.int32), "partner": pd.array(t[at[b]], "Int64")}))
         return pd.concat(out, ignore_index=True)
 
     for frame in frames:
@@ -548,14 +590,14 @@ def _run_kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         last = frame["run"].iloc[-1]
         ends = (frame["run"] == last).to_numpy()
-        if ends.sum() <= HELD and last != known:
-            tail, frame = frame[ends], frame[~ends]
+        if frame["t"][ends].nunique() <= HELD and (known is None or last != known[1]):
+            tail, frame = frame[ends], frame[~ends].reset_index(drop=True)
             if len(frame):
                 yield kinds(frame)
         else:
             tail = frame.iloc[:0]
             yield kinds(frame)
-            known = last
+            known = (frame["t"].iloc[-1], last)
     if len(tail):
         yield kinds(tail.reset_index(drop=True))
 
@@ -565,48 +607,156 @@ def _least(min_words: int) -> int:
     return int(np.ceil(MIN_IDENTITY * min_words - 1e-9))
 
 
-def _covered(min_words: int):
-    """Of the places of frequent runs: how many words they cover in a text, and if they could make up a passage alone."""
+def _regions(place: np.ndarray, run: np.ndarray, least: int, several: bool, span: int = 0) -> np.ndarray:
+    """(start, end) of the stretches that the runs at ``place`` could fill with passages, with ``several`` those of two runs or more.
+
+    A passage has ``span`` words and ``least`` covered words or more, and these are ``MIN_IDENTITY`` of its words.
+    """
+    at = np.unique((place[:, None] + np.arange(3)).ravel())  # the covered words
+    if len(at) < least:
+        return np.empty((0, 2), np.int64)
+    # the widest span that ends at each covered word
+    rank = np.arange(len(at))
+    start = np.searchsorted(np.maximum.accumulate(MIN_IDENTITY * at - rank), MIN_IDENTITY * (at + 1) - (rank + 1) - 1e-9)
+    fine = start <= np.minimum(rank - least + 1, np.searchsorted(at, at + 1 - span, side="right") - 1)
+    if several:
+        turns = np.concatenate([[0], np.cumsum(run[1:] != run[:-1])])
+        head = np.searchsorted(place, at[np.minimum(start, len(at) - 1)])
+        tail = np.searchsorted(place, at - 2, side="right") - 1
+        fine &= (tail > head) & (turns[np.maximum(tail, 0)] > turns[np.minimum(head, len(place) - 1)])
+    ends = np.flatnonzero(fine)
+    if not len(ends):
+        return np.empty((0, 2), np.int64)
+    order = np.argsort(start[ends], kind="stable")
+    s, e = at[start[ends]][order], np.maximum.accumulate((at[ends] + 1)[order])
+    cut = np.flatnonzero(s[1:] > e[:-1]) + 1
+    return np.stack([s[np.concatenate([[0], cut])], e[np.concatenate([cut - 1, [len(s) - 1]])]], axis=1)
+
+
+def _fillings(place: np.ndarray, run: np.ndarray, held: np.ndarray, begin: np.ndarray, stop: np.ndarray, is_open: np.ndarray, min_words: int) -> list[tuple]:
+    """(run, open, wide, size, broken) of the frequent runs by which a text's passages near the zones (begin, stop, open) are found.
+
+    ``size`` is null for the probes of passages of two runs or more: of each stretch
+    the rarest runs, as few as leave none possible without them; wide are those
+    of passages with ``min_words`` words on this side.  Else the run alone makes up
+    a passage: ``size`` is its longest piece, and it is broken where words of other
+    runs lie in the passage.
+    """
+    least, probes, out = _least(min_words), {}, []
+    for span in (0, min_words):
+        for s, e in _regions(place, run, least, True, span).tolist():
+            near = (begin < e) & (stop > s)
+            if not near.any():
+                continue
+            i = np.flatnonzero((place >= s) & (place + 3 <= e))
+            p, values, code = place[i], *np.unique(np.stack([held[i], run[i]], axis=1), axis=0, return_inverse=True)
+            code, low, high = code.ravel(), 0, len(values)
+            while low < high:  # how many of the rarest runs have to go
+                mid = (low + high) // 2
+                if len(_regions(p[code >= mid], code[code >= mid], least, True, span)):
+                    low = mid + 1
+                else:
+                    high = mid
+            for value in values[:low, 1].tolist():
+                before = probes.get(value, (False, False))
+                probes[value] = (before[0] or bool(is_open[near].any()), before[1] or span > 0)
+    out += [(value, opened, wide, None, None) for value, (opened, wide) in probes.items()]
+    values, code, times = np.unique(run, return_inverse=True, return_counts=True)
+    for v in np.flatnonzero(3 * times >= least).tolist():
+        p = place[code == v]
+        spans = [(s, e, near) for s, e in _regions(p, p, least, False).tolist() if (near := (begin < e) & (stop > s)).any()]
+        if spans:
+            at = np.unique((p[:, None] + np.arange(3)).ravel())
+            pieces = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+            size = max(len(w) for w in pieces if any(s <= w[0] < e for s, e, _ in spans))
+            broken = any(np.searchsorted(at, e) - np.searchsorted(at, s) < e - s for s, e, _ in spans)
+            out.append((int(values[v]), bool(any(is_open[near].any() for _, _, near in spans)), None, size, broken))
+    return out
+
+
+def _filled(min_words: int):
+    """(t, covered) how many words of each text frequent runs cover, and (t, run, open, wide, size, broken) of ``_fillings``.
+
+    Frames are sorted by t, kind (0 the pairs, 1 the runs) and place.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_key(frames, ["t"]):
-            t, place, rows = frame["t"].to_numpy(), frame["place"].to_numpy(np.int64), []
+            t, kind, place, then = frame["t"].to_numpy(), frame["kind"].to_numpy(), frame["place"].to_numpy(np.int64), frame["then"].to_numpy(np.int64)
+            is_open, value, held, rows = frame["open"].to_numpy(bool), frame["run"].to_numpy(np.int64), frame["held"].to_numpy(np.int64), []
             for a, b in _groups(t):
-                at = np.unique((place[a:b, None] + np.arange(3)).ravel())  # the covered words
-                # the widest span that ends at each covered word is tried from each word that leaves enough
-                least, rank = _least(min_words), np.arange(len(at))
-                start = np.maximum.accumulate(MIN_IDENTITY * at - rank) if len(at) else at
-                i = rank - least + 1
-                ok = i >= 0
-                full = bool((rank[ok] + 1 - MIN_IDENTITY * (at[ok] + 1) >= -start[i[ok]] - 1e-9).any())
-                rows.append((t[a], len(at), full))
-            yield pd.DataFrame(rows, columns=["t", "covered", "full"])
+                m = a + int(np.searchsorted(kind[a:b], 1))
+                if m == b:
+                    continue
+                covered = len(np.unique((place[m:b, None] + np.arange(3)).ravel()))
+                rows.append((t[a], covered, None, None, None, None, None))
+                if covered >= _least(min_words):
+                    rows += [(t[a], None, *f) for f in _fillings(place[m:b], value[m:b], held[m:b], place[a:m] - WIDEN, then[a:m] + K + WIDEN, is_open[a:m],
+                                                                 min_words)]
+            out = pd.DataFrame(rows, columns=["t", "covered", "run", "open", "wide", "size", "broken"])
+            yield out.astype({"covered": "Int32", "run": "Int64", "open": "boolean", "wide": "boolean", "size": "Int32", "broken": "boolean"})
 
     return run
 
 
+def _alike(filled: DataFrame, min_words: int) -> DataFrame:
+    """(t, partner), t open, that frequent runs alone could make alike: of ``_filled``."""
+    probes = filled.filter("run is not null and size is null").select("t", "run", "open", "wide")
+    # of runs that the same texts hold one stands for all
+    of = probes.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"), F.max("wide").alias("wide"), *[
+        F.expr(f"bit_xor(xxhash64({c}))").alias(f"x{i}") for i, c in enumerate(("t", "t, open", "t, wide, 1"))])
+    one = of.filter("open and wide and n > 1").groupBy("n", "x0", "x1", "x2").agg(F.min("run").alias("run"))
+    probes = durable(probes.join(one.select("run"), "run", "left_semi"))
+    pairs = probes.filter("open").join(probes.select("run", F.col("t").alias("partner"), F.col("wide").alias("p_wide")), "run")
+    pairs = pairs.filter("wide or p_wide").select("t", "partner")
+
+    alone = durable(filled.filter("size is not null").select("t", "run", "open", "size", "broken"))
+    seek = alone.filter("open")
+    # a piece without other words is as long as its passage with the longest other piece
+    whole = alone.filter(F.col("size") >= min_words)
+    longest = whole.groupBy("run").agg(F.max(F.struct("size", "t")).alias("a"))
+    next_ = whole.join(longest, "run").filter("t <> a.t").groupBy("run").agg(F.max(F.struct("size", "t")).alias("b"))
+    ends = longest.join(next_, "run").select("run", F.explode(F.array("a.t", "b.t")).alias("partner"))
+    pairs = pairs.unionByName(seek.filter(F.col("size") >= min_words).join(ends, "run").select("t", "partner"))
+    # pieces with other words between them are few; they meet all
+    broken = alone.filter("broken").select("run", F.col("t").alias("partner"))
+    every = alone.select("run", F.col("t").alias("partner"))
+    pairs = pairs.unionByName(seek.filter("not broken").join(broken, "run").select("t", "partner"))
+    pairs = pairs.unionByName(seek.filter("broken").join(every, "run").select("t", "partner"))
+    return pairs.filter("t <> partner")
+
+
 def third_matches(heavy: DataFrame, shared: DataFrame, found: DataFrame, texts: DataFrame, min_words: int) -> DataFrame | None:
     """Matches of the pairs ``heavy`` that no passage of ``found`` covers, with all other holders but those that can't make a passage."""
     parts = total_parts(texts)
-    left = _left_open(shared, found, parts, min_words)
+    mine = heavy.select("t").distinct()
+    left = _left_open(shared.join(mine, "t", "left_semi"), found.join(mine, "t", "left_semi").unionByName(
+        found.join(mine.withColumnRenamed("t", "partner"), "partner", "left_semi").select(found.columns)), parts, min_words)
     open_pairs = _dealt_pairs(left, parts).filter("open")
     open_heavy = durable(open_pairs.join(heavy.select("key").distinct(), "key", "left_semi"))
     if open_heavy.isEmpty():
         return None
     holders = durable(heavy.join(open_heavy.select("key").distinct(), "key", "left_semi"))
     marked = holders.select("t", "place", "then", F.lit(False).alias("open")).unionByName(open_heavy.select("t", "place", "then", "open"))
-    spots = durable(marked.groupBy("t").agg(F.max("open").alias("open"), F.collect_set(F.struct("place", "then")).alias("spots")))
+    marked = durable(marked.groupBy("t", "place", "then").agg(F.max("open").alias("open")))
+    spots = marked.groupBy("t").agg(F.max("open").alias("open"), F.collect_list(F.struct("place", "then")).alias("spots"))
     runs = texts.select("t", "codes").join(spots, "t").select("t", "open", "spots", "codes").mapInArrow(_run_rows, "t bigint, open boolean, place int, run bigint")
-    kinds = durable(runs.repartition(parts, "run").sortWithinPartitions("run").mapInPandas(_run_kinds, "t bigint, place int, partner bigint"))
-    frequent = kinds.filter("partner is null").select("t", "place").repartition(parts, "t").sortWithinPartitions("t", "place")
-    frequent = durable(frequent.mapInPandas(_covered(min_words), "t bigint, covered int, full boolean"))
-    common = kinds.filter("partner is not null").groupBy("t", "partner").agg(F.count(F.lit(1)).alias("n")).join(frequent.select("t", "covered"), "t", "left")
+    kinds = durable(runs.repartition(parts, "run").sortWithinPartitions("run", "t").mapInPandas(
+        _run_kinds, "t bigint, place int, run bigint, n int, partner bigint"))
+    frequent = kinds.filter("partner is null").select("t", "place", "run", "n")
+    counts = durable(frequent.groupBy("run").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("_n")))
+    ranked = join_spread(frequent, counts.select("run", "held"), ["run"], "t", counts.select("run", "_n"))
+    zero = F.lit(0).cast("long")
+    rows = marked.select("t", F.lit(0).alias("kind"), "place", "then", "open", zero.alias("run"), zero.alias("held")).unionByName(
+        ranked.select("t", F.lit(1).alias("kind"), "place", F.lit(0).alias("then"), F.lit(False).alias("open"), "run", "held"))
+    filled = durable(rows.repartition(parts, "t").sortWithinPartitions("t", "kind", "place").mapInPandas(
+        _filled(min_words), "t bigint, covered int, run bigint, open boolean, wide boolean, size int, broken boolean"))
+    common = kinds.filter("partner is not null").groupBy("t", "partner").agg(F.sum("n").alias("n"))
+    common = common.join(filled.filter("run is null").select("t", "covered"), "t", "left")
     able = common.filter(3 * F.col("n") + F.coalesce("covered", F.lit(0)) >= _least(min_words)).select("t", "partner")
+    pairs = durable(able.unionByName(_alike(filled, min_words)).distinct())
     other = holders.select("key", F.col("t").alias("partner"), F.struct("t", "place", "then").alias("p"))
-    met = able.join(open_heavy, "t").join(other, ["partner", "key"]).select("t", "place", "then", "open", "p")
-    full = frequent.filter("full").select("t")
-    alike = open_heavy.join(full, "t", "left_semi").join(other.join(full.withColumnRenamed("t", "partner"), "partner", "left_semi"), "key")
-    met = met.unionByName(alike.filter("partner <> t").select("t", "place", "then", "open", "p"))
+    met = pairs.join(open_heavy, "t").join(other, ["partner", "key"]).select("t", "place", "then", "open", "p")
     return durable(_of_pairs(met).groupBy("t", "place", "partner", "other").agg(F.max("open").alias("open")))
 
 
@@ -615,7 +765,7 @@ def shared_passages(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Places count words from 0; ends are exclusive.
     """
-    rows = seed_rows(texts)
+    rows = durable(seed_rows(texts))
     held = rows.groupBy("seed").agg(F.min(F.struct("t", "place")).alias("a"), F.max(F.struct("t", "place")).alias("b"), F.count(F.lit(1)).alias("n"))
     known = durable(held.filter("a.t <> b.t").select(
         "seed", "n", F.col("a.t").alias("t0"), F.col("a.place").alias("p0"), F.col("b.t").alias("t1"), F.col("b.place").alias("p1")))

@@ -228,3 +228,43 @@ def test_texts_with_the_same_seeds_hide_no_passage(spark, whole):
     found = spans_of(spark, docs)
     for d in (100, 101):
         assert any(start <= 155 and end >= 211 for start, end in found.get(d, [])), found
+
+
+def test_words_said_again_and_again_meet_few_texts(spark, monkeypatch):
+    """Stretches of one frequent word are in all texts; those that make passages are found without all pairs of texts."""
+    draw, docs = random.Random(5), {}
+    for d in range(240):
+        docs[d] = prose(draw, 70) + [f"u{d}"] * 40 + ["de"] * draw.randrange(40, 49) + [f"v{d}"] * 40 + prose(draw, 70)
+        docs[1000 + d] = prose(draw, 70) + [f"x{d}"] * 40 + ["la"] * draw.randrange(40, 49) + [f"y{d}"] * 40 + prose(draw, 70)
+    for d, n in ((500, 54), (501, 74)):  # one word
+        docs[d] = prose(draw, 90) + ["de"] * n + prose(draw, 90)
+    for d in (600, 601):  # two words
+        docs[d] = prose(draw, 90) + ["de"] * 30 + ["la"] * 30 + prose(draw, 90)
+    for d in (700, 701):  # one word, with others between
+        docs[d] = prose(draw, 90) + ["de"] * 30 + prose(draw, 3) + ["de"] * 30 + prose(draw, 90)
+    pairs, third = [], sd.third_matches
+
+    def counted(*args):
+        matches = third(*args)
+        pairs.append(matches.select("t", "partner").distinct().count())
+        return matches
+
+    monkeypatch.setattr(sd, "third_matches", counted)
+    found = spans_of(spark, {d: " ".join(w) for d, w in docs.items()})
+    for d, n in ((500, 54), (501, 54), (600, 60), (601, 60), (700, 54), (701, 54)):
+        assert any(start <= 92 and end >= 88 + n for start, end in found.get(d, [])), (d, found.get(d))
+    assert pairs and pairs[0] <= 8 * len(docs)
+
+
+def test_runs_of_many_batches_are_counted_by_texts():
+    """Of sorted rows, cut anywhere, a run is frequent if more than HELD texts have it, however often."""
+    import pandas as pd
+
+    rows = [(t, run, place) for run, texts, times in ((1, 3, 30), (2, sd.HELD + 1, 2), (3, sd.HELD, 4), (4, 40, 1), (5, 1, 50)) for t in range(texts) for place in range(times)]
+    frame = pd.DataFrame({"t": [r[0] for r in rows], "open": True, "place": [r[2] for r in rows], "run": [r[1] for r in rows]})
+    for size in (1, 2, 7, 20, len(frame)):
+        out = pd.concat(list(sd._run_kinds(iter([frame[a : a + size].reset_index(drop=True) for a in range(0, len(frame), size)]))))
+        often = out[out["partner"].isna()]
+        assert often.groupby("run")["n"].agg(["sum", "size"]).to_dict("index") == {2: {"sum": sd.HELD + 1, "size": 2 * (sd.HELD + 1)}, 4: {"sum": 40, "size": 40}}
+        rare = out[out["partner"].notna()]
+        assert len(rare) == 3 * 2 + sd.HELD * (sd.HELD - 1) and rare["n"].sum() == 3 * 2 * 30 + sd.HELD * (sd.HELD - 1) * 4
