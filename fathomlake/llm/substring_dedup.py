@@ -43,7 +43,7 @@
    both texts, so partners are those with a common probe.  A passage of one run
    alone is a word (or two or three) said again and again; as a stretch without
    other words it is as long as with the longest other such stretch, which is
-   its partner, and the few with other words between meet all of their run.
+   its partner (an alignment skips no words inside such a stretch), and the few with other words between meet all of their run.
 8. The passages of a document that overlap or touch are merged.
 
 Whole texts are read.  Null and short texts have no passages.  Rows with one id
