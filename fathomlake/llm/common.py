@@ -48,15 +48,30 @@ def durable(df: DataFrame) -> DataFrame:
     executors could not read it.  Unlike a checkpoint the written table tells
     the optimizer its true size, round after round of a loop.
     """
-    spark = df.sparkSession
+    path = _shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``durable`` in buckets of ``key``, as many as shuffle partitions: a join on it leaves these rows where they are.
+
+    The table's name is dropped at once; its files stay, like those of ``durable``.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(total_parts(df), key).option("path", _shared_path(spark)).saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return kept
+
+
+def _shared_path(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folder()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @lru_cache(1)
@@ -109,3 +124,16 @@ def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     dealt = left.withColumn("_salt", salt)
     copied = right.withColumn("_salt", F.explode(salts))
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_buckets(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """``join_spread`` to a ``bucketed`` table, which has one row a key; its rows move only for the keys that need a salt."""
+    sizes = durable(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    limit = max(100, total // (4 * total_parts(left)))
+    heavy = [r[0] for r in sizes.filter(F.col("_n") > limit).select(key).collect()]
+    if not heavy:
+        return left.hint("shuffle_hash").join(right, key)
+    is_heavy = F.col(key).isin(heavy)
+    light = left.filter(~is_heavy).hint("shuffle_hash").join(right, key)
+    return light.unionByName(join_spread(left.filter(is_heavy), right.filter(is_heavy), [key], spread, sizes, total))

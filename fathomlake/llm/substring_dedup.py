@@ -36,8 +36,8 @@
    none is dropped but by a bound that holds for all alignments.  All equal words of
    an alignment lie in common runs of three words.  Runs that up to ``HELD`` texts
    have around such pairs are rare, the others frequent.  Texts with a common rare
-   run are partners if their common rare runs and the words of the frequent ones
-   are enough for a passage.  Passages of frequent runs alone: of each stretch that
+   run are partners if in both a passage is possible around one of these runs, all
+   equal words of which their common rare runs and the frequent ones cover.  Passages of frequent runs alone: of each stretch that
    these could fill, the rarest are its probes, as few as leave no passage of two
    different runs possible without them.  The rarest run of a passage is a probe of
    both texts, so partners are those with a common probe.  A passage of one run
@@ -63,7 +63,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_spread, text_or_empty, total_parts
+from .common import bucketed, durable, join_buckets, join_spread, text_or_empty, total_parts
 
 K = 4
 RATE = 10
@@ -118,14 +118,14 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     """The texts (t, doc, n, codes), and (t, doc) of each holder of a text that has two.
 
     ``t`` is the text's hash, ``doc`` its smallest holder and codes its words.
+    The texts are in buckets of ``t``.
     """
     given = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     given = given.withColumn("t", F.xxhash64("text"))
     holders = durable(given.groupBy("t").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("_n")))
     total, sizes = df.count(), holders.select("t", "_n")
-    marked = join_spread(given, holders.filter("_n > 1").select("t", "lo"), ["t"], "doc", sizes, total, "left")
-    firsts = marked.filter("doc = lo").groupBy("t").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
-    chosen = marked.filter("lo is null").select("t", "doc", "text").unionByName(firsts)
+    # copies meet where they are read, so a text moves once
+    chosen = given.groupBy("t").agg(F.min(F.struct("doc", "text")).alias("a")).select("t", "a.doc", "a.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
                     [part.column(0), part.column(1), pa.array([len(c) for c in codes], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
                     names=["t", "doc", "n", "codes"])
 
-    texts = durable(chosen.mapInArrow(run, "t bigint, doc bigint, n int, codes binary"))
+    texts = bucketed(chosen.mapInArrow(run, "t bigint, doc bigint, n int, codes binary"), "t")
     twice = holders.filter("lo <> hi").select("t", "lo", "hi")
     copies = join_spread(given.select("t", "doc").distinct(), twice, ["t"], "doc", sizes, total)
     return texts, copies
@@ -426,7 +426,7 @@ def passages(matches: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
 
     asked = side(0, "t", "x0", "x1").unionByName(side(1, "partner", "y0", "y1"))
     cut = F.substring("codes", F.col("begin") * 4 + 1, (F.col("stop") - F.col("begin")) * 4)
-    stretches = join_spread(asked, texts.select("t", "doc", "codes"), ["t"], "chain").select("chain", "side", "t", "doc", "begin", cut.alias("codes"))
+    stretches = join_buckets(asked, texts.select("t", "doc", "codes"), "t", "chain").select("chain", "side", "t", "doc", "begin", cut.alias("codes"))
     return durable(stretches.repartition(parts, "chain").sortWithinPartitions("chain", "side").mapInPandas(_aligned(min_words), PASSAGE))
 
 
@@ -557,8 +557,8 @@ def _run_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of runs in order, and of texts in each: (t, place, run, n, null) of the frequent ones, n is 1 where a text first
-    holds it, (t, null, null, n, partner) of the rare ones that two texts hold, t open and n its places in t."""
+    """Of runs in order, and of texts in each: (t, place, run, n, null, null) of the frequent ones, n is 1 where a text first
+    holds it, (t, null, null, n, partner, places) of the rare ones that two texts hold, one of them open, n its places in t."""
     names = ["t", "open", "place", "run"]
     tail, known = pd.DataFrame(columns=names), None  # the rows of a run that may go on; the last text and run known to be frequent
 
@@ -572,16 +572,17 @@ def _run_kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             often |= run == known[1]
             first[0] &= (t[0], run[0]) != known
         out = [pd.DataFrame({"t": t[often], "place": pd.array(place[often], "Int32"), "run": pd.array(run[often], "Int64"), "n": first[often].astype(np.int32),
-                             "partner": pd.array([None] * int(often.sum()), "Int64")})]
+                             "partner": pd.array([None] * int(often.sum()), "Int64"), "places": None})]
         at = np.flatnonzero(first & ~often)
         times, none = np.diff(np.flatnonzero(first), append=len(run))[~often[first]], pd.array([None], "Int64")
         for step in range(1, HELD):
             i = np.flatnonzero(run[at[step:]] == run[at[:-step]])
             for a, b in ((i, i + step), (i + step, i)):
-                seek = is_open[at[a]].astype(bool)
+                seek = (is_open[at[a]] | is_open[at[b]]).astype(bool)
                 a, b = a[seek], b[seek]
+                places = pd.Series([place[i : i + n] for i, n in zip(at[a].tolist(), times[a].tolist(), strict=True)], dtype=object)
                 out.append(pd.DataFrame({"t": t[at[a]], "place": none.astype("Int32").repeat(len(a)), "run": none.repeat(len(a)),
-                                         "n": times[a].astype(np.int32), "partner": pd.array(t[at[b]], "Int64")}))
+                                         "n": times[a].astype(np.int32), "partner": pd.array(t[at[b]], "Int64"), "places": places}))
         return pd.concat(out, ignore_index=True)
 
     for frame in frames:
@@ -674,10 +675,35 @@ def _fillings(place: np.ndarray, run: np.ndarray, held: np.ndarray, begin: np.nd
     return out
 
 
+def _near_rare(place: np.ndarray, rare: np.ndarray, partner: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_words: int) -> Iterator[int]:
+    """Of the partners with common rare runs those with which a passage of a text is possible that has one of these runs.
+
+    Equal words of a passage are covered by frequent runs or by those that are
+    common with the partner; the passage lies near the zones (begin, stop).
+    """
+    least = _least(min_words)
+
+    def inside(covers: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        covers, held = np.unique(covers), np.zeros(len(spots), bool)
+        for s, e in _regions(covers, covers, least, False).tolist():
+            if ((begin < e) & (stop > s)).any():
+                held |= (spots >= s) & (spots + 3 <= e)
+        return held
+
+    fine = np.unique(partner[inside(np.concatenate([place, rare]), rare)])  # with the runs of all partners, first
+    here = np.flatnonzero(np.isin(partner, fine))
+    here = here[np.argsort(partner[here], kind="stable")]
+    for a, b in _groups(partner[here]):
+        spots = rare[here[a:b]]
+        if inside(np.concatenate([place, spots]), spots).any():
+            yield int(partner[here[a]])
+
+
 def _filled(min_words: int):
-    """(t, covered) how many words of each text frequent runs cover, and (t, run, open, wide, size, broken) of ``_fillings``.
+    """(t, partner, open) of ``_near_rare``, open if t is, and (t, run, open, wide, size, broken) of ``_fillings``.
 
-    Frames are sorted by t, kind (0 the pairs, 1 the runs) and place.
+    Frames are sorted by t, kind (0 the pairs, 1 the frequent runs, 2 the rare
+    ones, with the partner as ``run``) and place.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -685,16 +711,15 @@ def _filled(min_words: int):
             t, kind, place, then = frame["t"].to_numpy(), frame["kind"].to_numpy(), frame["place"].to_numpy(np.int64), frame["then"].to_numpy(np.int64)
             is_open, value, held, rows = frame["open"].to_numpy(bool), frame["run"].to_numpy(np.int64), frame["held"].to_numpy(np.int64), []
             for a, b in _groups(t):
-                m = a + int(np.searchsorted(kind[a:b], 1))
-                if m == b:
-                    continue
-                covered = len(np.unique((place[m:b, None] + np.arange(3)).ravel()))
-                rows.append((t[a], covered, None, None, None, None, None))
-                if covered >= _least(min_words):
-                    rows += [(t[a], None, *f) for f in _fillings(place[m:b], value[m:b], held[m:b], place[a:m] - WIDEN, then[a:m] + K + WIDEN, is_open[a:m],
-                                                                 min_words)]
-            out = pd.DataFrame(rows, columns=["t", "covered", "run", "open", "wide", "size", "broken"])
-            yield out.astype({"covered": "Int32", "run": "Int64", "open": "boolean", "wide": "boolean", "size": "Int32", "broken": "boolean"})
+                m, k = (a + int(i) for i in np.searchsorted(kind[a:b], (1, 2)))
+                begin, stop = place[a:m] - WIDEN, then[a:m] + K + WIDEN
+                rows += [(t[a], u, None, bool(is_open[a:m].any()), None, None, None)
+                         for u in (_near_rare(place[m:k], place[k:b], value[k:b], begin, stop, min_words) if k < b else ())]
+                if len(np.unique((place[m:k, None] + np.arange(3)).ravel())) >= _least(min_words):
+                    rows += [(t[a], None, *f) for f in _fillings(place[m:k], value[m:k], held[m:k], begin, stop, is_open[a:m], min_words)]
+            kinds = {"t": "int64", "partner": "Int64", "run": "Int64", "open": "boolean", "wide": "boolean", "size": "Int32", "broken": "boolean"}
+            # as objects first: whole columns with nulls would become doubles, which round ids and runs
+            yield pd.DataFrame(rows, columns=list(kinds), dtype=object).astype(kinds)
 
     return run
 
@@ -736,28 +761,34 @@ def third_matches(heavy: DataFrame, shared: DataFrame, found: DataFrame, texts:
     open_heavy = durable(open_pairs.join(heavy.select("key").distinct(), "key", "left_semi"))
     if open_heavy.isEmpty():
         return None
-    holders = durable(heavy.join(open_heavy.select("key").distinct(), "key", "left_semi"))
+    holders = heavy.join(open_heavy.select("key").distinct(), "key", "left_semi")
     marked = holders.select("t", "place", "then", F.lit(False).alias("open")).unionByName(open_heavy.select("t", "place", "then", "open"))
     marked = durable(marked.groupBy("t", "place", "then").agg(F.max("open").alias("open")))
     spots = marked.groupBy("t").agg(F.max("open").alias("open"), F.collect_list(F.struct("place", "then")).alias("spots"))
-    runs = texts.select("t", "codes").join(spots, "t").select("t", "open", "spots", "codes").mapInArrow(_run_rows, "t bigint, open boolean, place int, run bigint")
+    runs = texts.select("t", "codes").join(spots.hint("shuffle_hash"), "t").select("t", "open", "spots", "codes").mapInArrow(_run_rows, "t bigint, open boolean, place int, run bigint")
     kinds = durable(runs.repartition(parts, "run").sortWithinPartitions("run", "t").mapInPandas(
-        _run_kinds, "t bigint, place int, run bigint, n int, partner bigint"))
+        _run_kinds, "t bigint, place int, run bigint, n int, partner bigint, places array<int>"))
     frequent = kinds.filter("partner is null").select("t", "place", "run", "n")
     counts = durable(frequent.groupBy("run").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("_n")))
     ranked = join_spread(frequent, counts.select("run", "held"), ["run"], "t", counts.select("run", "_n"))
+    rare = kinds.filter("partner is not null").select("t", "partner", F.explode("places").alias("place"))
     zero = F.lit(0).cast("long")
     rows = marked.select("t", F.lit(0).alias("kind"), "place", "then", "open", zero.alias("run"), zero.alias("held")).unionByName(
-        ranked.select("t", F.lit(1).alias("kind"), "place", F.lit(0).alias("then"), F.lit(False).alias("open"), "run", "held"))
+        ranked.select("t", F.lit(1).alias("kind"), "place", F.lit(0).alias("then"), F.lit(False).alias("open"), "run", "held")).unionByName(
+        rare.select("t", F.lit(2).alias("kind"), "place", F.lit(0).alias("then"), F.lit(False).alias("open"), F.col("partner").alias("run"), zero.alias("held")))
     filled = durable(rows.repartition(parts, "t").sortWithinPartitions("t", "kind", "place").mapInPandas(
-        _filled(min_words), "t bigint, covered int, run bigint, open boolean, wide boolean, size int, broken boolean"))
-    common = kinds.filter("partner is not null").groupBy("t", "partner").agg(F.sum("n").alias("n"))
-    common = common.join(filled.filter("run is null").select("t", "covered"), "t", "left")
-    able = common.filter(3 * F.col("n") + F.coalesce("covered", F.lit(0)) >= _least(min_words)).select("t", "partner")
+        _filled(min_words), "t bigint, partner bigint, run bigint, open boolean, wide boolean, size int, broken boolean"))
+    # both texts have room for a passage with their common rare runs
+    able = filled.filter("partner is not null")
+    back = able.select(F.col("partner").alias("t"), F.col("t").alias("partner"))
+    able = able.filter("open").select("t", "partner").join(back, ["t", "partner"], "left_semi")
     pairs = durable(able.unionByName(_alike(filled, min_words)).distinct())
-    other = holders.select("key", F.col("t").alias("partner"), F.struct("t", "place", "then").alias("p"))
-    met = pairs.join(open_heavy, "t").join(other, ["partner", "key"]).select("t", "place", "then", "open", "p")
-    return durable(_of_pairs(met).groupBy("t", "place", "partner", "other").agg(F.max("open").alias("open")))
+    # the texts are known by now, so each seed of the pairs is joined once, not with every seed near it
+    ends = marked.select("t", F.explode(F.array("place", "then")).alias("place"), "open").groupBy("t", "place").agg(F.max("open").alias("open"))
+    held = durable(ends.join(shared.select("t", "place", "seed"), ["t", "place"]))
+    other = held.select("seed", F.col("t").alias("partner"), F.col("place").alias("other"))
+    met = pairs.join(held.filter("open").select("t", "place", "seed"), "t").join(other, ["partner", "seed"])
+    return durable(met.select("t", "place", "partner", "other", F.lit(True).alias("open")))
 
 
 def shared_passages(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -780,8 +811,7 @@ def shared_passages(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rest = third_matches(durable(heavy), seen, found, texts, min_words) if heavy is not None else None
     if rest is None:
         return found
-    ids = rest.select(F.explode(F.array("t", "partner")).alias("t")).distinct()
-    return found.unionByName(passages(rest, texts.join(ids, "t", "left_semi"), min_words))
+    return found.unionByName(passages(rest, texts, min_words))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
