@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.durable import durable
 from ..functions.ordered import key_rank
+from ..functions.spread import total_parts
 
 
 def tokens(text: str) -> Column:
@@ -116,8 +118,49 @@ def posted_vocabulary(postings: DataFrame, min_documents: int = 1) -> DataFrame:
     return ranked.select("gram", "documents", "total", (F.col("index") - 1).alias("index"))
 
 
-def posted_vectors(df: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """row_id, index, n: ``count_vectors`` by the vocabulary of all grams; each posting meets its index, then its cells are laid out."""
-    postings = durable(gram_postings(df, row_id, text, sizes))
-    met = postings.select("gram", "ids", "ns").join(posted_vocabulary(postings).select("gram", "index"), "gram")
-    return met.select("index", F.explode(F.arrays_zip("ids", "ns")).alias("c")).select(F.col("c.ids").alias(row_id), "index", F.col("c.ns").alias("n"))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, total, at, fresh, ids, ns of the postings (gram, total, ids, ns) of a range of grams, sorted by gram.
+
+    ``at`` is the place of the gram among those of its range and total, ``fresh`` is its first posting.
+    """
+    part, seen, last, place = TaskContext.get().partitionId(), {}, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, total = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        turns = pc.not_equal(gram.slice(1), gram.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        fresh = np.concatenate([[gram[0].as_py() != last], turns]).astype(bool)
+        kinds, of = np.unique(total[fresh], return_inverse=True)
+        counts, order = np.bincount(of, minlength=len(kinds)), np.argsort(of, kind="stable")
+        at = np.empty(len(of), np.int64)
+        at[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at += np.array([seen.get(k, 0) for k in kinds.tolist()], np.int64)[of]
+        seen.update({k: seen.get(k, 0) + n for k, n in zip(kinds.tolist(), counts.tolist(), strict=True)})
+        places = np.concatenate([[place], at])[np.cumsum(fresh)]
+        last, place = gram[-1].as_py(), int(places[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), batch.column(1), pa.array(places), pa.array(fresh), *batch.columns[2:]],
+                                         names=["part", "total", "at", "fresh", "ids", "ns"])
+
+
+def posted_vectors(df: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] = (1, 2), known: int = 200_000) -> DataFrame:
+    """row_id, index, n: ``count_vectors`` by the vocabulary of all grams.
+
+    Postings move once, to ranges of grams.  There a gram's index needs but its
+    place among those of its total and how many grams come before these: a row a
+    range and total, joined by broadcast if there are at most ``known``.
+    """
+    postings = gram_postings(df, row_id, text, sizes).select("gram", "total", "ids", "ns")
+    ranged = postings.repartitionByRange(total_parts(df), "gram").withColumn("total", F.sum("total").over(Window.partitionBy("gram")))
+    lists = [T.StructField("ids", T.ArrayType(df.schema[row_id].dataType)), T.StructField("ns", T.ArrayType(T.LongType()))]
+    kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("at", T.LongType()), T.StructField("fresh", T.BooleanType()), *lists])
+    placed = durable(ranged.mapInArrow(_placed, kind))
+    counts = durable(placed.filter("fresh").groupBy("total", "part").agg(F.count(F.lit(1)).alias("_n")))
+    of_totals = counts.groupBy("total").agg(F.sum("_n").alias("_n"))  # as many rows as different totals
+    higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    of_totals = of_totals.select("total", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_higher"))
+    lower = Window.partitionBy("total").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("total", "part", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower")).join(of_totals, "total")
+    before = before.select("total", "part", (F.col("_higher") + F.col("_lower")).alias("_before"))
+    met = placed.join(F.broadcast(before) if counts.count() <= known else before, ["total", "part"])
+    cells = met.select((F.col("_before") + F.col("at")).alias("index"), F.explode(F.arrays_zip("ids", "ns")).alias("c"))
+    return cells.select(F.col("c.ids").alias(row_id), "index", F.col("c.ns").alias("n"))
